@@ -1,23 +1,28 @@
 """How a panel is laid out over tasks.
 
-A series can be far longer than one task should hold, so no operator windows over a whole series.
-Rows get their position in two levels (position inside a time block plus the number of rows in
-earlier blocks), positions are cut into chunks of fixed size, and every window runs inside
+Series of at most `chunk_rows` rows are kept whole: one shuffle on series_id, and every window,
+median and total after it runs without another one. A longer series must not sit in one task, so it
+is cut: rows get their position in two levels (position inside a time block plus the number of rows
+in earlier blocks), positions are cut into chunks of fixed size, and windows run inside
 (series_id, chunk). Where a frame reaches over a chunk edge, the few rows it needs are given to the
 neighbouring chunk as well (`spread`). Values per series travel to the rows by a join on
-(series_id, chunk), so a long series is never gathered by that join either (`attach`).
+(series_id, chunk), so a long series is not gathered by that join either (`attach`).
 
-A series of at most `chunk_rows` rows is one chunk: nothing is copied and nothing is split.
+`by_length` measures a panel and gives the short and the long series to the same operator with the
+layout each of them needs. Both layouts give the same results; without a measurement an operator
+assumes that any series may be long.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.frequency import FREQUENCIES, day_number, per_frequency
+from panelcast.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -25,11 +30,29 @@ class Layout:
     chunk_rows: int = 4096  # positions per chunk
     block_steps: int = 4096  # steps per time block
     group_rows: int = 65536  # a median of at most this many values is taken in one buffer
+    whole: bool = False  # no series is longer than one chunk
 
 
 DEFAULT = Layout()
 
 
+def by_length(
+    panel: DataFrame, run: Callable[[DataFrame, Layout], DataFrame], layout: Layout = DEFAULT
+) -> DataFrame:
+    """`run` on the panel, its long series cut and all others whole. Writes the panel once (it is
+    read several times from here on) and counts its rows per series."""
+    panel = cut_lineage(panel)
+    counts = panel.groupBy("series_id").agg(F.count(F.lit(1)).alias("rows"))
+    longest = counts.agg(F.max("rows")).first()[0] or 0
+    whole = replace(layout, whole=True)
+    if longest <= layout.chunk_rows:
+        return run(panel, whole)
+    long_ids = cut_lineage(counts.filter(F.col("rows") > layout.chunk_rows).select("series_id"))
+    short = panel.join(long_ids, "series_id", "left_anti")
+    long = panel.join(long_ids, "series_id", "left_semi")
+    return run(short, whole).unionByName(run(long, layout))
+
+
 def time_block(layout: Layout) -> Column:
     days = {
         n: F.lit(max(1, layout.block_steps // 24) if f.step_days == 0 else layout.block_steps * f.step_days)
@@ -42,32 +65,46 @@ def time_block(layout: Layout) -> Column:
 def number_rows(panel: DataFrame, layout: Layout = DEFAULT) -> DataFrame:
     """Add pos (0-based row number in time), cpos (the same over non-null values only, NULL on a
     null value), n_obs and n_clean (the two totals) and chunk (pos div chunk_rows)."""
-    blocked = panel.withColumn("block", time_block(layout))
-    counts = blocked.groupBy("series_id", "block").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("value").alias("filled")
-    )
-    series = Window.partitionBy("series_id")
-    earlier = series.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "series_id",
-        "block",
-        F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("rows_before"),
-        F.coalesce(F.sum("filled").over(earlier), F.lit(0)).alias("filled_before"),
-        F.sum("rows").over(series).alias("n_obs"),
-        F.sum("filled").over(series).alias("n_clean"),
-    )
-    inside = Window.partitionBy("series_id", "block").orderBy("timestamp")
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    numbered = (
-        blocked.join(offsets, ["series_id", "block"])
-        .withColumn("pos", F.col("rows_before") + F.row_number().over(inside) - 1)
-        .withColumn(
-            "cpos",
-            F.when(F.col("value").isNotNull(), F.col("filled_before") + F.count("value").over(upto) - 1),
+    if layout.whole:
+        series = Window.partitionBy("series_id")
+        inside = series.orderBy("timestamp")
+        blocked = panel.withColumns(
+            {
+                "rows_before": F.lit(0).cast("bigint"),
+                "filled_before": F.lit(0).cast("bigint"),
+                "n_obs": F.count(F.lit(1)).over(series),
+                "n_clean": F.count("value").over(series),
+            }
+        )
+    else:
+        blocked = panel.withColumn("block", time_block(layout))
+        counts = blocked.groupBy("series_id", "block").agg(
+            F.count(F.lit(1)).alias("rows"), F.count("value").alias("filled")
+        )
+        series = Window.partitionBy("series_id")
+        earlier = series.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.select(
+            "series_id",
+            "block",
+            F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("rows_before"),
+            F.coalesce(F.sum("filled").over(earlier), F.lit(0)).alias("filled_before"),
+            F.sum("rows").over(series).alias("n_obs"),
+            F.sum("filled").over(series).alias("n_clean"),
         )
-        .withColumn("chunk", F.floor(F.col("pos") / layout.chunk_rows))
+        blocked = blocked.join(offsets, ["series_id", "block"])
+        inside = Window.partitionBy("series_id", "block").orderBy("timestamp")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    filled = F.when(F.col("value").isNotNull(), F.col("filled_before") + F.count("value").over(upto) - 1)
+    return (
+        blocked.withColumn("pos", F.col("rows_before") + F.row_number().over(inside) - 1)
+        .withColumn("cpos", filled)
+        .withColumn("chunk", chunk_of("pos", layout))
+        .drop("block", "rows_before", "filled_before")
     )
-    return numbered.drop("block", "rows_before", "filled_before")
+
+
+def chunk_of(pos: str, layout: Layout) -> Column:
+    return F.lit(0).cast("bigint") if layout.whole else F.floor(F.col(pos) / layout.chunk_rows)
 
 
 def compact(numbered: DataFrame, layout: Layout = DEFAULT) -> DataFrame:
@@ -80,7 +117,7 @@ def compact(numbered: DataFrame, layout: Layout = DEFAULT) -> DataFrame:
         "value",
         F.col("cpos").alias("pos"),
         F.col("n_clean").alias("n"),
-        F.floor(F.col("cpos") / layout.chunk_rows).alias("chunk"),
+        chunk_of("cpos", layout).alias("chunk"),
     )
 
 
@@ -89,6 +126,8 @@ def spread(
 ) -> DataFrame:
     """Give each row to its own chunk and to the neighbours whose frames reach it. `back` rows before
     and `ahead` rows after a chunk become visible in it; `own` tells the chunk's own rows."""
+    if layout.whole:
+        return rows.withColumn("own", F.lit(True))
     for width in (back, ahead):
         if isinstance(width, int) and width > layout.chunk_rows:
             raise ValueError("a frame must not reach further than one chunk")
@@ -104,10 +143,7 @@ def spread(
             F.when((place < ahead) & (home > 0), home - 1),
         )
     )
-    return (
-        rows.withColumn("chunk", F.explode(targets))
-        .withColumn("own", F.col("chunk") == F.floor(F.col("pos") / layout.chunk_rows))
-    )
+    return rows.withColumn("chunk", F.explode(targets)).withColumn("own", F.col("chunk") == home)
 
 
 def own_rows(rows: DataFrame) -> DataFrame:
@@ -118,10 +154,55 @@ def in_chunk() -> Window:
     return Window.partitionBy("series_id", "chunk").orderBy("pos")
 
 
-def attach(rows: DataFrame, stats: DataFrame, size: str, layout: Layout = DEFAULT, how: str = "inner") -> DataFrame:
-    """Join values per series (with the series' row count in column `size`) to chunked rows. The
-    per-series side is repeated once per chunk, so the join key is as fine as the chunks."""
-    last = F.greatest(F.floor((F.col(size) - 1) / layout.chunk_rows), F.lit(0))
-    per_chunk = stats.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    drop = [c for c in per_chunk.columns if c in rows.columns and c not in ("series_id", "chunk")]
-    return rows.join(per_chunk.drop(*drop), ["series_id", "chunk"], how)
+def attach(
+    rows: DataFrame,
+    stats: DataFrame,
+    size: str,
+    layout: Layout = DEFAULT,
+    also: Sequence[str] = (),
+    how: str = "inner",
+) -> DataFrame:
+    """Join values per series to its rows. With cut series the values (with the series' row count in
+    column `size`) are repeated once per chunk, so the join key is as fine as the chunks. `also` names
+    further key columns."""
+    keys = ["series_id", *also]
+    if not layout.whole:
+        last = F.greatest(F.floor((F.col(size) - 1) / layout.chunk_rows), F.lit(0))
+        stats = stats.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+        keys.append("chunk")
+    drop = [c for c in stats.columns if c in rows.columns and c not in keys]
+    return rows.join(stats.drop(*drop), keys, how)
+
+
+def add_totals(
+    rows: DataFrame, keys: Sequence[str], totals: dict[str, Column], size: str, layout: Layout = DEFAULT
+) -> DataFrame:
+    """Add aggregates over all rows of a key (keys start with series_id) to each of its rows."""
+    if layout.whole:
+        group = Window.partitionBy(*keys)
+        return rows.withColumns({name: agg.over(group) for name, agg in totals.items()})
+    stats = rows.groupBy(*keys).agg(F.max(size).alias(size), *[agg.alias(n) for n, agg in totals.items()])
+    return attach(rows, stats, size, layout, also=[k for k in keys if k != "series_id"])
+
+
+def chunk_arrays(rows: DataFrame, size: str, back: Column | int, layout: Layout = DEFAULT) -> DataFrame:
+    """One row per (series, chunk): the chunk's values in order, led by up to `back` earlier ones.
+    An array holds at most chunk_rows + back values."""
+    seen = spread(rows, size, back, layout=layout)
+    in_order = F.sort_array(F.collect_list(F.struct("pos", "value")))
+    return seen.groupBy("series_id", "chunk").agg(
+        F.max(size).alias(size), F.transform(in_order, lambda r: r["value"]).alias("values")
+    )
+
+
+def sum_arrays(parts: DataFrame, array: str, layout: Layout = DEFAULT) -> DataFrame:
+    """Element-wise sum of one array per chunk over the chunks of a series; the other columns are
+    equal in all chunks of a series."""
+    keys = [c for c in parts.columns if c not in (array, "chunk")]
+    if layout.whole:
+        return parts.select(*keys, array)
+    by_element = (
+        parts.select(*keys, F.posexplode(array).alias("i", "x")).groupBy(*keys, "i").agg(F.sum("x").alias("x"))
+    )
+    in_order = F.sort_array(F.collect_list(F.struct("i", "x")))
+    return by_element.groupBy(*keys).agg(F.transform(in_order, lambda r: r["x"]).alias(array))

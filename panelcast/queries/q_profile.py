@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelcast.operators import profile_basic as B
-from panelcast.operators.layout import compact, number_rows
+from panelcast.operators import season as S
+from panelcast.operators.layout import by_length, compact, number_rows
 from panelcast.queries.q_panel import rounded
 from panelcast.queries.registry import query
 from panelcast.sources import panel as P
+from panelcast.session import cut_lineage
 from panelcast.sources.tables import panel, panel_sql
 
 MISSING_SQL = """
@@ -44,14 +46,20 @@ INTERMITTENCY_SQL = """
       CASE WHEN k > 0 AND m <> 0 THEN (sd / m) * (sd / m) ELSE 0.0 END AS cv2 FROM s),
   t AS (SELECT *, CASE WHEN adi < 1.32 AND cv2 < 0.49 THEN 'smooth' WHEN cv2 < 0.49 THEN 'intermittent'
       WHEN adi < 1.32 THEN 'erratic' ELSE 'lumpy' END AS category FROM c)
-  SELECT series_id, round_even(zero_pct, 8) AS zero_pct, round_even(adi, 8) AS adi, round_even(cv2, 8) AS cv2,
+  SELECT series_id, round_even(zero_pct, 10) AS zero_pct, round_even(adi, 10) AS adi, cv2::FLOAT::DOUBLE AS cv2,
     category, category IN ('intermittent', 'lumpy') AS is_intermittent FROM t"""
 
 
+def demand_columns(rows):
+    """Integer demand makes cv2 a short decimal that ties when rounded; single precision does not."""
+    out = rounded(B.intermittency(rows), 10, "zero_pct", "adi")
+    return out.withColumn("cv2", F.col("cv2").cast("float").cast("double"))
+
+
 @query("profile_intermittency", INTERMITTENCY_SQL.format(rows=ZERO_FILLED_SQL))
 def profile_intermittency(spark, sf):
     filled = P.zero_filled(panel(spark, sf, "part_monthly"))
-    return rounded(B.intermittency(filled), 8, "zero_pct", "adi", "cv2")
+    return demand_columns(filled)
 
 
 T_SQL = "[" + ", ".join(str(t) for t in B.T_975) + "]"
@@ -98,5 +106,125 @@ def profile_flat(spark, sf):
         F.bround("strength", 6).alias("trend_strength"),
     )
     gaps = rounded(B.missing(rows), 6, "missing_pct")
-    demand = rounded(B.intermittency(rows), 8, "zero_pct", "adi", "cv2")
+    demand = demand_columns(rows)
     return base.join(gaps, "series_id").join(demand, "series_id").join(slope, "series_id")
+
+
+def season_sql(name: str, period: int) -> str:
+    """Rows with season and residual at one period, straight from the definition."""
+    h = period // 2
+    inner = (
+        f"(sum(value) OVER f - 0.5 * first_value(value) OVER f - 0.5 * last_value(value) OVER f) / {period}"
+        if period % 2 == 0
+        else "avg(value) OVER f"
+    )
+    whole = "OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    return f"""(
+  WITH c AS (SELECT series_id, timestamp, value, row_number() OVER (PARTITION BY series_id ORDER BY timestamp) - 1 AS pos,
+      count(*) OVER (PARTITION BY series_id) AS n FROM ({panel_sql(name)}) WHERE value IS NOT NULL),
+  a AS (SELECT *, CASE WHEN pos BETWEEN {h} AND n - 1 - {h} THEN {inner} END AS t FROM c WHERE n >= {4 * period}
+    WINDOW f AS (PARTITION BY series_id ORDER BY pos ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING)),
+  d AS (SELECT *, value - CASE WHEN pos < {h} THEN first_value(t IGNORE NULLS) {whole}
+      WHEN pos > n - 1 - {h} THEN last_value(t IGNORE NULLS) {whole} ELSE t END AS detrended FROM a),
+  m AS (SELECT series_id, pos % {period} AS phase, quantile_cont(detrended, 0.5) AS med FROM d GROUP BY 1, 2),
+  s AS (SELECT series_id, phase, med - avg(med) OVER (PARTITION BY series_id) AS season FROM m)
+  SELECT d.series_id, timestamp, value, pos, n, {period} AS period, detrended, season, detrended - season AS resid
+  FROM d JOIN s ON s.series_id = d.series_id AND s.phase = d.pos % {period})"""
+
+
+def strength_sql(name: str, *periods: int) -> str:
+    parts = " UNION ALL ".join(f"SELECT * FROM {season_sql(name, p)}" for p in periods)
+    return f"""SELECT series_id, period,
+      CASE WHEN var_pop(detrended) > 0 THEN greatest(0.0, 1 - var_pop(resid) / var_pop(detrended)) ELSE 0.0 END AS ss,
+      CASE WHEN var_pop(value - season) > 0 THEN greatest(0.0, 1 - var_pop(resid) / var_pop(value - season)) ELSE 0.0 END AS ts
+    FROM ({parts}) GROUP BY 1, 2"""
+
+
+def best_sql(name: str, *periods: int) -> str:
+    return f"""SELECT i.series_id, coalesce(s >= 0.3, false) AS detected, CASE WHEN s >= 0.3 THEN p END AS period,
+      coalesce(round_even(s, 4), 0.0) AS strength
+    FROM (SELECT DISTINCT series_id FROM ({panel_sql(name)})) i
+    LEFT JOIN (SELECT series_id, max(ss) AS s, arg_max(period, (ss, -period)) AS p FROM ({strength_sql(name, *periods)}) GROUP BY 1) b
+    ON b.series_id = i.series_id"""
+
+
+def outlier_sql(name: str, *periods: int) -> str:
+    parts = " UNION ALL ".join(f"SELECT * FROM {season_sql(name, p)}" for p in periods)
+    return f"""
+  WITH parts AS ({parts}), best AS ({best_sql(name, *periods)}),
+  sig AS (SELECT p.series_id, p.timestamp, p.value AS signal FROM ({panel_sql(name)}) p JOIN best b ON b.series_id = p.series_id AND b.period IS NULL
+    UNION ALL SELECT p.series_id, p.timestamp, p.resid FROM parts p JOIN best b ON b.series_id = p.series_id AND b.period = p.period),
+  med AS (SELECT series_id, quantile_cont(signal, 0.5) AS m FROM sig GROUP BY 1),
+  mad AS (SELECT s.series_id, any_value(m) AS m, quantile_cont(abs(signal - m), 0.5) AS d FROM sig s JOIN med USING (series_id) GROUP BY 1),
+  z AS (SELECT s.*, CASE WHEN d > 0 THEN 0.6745 * (signal - m) / d ELSE 0.0 END AS z FROM sig s JOIN mad USING (series_id))"""
+
+
+def seasons(clean, frequency, layout):
+    """Decomposition (written once, it is read by the strengths and by the outliers) and best period."""
+    parts = cut_lineage(S.decompose(clean, [frequency], layout=layout))
+    return parts, S.best_period(clean, S.strengths(parts))
+
+
+@query(
+    "seasonal_strength",
+    f"""SELECT series_id, period, round_even(ss, 6) AS seasonal_strength, round_even(ts, 6) AS trend_strength
+  FROM ({strength_sql("orders_daily", 7, 30, 365)})""",
+)
+def seasonal_strength(spark, sf):
+    def run(rows, layout):
+        return S.strengths(S.decompose(compact(number_rows(rows, layout), layout), ["Daily"], layout=layout))
+
+    out = by_length(panel(spark, sf, "orders_daily"), run)
+    return rounded(out, 6, "seasonal_strength", "trend_strength")
+
+
+def best_periods(rows, frequency):
+    def run(part, layout):
+        clean = compact(number_rows(part, layout), layout)
+        return S.best_period(clean, S.strengths(S.decompose(clean, [frequency], layout=layout)))
+
+    return by_length(rows, run).drop("n")
+
+
+@query("profile_seasonality", best_sql("events_hourly", 24, 168))
+def profile_seasonality(spark, sf):
+    return best_periods(panel(spark, sf, "events_hourly"), "Hourly")
+
+
+@query("profile_seasonality_monthly", best_sql("part_monthly", 12))
+def profile_seasonality_monthly(spark, sf):
+    return best_periods(panel(spark, sf, "part_monthly"), "Monthly")
+
+
+def scored(numbered, frequency, layout):
+    clean = compact(numbered, layout)
+    parts, season = seasons(clean, frequency, layout)
+    return S.robust_z(S.outlier_signal(clean, parts, season, layout), layout)
+
+
+@query(
+    "profile_outliers",
+    outlier_sql("part_monthly", 12)
+    + f""" SELECT n.series_id, coalesce(k, 0) AS count, round_even(coalesce(k, 0) / n, 8) AS pct
+  FROM (SELECT series_id, count(*) AS n FROM ({panel_sql("part_monthly")}) GROUP BY 1) n
+  LEFT JOIN (SELECT series_id, count(*) FILTER (WHERE abs(z) > 3.5) AS k FROM z GROUP BY 1) k ON k.series_id = n.series_id""",
+)
+def profile_outliers(spark, sf):
+    def run(rows, layout):
+        numbered = number_rows(rows, layout)
+        n_obs = numbered.groupBy("series_id").agg(F.max("n_obs").alias("n_obs"))
+        return S.outlier_counts(scored(numbered, "Monthly", layout), n_obs)
+
+    return rounded(by_length(panel(spark, sf, "part_monthly"), run), 8, "pct")
+
+
+@query(
+    "outlier_points",
+    outlier_sql("flag_daily", 7, 30, 365)
+    + " SELECT series_id, timestamp, round_even(signal, 4) AS signal, round_even(z, 9) AS z FROM z WHERE abs(z) > 3.5",
+)
+def outlier_points(spark, sf):
+    def run(rows, layout):
+        return S.outlier_points(scored(number_rows(rows, layout), "Daily", layout))
+
+    return rounded(rounded(by_length(panel(spark, sf, "flag_daily"), run), 4, "signal"), 9, "z")
