@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelcast.operators import profile_basic as B
 from panelcast.operators import season as S
+from panelcast.operators import unit_root as U
 from panelcast.operators.layout import by_length, compact, number_rows
 from panelcast.queries.q_panel import rounded
 from panelcast.queries.registry import query
@@ -228,3 +229,74 @@ def outlier_points(spark, sf):
         return S.outlier_points(scored(number_rows(rows, layout), "Daily", layout))
 
     return rounded(rounded(by_length(panel(spark, sf, "flag_daily"), run), 4, "signal"), 9, "z")
+
+
+def kpss_sql(name: str) -> str:
+    """KPSS from its definition: autocovariances by a join on the lag."""
+    return f"""(
+  WITH c AS (SELECT series_id, value, row_number() OVER (PARTITION BY series_id ORDER BY timestamp) - 1 AS pos,
+      count(*) OVER (PARTITION BY series_id) AS n, avg(value) OVER (PARTITION BY series_id) AS m FROM ({panel_sql(name)}) WHERE value IS NOT NULL),
+  e AS (SELECT series_id, pos, n, value - m AS e, sum(value - m) OVER (PARTITION BY series_id ORDER BY pos) AS s FROM c),
+  eta AS (SELECT series_id, any_value(n) AS n, sum(s * s) / any_value(n)**2 AS eta, sum(e * e) / any_value(n) AS g0,
+      floor(pow(any_value(n), 2.0::DOUBLE / 9.0::DOUBLE)) AS l0 FROM e GROUP BY 1),
+  acov AS (SELECT a.series_id, a.pos - b.pos AS lag, sum(a.e * b.e) AS c FROM e a JOIN e b ON a.series_id = b.series_id AND b.pos < a.pos GROUP BY 1, 2),
+  s AS (SELECT t.series_id, any_value(t.n) AS n, any_value(t.eta) AS eta, any_value(t.g0) AS g0,
+      any_value(t.g0) + sum(c / (t.n / 2)) AS s0, sum(lag * c / (t.n / 2)) AS s1
+    FROM eta t JOIN acov a ON a.series_id = t.series_id AND a.lag <= t.l0 GROUP BY 1),
+  w AS (SELECT *, least(floor(1.1447 * pow(pow(s1 / s0, 2), 1.0::DOUBLE / 3) * pow(n, 1.0::DOUBLE / 3)), n - 1) AS lags FROM s),
+  v AS (SELECT w.series_id, any_value(eta) AS eta, any_value(lags) AS lags,
+      any_value(g0) + 2.0 / any_value(n) * coalesce(sum((1 - lag / (lags + 1)) * c), 0) AS var
+    FROM w LEFT JOIN acov a ON a.series_id = w.series_id AND a.lag <= w.lags GROUP BY 1)
+  SELECT series_id, eta / var AS statistic, lags::INT AS lags,
+    CASE WHEN eta / var <= 0.347 THEN 0.10 WHEN eta / var <= 0.463 THEN 0.10 - (eta / var - 0.347) * 0.05 / 0.116
+      WHEN eta / var <= 0.574 THEN 0.05 - (eta / var - 0.463) * 0.025 / 0.111
+      WHEN eta / var <= 0.739 THEN 0.025 - (eta / var - 0.574) * 0.015 / 0.165 ELSE 0.01 END AS pvalue FROM v)"""
+
+
+def adf_sql(name: str) -> str:
+    """Dickey-Fuller without lags: t value of y[t-1] in the regression of dy[t] on it."""
+    return f"""(
+  WITH c AS (SELECT series_id, lag(value) OVER w AS x, value - lag(value) OVER w AS d FROM ({panel_sql(name)})
+    WHERE value IS NOT NULL WINDOW w AS (PARTITION BY series_id ORDER BY timestamp)),
+  r AS (SELECT series_id, regr_slope(d, x) AS b, regr_sxx(d, x) AS sxx, regr_syy(d, x) AS syy, regr_count(d, x) AS m
+    FROM c WHERE x IS NOT NULL GROUP BY 1)
+  SELECT series_id, b / sqrt((syy - b * b * sxx) / (m - 2) / sxx) AS statistic FROM r)"""
+
+
+@query(
+    "profile_kpss",
+    f"SELECT series_id, round_even(statistic, 8) AS statistic, round_even(pvalue, 6) AS pvalue, lags FROM {kpss_sql('part_monthly')}",
+)
+def profile_kpss(spark, sf):
+    def run(rows, layout):
+        return U.kpss(compact(number_rows(rows, layout), layout), layout)
+
+    out = by_length(panel(spark, sf, "part_monthly"), run).drop("error")
+    return rounded(rounded(out, 8, "statistic"), 6, "pvalue")
+
+
+@query(
+    "profile_adf_no_lags",
+    f"SELECT series_id, round_even(statistic, 6) AS statistic FROM {adf_sql('part_monthly')}",
+)
+def profile_adf_no_lags(spark, sf):
+    def run(rows, layout):
+        return U.adf(compact(number_rows(rows, layout), layout), 0, layout)
+
+    return rounded(by_length(panel(spark, sf, "part_monthly"), run).select("series_id", "statistic"), 6, "statistic")
+
+
+@query("profile_adf")
+def profile_adf(spark, sf):
+    def run(rows, layout):
+        return U.adf(compact(number_rows(rows, layout), layout), layout=layout)
+
+    return by_length(panel(spark, sf, "part_monthly"), run)
+
+
+@query("profile_stationarity")
+def profile_stationarity(spark, sf):
+    def run(rows, layout):
+        return U.stationarity(compact(number_rows(rows, layout), layout), layout)
+
+    return by_length(panel(spark, sf, "part_monthly"), run)
