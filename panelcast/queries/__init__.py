@@ -1,4 +1,4 @@
-from panelcast.queries import q_features, q_panel, q_profile  # noqa: F401
+from panelcast.queries import q_catalog, q_features, q_panel, q_profile  # noqa: F401
 from panelcast.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
