@@ -240,10 +240,10 @@ def adf(clean: DataFrame, lags: int | None = None, layout: Layout = DEFAULT) ->
     )
 
 
-def stationarity(clean: DataFrame, layout: Layout = DEFAULT) -> DataFrame:
+def stationarity(clean: DataFrame, adf_lags: int | None = None, layout: Layout = DEFAULT) -> DataFrame:
     """Both tests; stationary when the unit root is rejected and level stationarity is not. A series
     that cannot be tested gets NULL statistics, stationary = false and the reason."""
-    a, k = adf(clean, layout=layout), kpss(clean, layout)
+    a, k = adf(clean, adf_lags, layout), kpss(clean, layout)
     rejects = F.coalesce(F.col("adf_pvalue") < ALPHA, F.lit(False))
     accepts = F.coalesce(F.col("kpss_pvalue") >= ALPHA, F.lit(False))
     both = a.select(

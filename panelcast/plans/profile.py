@@ -32,7 +32,11 @@ def _nested(df: DataFrame, name: str) -> DataFrame:
 
 
 def profile_numbered(
-    panel: DataFrame, numbered: DataFrame, frequencies: Iterable[str] | None, layout: Layout
+    panel: DataFrame,
+    numbered: DataFrame,
+    frequencies: Iterable[str] | None,
+    layout: Layout,
+    adf_lags: int | None = None,
 ) -> DataFrame:
     clean = compact(numbered, layout)
     parts = cut_lineage(S.decompose(clean, frequencies, layout=layout))
@@ -47,7 +51,7 @@ def profile_numbered(
         "missing": B.missing(panel),
         "seasonality": season,
         "trend": B.trend(clean),
-        "stationarity": U.stationarity(clean, layout),
+        "stationarity": U.stationarity(clean, adf_lags, layout),
         "intermittency": B.intermittency(panel),
         "outliers": S.outlier_counts(scored, head),
     }
@@ -74,13 +78,16 @@ def profile_numbered(
     )
 
 
-def profile_panel(panel: DataFrame, frequencies: Iterable[str] | None = None) -> DataFrame:
-    """One nested profile per series (PROFILE_SCHEMA). The timestamps of the outliers are not a list in
+def profile_panel(
+    panel: DataFrame, frequencies: Iterable[str] | None = None, adf_lags: int | None = None
+) -> DataFrame:
+    """One nested profile per series (PROFILE_SCHEMA). Naming the frequencies of the panel keeps the
+    periods of the others out of the plan; `adf_lags` caps the lags the unit root test may use. The timestamps of the outliers are not a list in
     the profile, which could grow without bound, but a table: see operators.season.outlier_points."""
 
     def run(rows: DataFrame, layout: Layout) -> DataFrame:
         numbered = cut_lineage(number_rows(rows, layout))
-        return profile_numbered(rows, numbered, frequencies, layout)
+        return profile_numbered(rows, numbered, frequencies, layout, adf_lags)
 
     return by_length(panel, run)
 

@@ -297,6 +297,6 @@ def profile_adf(spark, sf):
 @query("profile_stationarity")
 def profile_stationarity(spark, sf):
     def run(rows, layout):
-        return U.stationarity(compact(number_rows(rows, layout), layout), layout)
+        return U.stationarity(compact(number_rows(rows, layout), layout), layout=layout)
 
     return by_length(panel(spark, sf, "part_monthly"), run)
