@@ -36,7 +36,7 @@ def differenced(clean: DataFrame, layout: Layout) -> DataFrame:
     rows = spread(clean, "n", 1, layout=layout)
     change = F.col("value") - F.lag("value").over(in_chunk())
     return (
-        own_rows(rows.withColumn("value", change)).filter("pos > 0")
+        own_rows(rows.withColumn("value", change), layout).filter("pos > 0")
         .withColumn("pos", F.col("pos") - 1)
         .withColumn("n", F.col("n") - 1)
         .withColumn("chunk", chunk_of("pos", layout))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.frequency import FREQUENCIES, WINDOWS, default_window, per_frequency
 from panelcast.functions.holidays import us_federal
-from panelcast.operators.layout import DEFAULT, Layout, attach, in_chunk, own_rows, spread
+from panelcast.operators.layout import DEFAULT, Layout, attach, in_chunk, own_rows, reaching, spread
 
 FOURIER_ORDERS = (1, 2, 3)
 FEATURE_TYPES = ("calendar", "lag", "rolling_stat", "fourier", "holiday")
@@ -122,7 +122,7 @@ def apply_features(
             plain[s.name] = fourier(s.order, s.period, s.func, pos)
     rows = numbered
     if past:
-        rows = own_rows(spread(rows, "n_obs", back, layout=layout).withColumns(past))
+        rows = own_rows(spread(rows, "n_obs", back, layout=reaching(layout, back)).withColumns(past), layout)
     rows = rows.withColumns(plain)
     for s in enabled:
         if s.feature_type == "holiday":
@@ -252,7 +252,8 @@ def slot_features(
         past["lag_season"] = F.when(F.col("period").isNotNull(), lag(width)) if width else F.lit(None).cast("double")
         for s in ("mean", "std"):
             past[f"roll_{s}"] = rolling(width, s) if width else F.lit(None).cast("double")
-        return own_rows(spread(part, "n_obs", max(1, width or 1), layout=layout).withColumns(past))
+        reach = max(1, width or 1)
+        return own_rows(spread(part, "n_obs", reach, layout=reaching(layout, reach)).withColumns(past), layout)
 
     widths = frequency_windows(frequencies)
     parts = [branch(rows.filter(F.col("window") == w), w) for w in widths]

@@ -130,7 +130,7 @@ def spread(
         return rows.withColumn("own", F.lit(True))
     for width in (back, ahead):
         if isinstance(width, int) and width > layout.chunk_rows:
-            raise ValueError("a frame must not reach further than one chunk")
+            raise ValueError("a frame must not reach further than one chunk, see `reaching`")
     back = F.lit(back) if isinstance(back, int) else back
     ahead = F.lit(ahead) if isinstance(ahead, int) else ahead
     home = F.floor(F.col("pos") / layout.chunk_rows)
@@ -146,8 +146,14 @@ def spread(
     return rows.withColumn("chunk", F.explode(targets)).withColumn("own", F.col("chunk") == home)
 
 
-def own_rows(rows: DataFrame) -> DataFrame:
-    return rows.filter("own").drop("own")
+def own_rows(rows: DataFrame, layout: Layout) -> DataFrame:
+    """Back to one copy of each row, in the layout's own chunk."""
+    return rows.filter("own").drop("own").withColumn("chunk", chunk_of("pos", layout))
+
+
+def reaching(layout: Layout, rows: int) -> Layout:
+    """The layout with chunks no shorter than a frame of `rows` rows."""
+    return replace(layout, chunk_rows=max(layout.chunk_rows, rows))
 
 
 def in_chunk() -> Window:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.frequency import FREQUENCIES
-from panelcast.operators.layout import DEFAULT, Layout, add_totals, attach, in_chunk, own_rows, spread
+from panelcast.operators.layout import DEFAULT, Layout, add_totals, attach, in_chunk, own_rows, reaching, spread
 from panelcast.operators.median import add_median
 
 STRENGTH_CUT = 0.3
@@ -27,7 +27,7 @@ def _detrended(clean: DataFrame, period: int, names: list[str], min_cycles: int,
     """value minus centred moving average, for the series that have this candidate period."""
     h = period // 2
     rows = clean.filter(F.col("frequency").isin(names) & (F.col("n") >= min_cycles * period))
-    rows = spread(rows, "n", 2 * h, h, layout)
+    rows = spread(rows, "n", 2 * h, h, reaching(layout, 2 * h + 1))
     w, whole = in_chunk(), Window.partitionBy("series_id", "chunk")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("level", F.avg("value").over(whole))
@@ -46,7 +46,7 @@ def _detrended(clean: DataFrame, period: int, names: list[str], min_cycles: int,
         .when(F.col("pos") > F.col("n") - 1 - h, F.last("average", ignorenulls=True).over(edge))
         .otherwise(F.col("average"))
     )
-    return own_rows(rows.withColumn("trend", trend)).select(
+    return own_rows(rows.withColumn("trend", trend), layout).select(
         "series_id",
         F.lit(period).alias("period"),
         "chunk",

@@ -64,7 +64,7 @@ def tree_forecasts(
         if train.isEmpty():
             continue
         for name in presets:
-            model = GBTRegressor(maxIter=trees, seed=SEED, cacheNodeIds=True, **PRESETS[name]).fit(train)
+            model = GBTRegressor(maxIter=trees, seed=SEED, **PRESETS[name]).fit(train)
             part = model.transform(rows.filter("is_test")).select(
                 "series_id",
                 F.lit(name).alias("model_name"),

@@ -118,3 +118,21 @@ def forecast_gbt_leaf(spark, sf):
 @query("forecast_gbt_depth")
 def forecast_gbt_depth(spark, sf):
     return trees(spark, sf, "GBT_depth")
+
+
+@query("refit")
+def refit(spark, sf):
+    """Every daily event series with lag_1 switched off for some, all models, best model and deltas."""
+    rows = cut_lineage(panel(spark, sf, "events_daily"))
+    profile = cut_lineage(profile_panel(rows, ["Daily"]))
+    switches = configs(profile.select("series_id"))
+    out = K.refit(rows, profile, switches, ["Daily"])
+    return out.select("series_id", "best_model", F.size("metrics").alias("n_models"), F.size("config").alias("n_features"), "deltas.*")
+
+
+@query("benchmark_scores")
+def benchmark_scores(spark, sf):
+    """Every user series against every model with the default catalog."""
+    rows = cut_lineage(panel(spark, sf, "user_daily"))
+    profile = cut_lineage(profile_panel(rows, ["Daily"]))
+    return K.backtest(rows, profile, frequencies=["Daily"]).scores
