@@ -21,6 +21,7 @@ from panelcast.operators.layout import (
     chunk_arrays,
     chunk_of,
     in_chunk,
+    keep,
     own_rows,
     spread,
     sum_arrays,
@@ -34,7 +35,7 @@ MAX_P, MAX_Q, MAX_D = 3, 3, 2
 def differenced(clean: DataFrame, layout: Layout) -> DataFrame:
     """First differences of `clean`, in the same shape."""
     rows = spread(clean, "n", 1, layout=layout)
-    change = F.col("value") - F.lag("value").over(in_chunk())
+    change = F.col("value") - F.lag("value").over(in_chunk(layout))
     return (
         own_rows(rows.withColumn("value", change), layout).filter("pos > 0")
         .withColumn("pos", F.col("pos") - 1)
@@ -221,7 +222,7 @@ def arima(
     if max_q:
         # the long regression looks back less far, so it leaves out the first of the earlier rows
         spare = F.when(F.col("chunk") > 0, reach - F.col("m")).otherwise(F.lit(0))
-        ready = cut_lineage(ready)
+        ready = keep(ready, layout)
         grams = ready.select(
             "series_id", "chunk", "m", "mean", F.slice("values", spare + 1, F.size("values")).alias("values")
         ).mapInArrow(_long_grams, "series_id string, chunk bigint, m int, gram array<double>")

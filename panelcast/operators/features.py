@@ -55,17 +55,17 @@ def calendar_component(component: str, ts: Column, pos: Column) -> Column:
     return parts[component]
 
 
-def lag(k: int) -> Column:
-    return F.lag("value", k).over(in_chunk())
+def lag(k: int, layout: Layout = DEFAULT) -> Column:
+    return F.lag("value", k).over(in_chunk(layout))
 
 
-def rolling(window: int, stat: str) -> Column:
+def rolling(window: int, stat: str, layout: Layout = DEFAULT) -> Column:
     """Statistic of the `window` rows before the current one; NULL unless all of them have values.
 
     The frame is summed afresh per row and not as a difference of running sums: one spike would
     cost such a difference all digits of the spread of the rows after it.
     """
-    frame = in_chunk().rowsBetween(-window, -1)
+    frame = in_chunk(layout).rowsBetween(-window, -1)
     stats = {"mean": F.avg, "std": F.stddev_samp}
     if stat not in stats:
         raise ValueError(f"Unknown rolling stat: {stat}")
@@ -113,9 +113,9 @@ def apply_features(
     past, plain = {}, {}
     for s in enabled:
         if s.feature_type == "lag":
-            past[s.name] = lag(s.k)
+            past[s.name] = lag(s.k, layout)
         elif s.feature_type == "rolling_stat":
-            past[s.name] = rolling(s.window, s.stat)
+            past[s.name] = rolling(s.window, s.stat, layout)
         elif s.feature_type == "calendar":
             plain[s.name] = calendar_component(s.component, ts, pos)
         elif s.feature_type == "fourier":
@@ -244,14 +244,16 @@ def slot_features(
     Frame widths must be constants, so series are handled in one branch per window width. Naming the
     panel's frequencies keeps branches that cannot have rows out of the plan.
     """
-    rows = attach(numbered, plan.join(sizes(numbered), "series_id"), "n_obs", layout)
+    if not layout.whole:
+        plan = plan.join(sizes(numbered), "series_id")
+    rows = attach(numbered, plan, "n_obs", layout)
     pos, ts = F.col("pos"), F.col("timestamp")
 
     def branch(part: DataFrame, width: int | None) -> DataFrame:
-        past = {"lag_1": lag(1)}
-        past["lag_season"] = F.when(F.col("period").isNotNull(), lag(width)) if width else F.lit(None).cast("double")
+        past = {"lag_1": lag(1, layout)}
+        past["lag_season"] = F.when(F.col("period").isNotNull(), lag(width, layout)) if width else F.lit(None).cast("double")
         for s in ("mean", "std"):
-            past[f"roll_{s}"] = rolling(width, s) if width else F.lit(None).cast("double")
+            past[f"roll_{s}"] = rolling(width, s, layout) if width else F.lit(None).cast("double")
         reach = max(1, width or 1)
         return own_rows(spread(part, "n_obs", reach, layout=reaching(layout, reach)).withColumns(past), layout)
 

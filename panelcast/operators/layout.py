@@ -20,6 +20,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from panelcast.functions.frequency import FREQUENCIES, day_number, per_frequency
 from panelcast.session import cut_lineage
@@ -66,8 +67,8 @@ def number_rows(panel: DataFrame, layout: Layout = DEFAULT) -> DataFrame:
     """Add pos (0-based row number in time), cpos (the same over non-null values only, NULL on a
     null value), n_obs and n_clean (the two totals) and chunk (pos div chunk_rows)."""
     if layout.whole:
-        series = Window.partitionBy("series_id")
-        inside = series.orderBy("timestamp")
+        inside = Window.partitionBy("series_id").orderBy("timestamp")
+        series = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         blocked = panel.withColumns(
             {
                 "rows_before": F.lit(0).cast("bigint"),
@@ -156,10 +157,23 @@ def reaching(layout: Layout, rows: int) -> Layout:
     return replace(layout, chunk_rows=max(layout.chunk_rows, rows))
 
 
-def in_chunk() -> Window:
+def in_chunk(layout: Layout) -> WindowSpec:
+    """Rows in order. Whole series use the window they were numbered with, so nothing is sorted again."""
+    if layout.whole:
+        return Window.partitionBy("series_id").orderBy("timestamp")
     return Window.partitionBy("series_id", "chunk").orderBy("pos")
 
 
+def all_of_chunk(layout: Layout) -> WindowSpec:
+    return in_chunk(layout).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def keep(rows: DataFrame, layout: Layout) -> DataFrame:
+    """Rows that are read several times. Cut series are written; whole ones are left to Spark, which
+    computes them again from the one shuffle all operators of a panel share."""
+    return rows if layout.whole else cut_lineage(rows)
+
+
 def attach(
     rows: DataFrame,
     stats: DataFrame,

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.frequency import FREQUENCIES
-from panelcast.operators.layout import DEFAULT, Layout, add_totals, attach, in_chunk, own_rows, reaching, spread
+from panelcast.operators.layout import DEFAULT, Layout, add_totals, all_of_chunk, attach, in_chunk, own_rows, reaching, spread
 from panelcast.operators.median import add_median
 
 STRENGTH_CUT = 0.3
@@ -28,7 +28,7 @@ def _detrended(clean: DataFrame, period: int, names: list[str], min_cycles: int,
     h = period // 2
     rows = clean.filter(F.col("frequency").isin(names) & (F.col("n") >= min_cycles * period))
     rows = spread(rows, "n", 2 * h, h, reaching(layout, 2 * h + 1))
-    w, whole = in_chunk(), Window.partitionBy("series_id", "chunk")
+    w, whole = in_chunk(layout), all_of_chunk(layout)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("level", F.avg("value").over(whole))
     rows = rows.withColumn("through", F.sum(F.col("value") - F.col("level")).over(upto))
@@ -40,10 +40,9 @@ def _detrended(clean: DataFrame, period: int, names: list[str], min_cycles: int,
         total = (ahead("through") - behind("through") + ahead("until") - behind("until")) / 2
     inner = F.col("pos").between(h, F.col("n") - 1 - h)
     rows = rows.withColumn("average", F.when(inner, F.col("level") + total / period))
-    edge = whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     trend = (
-        F.when(F.col("pos") < h, F.first("average", ignorenulls=True).over(edge))
-        .when(F.col("pos") > F.col("n") - 1 - h, F.last("average", ignorenulls=True).over(edge))
+        F.when(F.col("pos") < h, F.first("average", ignorenulls=True).over(whole))
+        .when(F.col("pos") > F.col("n") - 1 - h, F.last("average", ignorenulls=True).over(whole))
         .otherwise(F.col("average"))
     )
     return own_rows(rows.withColumn("trend", trend), layout).select(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions import batch as B
-from panelcast.operators.layout import DEFAULT, Layout, attach, chunk_arrays, in_chunk, sum_arrays
+from panelcast.operators.layout import DEFAULT, Layout, all_of_chunk, attach, chunk_arrays, in_chunk, keep, sum_arrays
 
 ALPHA = 0.05
 
@@ -40,8 +40,7 @@ def kpss_pvalue(stat: Column) -> Column:
 def _centred_sums(clean: DataFrame, layout: Layout) -> DataFrame:
     """Rows with `s`, the running sum of the values less their mean."""
     if layout.whole:
-        whole = Window.partitionBy("series_id")
-        rows = clean.withColumn("mean", F.avg("value").over(whole)).withColumn("s_before", F.lit(0.0))
+        rows = clean.withColumn("mean", F.avg("value").over(all_of_chunk(layout))).withColumn("s_before", F.lit(0.0))
     else:
         per_chunk = clean.groupBy("series_id", "chunk").agg(F.sum("value").alias("v"), F.count(F.lit(1)).alias("c"))
         whole = Window.partitionBy("series_id")
@@ -50,11 +49,10 @@ def _centred_sums(clean: DataFrame, layout: Layout) -> DataFrame:
             "s_before", F.coalesce(F.sum(F.col("v") - F.col("c") * F.col("mean")).over(earlier), F.lit(0.0))
         )
         rows = clean.join(offsets.drop("v", "c"), ["series_id", "chunk"])
-    upto = in_chunk().rowsBetween(Window.unboundedPreceding, 0)
+    upto = in_chunk(layout).rowsBetween(Window.unboundedPreceding, 0)
     s = F.col("s_before") + F.sum(F.col("value") - F.col("mean")).over(upto)
-    return rows.select(
-        "series_id", "chunk", "pos", "n", F.when(F.col("pos") < F.col("n") - 1, s).otherwise(F.lit(0.0)).alias("s")
-    )
+    s = F.when(F.col("pos") < F.col("n") - 1, s).otherwise(F.lit(0.0))
+    return rows.select("series_id", "chunk", "pos", "n", "value", s.alias("s"))
 
 
 def _shifted_squares(sums: DataFrame, shifts: dict[str, Column]) -> DataFrame:
@@ -81,45 +79,75 @@ def _shifted_squares(sums: DataFrame, shifts: dict[str, Column]) -> DataFrame:
     return by_place.groupBy("series_id").agg(*[F.sum(F.col(n) * F.col(n)).alias(n) for n in names])
 
 
-def kpss(clean: DataFrame, layout: Layout = DEFAULT) -> DataFrame:
-    """statistic, pvalue and number of lags per series; NULL with an error text for a constant one.
+def _array_squares(s: Column, shift: Column) -> Column:
+    """The same sum for a series held in one array."""
+    gap = F.array_repeat(F.lit(0.0), shift.cast("int"))
+    squares = F.zip_with(F.concat(s, gap), F.concat(gap, s), lambda a, b: (a - b) * (a - b))
+    return F.aggregate(squares, F.lit(0.0), lambda total, x: total + x)
 
-    With Bartlett weights the long-run variance at l lags is the mean square of the sums of l + 1
-    neighbours over l + 1, which are differences of the running sum s. The autocovariances that the
-    automatic bandwidth needs follow from the two variances at L and L - 1 lags in the same way.
-    """
+
+def _bandwidth(d_start: Column, d_less: Column, n: Column) -> Column:
+    """Automatic number of lags from the squared sums at L + 1 and L neighbours."""
+    up_to = F.floor(F.pow(n, F.lit(2.0 / 9.0)))
+    s0 = (d_start - d_less) / n
+    s1 = (up_to + 1) * s0 - d_start / n
+    ratio = s1 / F.when(s0 != 0, s0)
+    chosen = F.floor(1.1447 * F.pow(ratio * ratio, F.lit(1.0 / 3.0)) * F.pow(n, F.lit(1.0 / 3.0)))
+    return F.least(F.coalesce(chosen, n - 1), n - 1)
+
+
+def _kpss_sums_whole(clean: DataFrame, layout: Layout) -> DataFrame:
+    """n, constant, ss, lags and d per series; a whole series fits into an array, so nothing is shuffled."""
     sums = _centred_sums(clean, layout)
-    stats = sums.groupBy("series_id").agg(
-        F.max("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.max(F.abs("s")).alias("reach")
+    in_order = F.sort_array(F.collect_list(F.struct("pos", "s")))
+    series = sums.groupBy("series_id").agg(
+        F.max("n").cast("double").alias("n"),
+        (F.max("value") == F.min("value")).alias("constant"),
+        F.sum(F.col("s") * F.col("s")).alias("ss"),
+        F.transform(in_order, lambda r: r["s"]).alias("s"),
     )
-    flat = clean.groupBy("series_id").agg(
-        (F.max("value") == F.min("value")).alias("constant"), F.max("n").alias("n")
+    start = F.floor(F.pow(F.col("n"), F.lit(2.0 / 9.0)))
+    lags = _bandwidth(_array_squares(F.col("s"), start + 1), _array_squares(F.col("s"), start), F.col("n"))
+    return series.withColumn("lags", lags).withColumn("d", _array_squares(F.col("s"), F.col("lags") + 1)).drop("s")
+
+
+def _kpss_sums_cut(clean: DataFrame, layout: Layout) -> DataFrame:
+    sums = keep(_centred_sums(clean, layout), layout)
+    stats = sums.groupBy("series_id").agg(
+        F.max("n").cast("double").alias("n"),
+        (F.max("value") == F.min("value")).alias("constant"),
+        F.sum(F.col("s") * F.col("s")).alias("ss"),
     )
     start = F.floor(F.pow(F.col("n"), F.lit(2.0 / 9.0)))
     width = _shifted_squares(sums, {"d_start": start + 1, "d_less": start})
-    n, up_to = F.col("n").cast("double"), F.floor(F.pow(F.col("n").cast("double"), F.lit(2.0 / 9.0)))
-    s0 = (F.col("d_start") - F.col("d_less")) / n
-    s1 = (up_to + 1) * s0 - F.col("d_start") / n
-    ratio = s1 / F.when(s0 != 0, s0)
-    chosen = F.floor(1.1447 * F.pow(ratio * ratio, F.lit(1.0 / 3.0)) * F.pow(n, F.lit(1.0 / 3.0)))
-    lags = width.join(stats, "series_id").select(
-        "series_id", "n", "ss", F.least(F.coalesce(chosen, F.col("n") - 1), F.col("n") - 1).alias("lags")
+    lags = keep(
+        stats.join(width, "series_id")
+        .withColumn("lags", _bandwidth(F.col("d_start"), F.col("d_less"), F.col("n")))
+        .drop("d_start", "d_less"),
+        layout,
     )
     final = _shifted_squares(attach(sums, lags.select("series_id", "n", "lags"), "n", layout), {"d": F.col("lags") + 1})
-    variance = F.col("d") / (n * (F.col("lags") + 1))
+    return lags.join(final, "series_id")
+
+
+def kpss(clean: DataFrame, layout: Layout = DEFAULT) -> DataFrame:
+    """statistic, pvalue and number of lags per series; NULL with an error text for a constant one.
+
+    With Bartlett weights the long-run variance at l lags is the mean square of the sums of l + 1
+    neighbours over l + 1, which are differences of the running sum s. The autocovariances that the
+    automatic bandwidth needs follow from the two variances at L and L - 1 lags in the same way.
+    """
+    series = (_kpss_sums_whole if layout.whole else _kpss_sums_cut)(clean, layout)
+    variance = F.col("d") / (F.col("n") * (F.col("lags") + 1))
     usable = ~F.col("constant") & (variance > 0)
-    stat = F.when(usable, F.col("ss") / (n * n) / F.when(variance > 0, variance))
-    return (
-        flat.join(lags.drop("n"), "series_id").join(final, "series_id")
-        .select("series_id", stat.alias("statistic"), "lags", "constant")
-        .select(
-            "series_id",
-            "statistic",
-            kpss_pvalue(F.col("statistic")).alias("pvalue"),
-            F.when(F.col("statistic").isNotNull(), F.col("lags")).cast("int").alias("lags"),
-            F.when(F.col("statistic").isNull(), F.lit(CONSTANT)).alias("error"),
-        )
-    )
+    stat = F.when(usable, F.col("ss") / (F.col("n") * F.col("n")) / F.when(variance > 0, variance))
+    return series.select("series_id", stat.alias("statistic"), "lags").select(
+        "series_id",
+        "statistic",
+        kpss_pvalue(F.col("statistic")).alias("pvalue"),
+        F.when(F.col("statistic").isNotNull(), F.col("lags")).cast("int").alias("lags"),
+        F.when(F.col("statistic").isNull(), F.lit(CONSTANT)).alias("error"),
+    )
 
 
 # ---- ADF ------------------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from panelcast.operators import profile_basic as B
 from panelcast.operators import season as S
 from panelcast.operators import unit_root as U
 from panelcast.operators.features import feature_catalog, slot_features, slot_plan
-from panelcast.operators.layout import Layout, by_length, compact, number_rows
+from panelcast.operators.layout import Layout, by_length, compact, keep, number_rows
 from panelcast.operators.ols import design, ols, residuals
 from panelcast.session import cut_lineage
 
@@ -39,7 +39,7 @@ def profile_numbered(
     adf_lags: int | None = None,
 ) -> DataFrame:
     clean = compact(numbered, layout)
-    parts = cut_lineage(S.decompose(clean, frequencies, layout=layout))
+    parts = keep(S.decompose(clean, frequencies, layout=layout), layout)
     season = cut_lineage(S.best_period(clean, S.strengths(parts)))
     scored = S.robust_z(S.outlier_signal(clean, parts, season, layout), layout)
     head = numbered.groupBy("series_id", "frequency").agg(
@@ -86,7 +86,7 @@ def profile_panel(
     the profile, which could grow without bound, but a table: see operators.season.outlier_points."""
 
     def run(rows: DataFrame, layout: Layout) -> DataFrame:
-        numbered = cut_lineage(number_rows(rows, layout))
+        numbered = keep(number_rows(rows, layout), layout)
         return profile_numbered(rows, numbered, frequencies, layout, adf_lags)
 
     return by_length(panel, run)
@@ -111,11 +111,11 @@ def diagnostic_deltas(
     plan = cut_lineage(slot_plan(catalog if catalog is not None else feature_catalog(flags(profile))))
 
     def run(rows: DataFrame, layout: Layout) -> DataFrame:
-        numbered = cut_lineage(number_rows(rows, layout))
-        x = cut_lineage(design(slot_features(numbered, plan, frequencies, layout), layout))
+        numbered = keep(number_rows(rows, layout), layout)
+        x = keep(design(slot_features(numbered, plan, frequencies, layout), layout), layout)
         fits = cut_lineage(ols(x))
-        left = residuals(x, fits, layout)
-        after = profile_numbered(left, cut_lineage(number_rows(left, layout)), frequencies, layout)
+        left = cut_lineage(residuals(x, fits, layout))
+        after = profile_numbered(left, keep(number_rows(left, layout), layout), frequencies, layout)
         return fits.select("series_id", "r_squared").join(after, "series_id").select(
             "series_id",
             "r_squared",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelcast.operators.features import feature_catalog, slot_features, slot_plan, toggle
-from panelcast.operators.layout import by_length, compact, number_rows
+from panelcast.operators.layout import by_length, compact, keep, number_rows
 from panelcast.operators import profile_basic as B
 from panelcast.operators import season as S
 from panelcast.operators.ols import design, ols, residuals
@@ -26,8 +26,7 @@ def catalog_flags(spark, sf, name, frequency):
     """The two detections the catalog needs, without the rest of the profile."""
 
     def run(rows, layout):
-        numbered = cut_lineage(number_rows(rows, layout))
-        clean = compact(numbered, layout)
+        clean = compact(keep(number_rows(rows, layout), layout), layout)
         season = S.best_period(clean, S.strengths(S.decompose(clean, [frequency], layout=layout)))
         return (
             season.join(B.trend(clean).select("series_id", F.col("detected").alias("trend_detected")), "series_id")
@@ -128,7 +127,7 @@ def features_per_series(spark, sf):
 
 def regression(spark, sf, name, frequency, plan):
     def run(rows, layout):
-        x = cut_lineage(design(slot_features(number_rows(rows, layout), plan, [frequency], layout), layout))
+        x = keep(design(slot_features(number_rows(rows, layout), plan, [frequency], layout), layout), layout)
         fits = cut_lineage(ols(x))
         left = residuals(x, fits, layout)
         return left.join(fits.select("series_id", "r_squared"), "series_id")

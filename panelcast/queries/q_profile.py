@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelcast.operators import profile_basic as B
 from panelcast.operators import season as S
 from panelcast.operators import unit_root as U
-from panelcast.operators.layout import by_length, compact, number_rows
+from panelcast.operators.layout import by_length, compact, keep, number_rows
 from panelcast.queries.q_panel import rounded
 from panelcast.queries.registry import query
 from panelcast.sources import panel as P
@@ -161,9 +161,9 @@ def outlier_sql(name: str, *periods: int) -> str:
 
 
 def seasons(clean, frequency, layout):
-    """Decomposition (written once, it is read by the strengths and by the outliers) and best period."""
-    parts = cut_lineage(S.decompose(clean, [frequency], layout=layout))
-    return parts, S.best_period(clean, S.strengths(parts))
+    """Decomposition and best period."""
+    parts = keep(S.decompose(clean, [frequency], layout=layout), layout)
+    return parts, cut_lineage(S.best_period(clean, S.strengths(parts)))
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,16 +25,23 @@ def local_session(cpus: int | str = 8, memory: str = "12g") -> SparkSession:
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write an intermediate result to the shared checkpoint folder and go on from there. Lost
-    executors then cost a re-read, not a recomputation of everything before."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir. Only a local session that names none gets
+    a temporary one."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-            folder = tempfile.mkdtemp(prefix="panelcast-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+        folder = tempfile.mkdtemp(prefix="panelcast-")
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write an intermediate result as a table in the shared folder and go on from there. What reads it
+    reads only the columns it needs, and lost executors cost a re-read, not a recomputation of
+    everything before."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/panelcast-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
