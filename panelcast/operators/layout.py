@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from panelcast.functions.frequency import FREQUENCIES, day_number, per_frequency
+from panelcast.functions.values import no_nan
 from panelcast.session import cut_lineage
 
 
@@ -42,7 +43,7 @@ def by_length(
 ) -> DataFrame:
     """`run` on the panel, its long series cut and all others whole. Writes the panel once (it is
     read several times from here on) and counts its rows per series."""
-    panel = cut_lineage(panel)
+    panel = cut_lineage(panel.withColumn("value", no_nan(F.col("value"))))
     counts = panel.groupBy("series_id").agg(F.count(F.lit(1)).alias("rows"))
     longest = counts.agg(F.max("rows")).first()[0] or 0
     whole = replace(layout, whole=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.holidays import holiday_dates
@@ -10,6 +10,7 @@ from panelcast.operators.explore import iso
 from panelcast.operators.features import FEATURE_TYPES
 
 DEFAULT_COUNTRY = "US"
+SALTS = 16
 NOTE_SCHEMA = """results ARRAY<STRUCT<series_id: STRING, narrative: STRING,
   suggested_features: ARRAY<STRUCT<name: STRING, feature_type: STRING, description: STRING, rationale: STRING,
     confidence: DOUBLE, holiday_country: STRING>>,
@@ -36,16 +37,20 @@ def payload(profile: DataFrame) -> DataFrame:
     return profile.select("series_id", document.alias("payload"))
 
 
-def payload_batches(payloads: DataFrame, per_batch: int) -> DataFrame:
-    """JSON arrays of at most `per_batch` documents, cut inside each partition, so no global order and
-    no large group is needed."""
-    batch = F.floor(F.monotonically_increasing_id() / per_batch)
+def payload_batches(payloads: DataFrame, per_batch: int, n_series: int) -> DataFrame:
+    """JSON arrays of at most `per_batch` documents. Series are hashed into buckets of about a thousand
+    batches and cut in id order there, so the batches are the same on every run and no task orders all
+    series."""
+    buckets = max(1, n_series // (per_batch * 1000))
+    bucket = F.pmod(F.xxhash64("series_id"), F.lit(buckets))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("series_id")) - 1
     return (
-        payloads.withColumn("batch", batch)
-        .groupBy("batch")
+        payloads.withColumn("bucket", bucket)
+        .withColumn("batch", F.floor(place / per_batch))
+        .groupBy("bucket", "batch")
         .agg(
             F.count(F.lit(1)).alias("n_series"),
-            F.concat(F.lit("["), F.array_join(F.collect_list("payload"), ","), F.lit("]")).alias("payload"),
+            F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("payload")), ","), F.lit("]")).alias("payload"),
         )
     )
 
@@ -88,31 +93,39 @@ def cross_check(features: DataFrame, calendar: DataFrame | None = None) -> DataF
     into the series' dates. NULL for other features; an unknown country counts 0.
 
     The range condition is joined through the year, so it is an equality join on (country, year)
-    followed by a filter, never a comparison of every note with every date.
+    followed by a filter, never a comparison of every note with every date. Many series can have the
+    same dates, so the counts go back to the rows over a salted key.
     """
     holiday = F.col("feature_type") == "holiday"
+    unchecked = features.filter(~holiday).withColumns(
+        {"holiday_confirmed": F.lit(None).cast("boolean"), "holiday_match_count": F.lit(None).cast("int")}
+    )
     country = F.coalesce(F.nullif(F.col("holiday_country"), F.lit("")), F.lit(DEFAULT_COUNTRY))
-    rows = features.withColumn("holiday_country", F.when(holiday, country).otherwise(F.col("holiday_country")))
-    start, end = F.col("start_timestamp").cast("date"), F.col("end_timestamp").cast("date")
-    asked = rows.filter(holiday).select(
-        "holiday_country", start.alias("from_day"), end.alias("to_day")
-    ).distinct()
+    rows = features.filter(holiday).withColumns(
+        {
+            "holiday_country": country,
+            "from_day": F.col("start_timestamp").cast("date"),
+            "to_day": F.col("end_timestamp").cast("date"),
+            "salt": F.pmod(F.xxhash64("series_id"), F.lit(SALTS)).cast("int"),
+        }
+    )
+    asked = rows.select("holiday_country", "from_day", "to_day").distinct()
     spans = asked.withColumn("year", F.explode(F.sequence(F.year("from_day"), F.year("to_day"))))
     dates = holiday_dates(spans.select("year").distinct(), calendar)
     counts = (
         spans.join(dates.withColumnRenamed("country", "holiday_country"), ["holiday_country", "year"])
         .filter(F.col("date").between(F.col("from_day"), F.col("to_day")))
         .groupBy("holiday_country", "from_day", "to_day")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).cast("int").alias("n"))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    keyed = rows.withColumn("from_day", F.when(holiday, start)).withColumn("to_day", F.when(holiday, end))
-    n = F.when(holiday, F.coalesce("n", F.lit(0)))
-    return (
-        keyed.join(counts, ["holiday_country", "from_day", "to_day"], "left")
-        .withColumn("holiday_confirmed", n > 0)
-        .withColumn("holiday_match_count", n.cast("int"))
-        .drop("from_day", "to_day", "n")
+    n = F.coalesce("n", F.lit(0))
+    checked = (
+        rows.join(counts, ["holiday_country", "from_day", "to_day", "salt"], "left")
+        .withColumns({"holiday_confirmed": n > 0, "holiday_match_count": n})
+        .drop("from_day", "to_day", "salt", "n")
     )
+    return checked.unionByName(unchecked)
 
 
 def feature_panel(catalog: DataFrame, notes: DataFrame, checked: DataFrame) -> DataFrame:

@@ -30,36 +30,45 @@ SEED = 1
 
 def training_table(features: DataFrame, layout: Layout = DEFAULT) -> DataFrame:
     """Feature rows (with is_test) as model input: scale, label, x_<slot> and has_<slot> columns, and
-    `complete` for rows all of whose used features are known."""
+    `complete` for rows all of whose used features are known. A series without a complete training row
+    cannot be forecast and is left out."""
     train = ~F.col("is_test")
-    size = F.avg(F.when(train, F.abs("value")))
-    rows = add_totals(features, ["series_id"], {"scale": size}, "n_obs", layout)
-    scale = F.when(F.col("scale") > 0, F.col("scale")).otherwise(F.lit(1.0))
-    complete, any_used = F.lit(True), F.lit(False)
+    complete, any_used = F.col("value").isNotNull(), F.lit(False)
     for s in SLOTS:
         complete = complete & (~F.col(f"use_{s}") | F.col(s).isNotNull())
         any_used = any_used | F.col(f"use_{s}")
+    totals = {"scale": F.avg(F.when(train, F.abs("value"))), "usable": F.count_if(train & F.col("complete"))}
+    rows = features.withColumn("complete", complete).filter(any_used)
+    rows = add_totals(rows, ["series_id"], totals, "n_obs", layout).filter("usable > 0")
+    scale = F.when(F.col("scale") > 0, F.col("scale")).otherwise(F.lit(1.0))
     x = [F.coalesce(F.col(s) / scale if s in SCALED else F.col(s), F.lit(0.0)).alias(f"x_{s}") for s in SLOTS]
     has = [F.col(f"use_{s}").cast("double").alias(f"has_{s}") for s in SLOTS]
-    return rows.filter(any_used).select(
+    return rows.select(
         "series_id", "frequency", "timestamp", "step", "is_test", scale.alias("scale"),
-        (F.col("value") / scale).alias("label"), (complete & F.col("value").isNotNull()).alias("complete"), *x, *has,
+        (F.col("value") / scale).alias("label"), "complete", *x, *has,
     )
 
 
+def _inputs(rows: DataFrame) -> list[str]:
+    """The slots any series uses, and the presence flag of those that not all use."""
+    ends = [f(f"has_{s}").alias(f"{f.__name__}_{s}") for s in SLOTS for f in (F.min, F.max)]
+    found = rows.agg(*ends).first()
+    used = [s for s in SLOTS if found[f"max_{s}"]]
+    return [f"x_{s}" for s in used] + [f"has_{s}" for s in used if not found[f"min_{s}"]]
+
+
 def tree_forecasts(
     table: DataFrame, frequencies: Iterable[str] | None = None, presets: Iterable[str] = tuple(PRESETS), trees: int = TREES
 ) -> DataFrame:
     """(series_id, model_name, step, predicted). Fitting runs Spark jobs."""
-    inputs = [f"{kind}_{s}" for s in SLOTS for kind in ("x", "has")]
-    assembled = cut_lineage(
-        VectorAssembler(inputCols=inputs, outputCol="features")
-        .transform(table)
-        .select("series_id", "frequency", "step", "is_test", "complete", "scale", "label", "features")
-    )
+    table = cut_lineage(table)
     out = None
     for frequency in FREQUENCIES if frequencies is None else frequencies:
-        rows = assembled.filter(F.col("frequency") == frequency)
+        rows = table.filter(F.col("frequency") == frequency)
+        inputs = _inputs(rows)
+        if not inputs:
+            continue
+        rows = VectorAssembler(inputCols=inputs, outputCol="features").transform(rows)
         train = rows.filter("complete AND NOT is_test").select("label", "features")
         if train.isEmpty():
             continue

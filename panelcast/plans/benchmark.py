@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from panelcast.operators.arima import arima, arima_forecasts
 from panelcast.operators.features import feature_catalog, slot_features, slot_plan, toggle
 from panelcast.operators.layout import Layout, by_length, compact, number_rows
-from panelcast.operators.scores import best_model, holdout, metrics
+from panelcast.operators.scores import best_model, holdout, metrics, run_status, upsert_scores
 from panelcast.operators.smoothing import smoothing_fits, smoothing_forecasts
 from panelcast.operators.trees import TREES, training_table, tree_forecasts
 from panelcast.plans.profile import diagnostic_deltas, flags
@@ -121,3 +121,28 @@ def refit(
     deltas = diagnostic_deltas(panel, profile, catalog, frequencies)
     deltas = deltas.select("series_id", F.struct(*[c for c in deltas.columns if c != "series_id"]).alias("deltas"))
     return scores.join(test.best, "series_id").join(test.config, "series_id").join(deltas, "series_id", "left")
+
+
+def run_benchmark(
+    panel: DataFrame,
+    index: DataFrame,
+    profile: DataFrame,
+    job_id: str,
+    run_seq: int,
+    now: Column,
+    current: DataFrame | None = None,
+    frequencies: Iterable[str] | None = None,
+    trees: int = TREES,
+) -> tuple[DataFrame, DataFrame]:
+    """Score every indexed series with the default catalog; returns the leaderboard entries (merged into
+    `current`) and the run's status row. A series without scores is a failure with a reason, the others
+    are not affected by it."""
+    scores = cut_lineage(backtest(panel, profile, frequencies=frequencies, trees=trees).scores)
+    entries = scores.drop("forecast_kind").withColumns(
+        {"job_id": F.lit(job_id), "run_seq": F.lit(run_seq), "computed_at": now}
+    )
+    scored = scores.filter("smape IS NOT NULL").select("series_id", F.lit(True).alias("ok")).distinct()
+    outcomes = index.join(scored, "series_id", "left").select(
+        "series_id", F.when(F.col("ok").isNull(), "too few rows to hold out and train").alias("error")
+    )
+    return entries if current is None else upsert_scores(current, entries), run_status(index, outcomes)

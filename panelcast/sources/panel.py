@@ -17,17 +17,13 @@ from panelcast.functions.frequency import (
     step_phase,
     steps_between,
 )
+from panelcast.functions.values import no_nan
 from panelcast.operators.layout import DEFAULT, Layout
 
 PANEL = "series_id STRING, timestamp TIMESTAMP_NTZ, value DOUBLE, frequency STRING"
 RAW_STEPS = "unique_id STRING, ds INT, y DOUBLE"
 
 
-def no_nan(value: Column) -> Column:
-    """NaN means missing; from here on missing is NULL."""
-    return F.when(~F.isnan(value), value)
-
-
 def panel_from_rows(
     rows: DataFrame, series: Column, ts: Column, value: Column, frequency: str
 ) -> DataFrame:
@@ -73,7 +69,7 @@ def write_panel(panel: DataFrame, path: str) -> None:
 
 
 def read_panel(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PANEL).parquet(path)
+    return spark.read.schema(PANEL).parquet(path).withColumn("value", no_nan(F.col("value")))
 
 
 def series_index(panel: DataFrame, dataset: str, source_path: str) -> DataFrame:

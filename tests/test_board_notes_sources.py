@@ -81,7 +81,7 @@ def test_holiday_cross_check(spark):
 
 def test_payload_is_json(spark, make_panel):
     profile = profile_panel(make_panel({"test_series": np.random.default_rng(0).normal(size=100), "b": np.zeros(20)}))
-    batches = [r.payload for r in N.payload_batches(N.payload(profile), 1).collect()]
+    batches = [r.payload for r in N.payload_batches(N.payload(profile), 1, 2).collect()]
     docs = {d["series_id"]: d for text in batches for d in json.loads(text.replace("Infinity", "1e999"))}
     assert set(docs) == {"test_series", "b"} and all(len(json.loads(t)) == 1 for t in batches)
     assert docs["test_series"]["frequency"] == "Daily" and len(docs["test_series"]["date_range"]) == 2

@@ -1,5 +1,4 @@
 import numpy as np
-import pandas as pd
 import pytest
 from conftest import by_id
 from pyspark.sql import functions as F
@@ -176,3 +175,22 @@ def test_without_features_there_are_no_tree_models(spark, trends, refitted):
     profile = refitted[1].withColumn("seasonality", F.struct(F.lit(False).alias("detected"), F.lit(None).cast("int").alias("period"), F.lit(0.0).alias("strength")))
     test = K.backtest(trends, profile, switches, ["Daily"], trees=2)
     assert {r.model_name for r in test.scores.collect()} == {"ARIMA", "ETS", "Theta"}
+
+
+def test_benchmark_run(spark, make_panel):
+    from panelcast.operators.scores import leaderboard
+    from panelcast.sources.panel import series_index
+
+    gen = np.random.default_rng(3)
+    panel = make_panel({"a": gen.normal(10, 1, 60), "b": gen.normal(5, 1, 45), "short": [1.0, 2.0, 3.0]}).cache()
+    index, profile = series_index(panel, "d", "p"), profile_panel(panel, ["Daily"]).cache()
+    run = lambda seq, old: K.run_benchmark(
+        panel, index, profile, f"job{seq}", seq, F.lit(seq), old, ["Daily"], trees=2
+    )
+    entries, status = run(1, None)
+    assert entries.count() == 10 and status.first().status == "failed" and status.first().done == 2
+    assert "too few rows" in status.first().error
+    merged, _ = run(2, entries)
+    rows = merged.collect()
+    assert len(rows) == 10 and {(r.job_id, r.computed_at) for r in rows} == {("job2", 1)}
+    assert [r.n_series for r in leaderboard(merged).collect()] == [2] * 5
