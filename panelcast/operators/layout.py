@@ -36,6 +36,7 @@ class Layout:
 
 
 DEFAULT = Layout()
+BROADCAST_IDS = 100_000
 
 
 def by_length(
@@ -45,11 +46,14 @@ def by_length(
     read several times from here on) and counts its rows per series."""
     panel = cut_lineage(panel.withColumn("value", no_nan(F.col("value"))))
     counts = panel.groupBy("series_id").agg(F.count(F.lit(1)).alias("rows"))
-    longest = counts.agg(F.max("rows")).first()[0] or 0
+    too_long = F.col("rows") > layout.chunk_rows
+    n_long = counts.agg(F.count_if(too_long)).first()[0]
     whole = replace(layout, whole=True)
-    if longest <= layout.chunk_rows:
+    if n_long == 0:
         return run(panel, whole)
-    long_ids = cut_lineage(counts.filter(F.col("rows") > layout.chunk_rows).select("series_id"))
+    long_ids = cut_lineage(counts.filter(too_long).select("series_id"))
+    if n_long <= BROADCAST_IDS:  # beyond that the join splits a series that is too big for one task
+        long_ids = F.broadcast(long_ids)
     short = panel.join(long_ids, "series_id", "left_anti")
     long = panel.join(long_ids, "series_id", "left_semi")
     return run(short, whole).unionByName(run(long, layout))

@@ -86,14 +86,18 @@ def _array_squares(s: Column, shift: Column) -> Column:
     return F.aggregate(squares, F.lit(0.0), lambda total, x: total + x)
 
 
-def _bandwidth(d_start: Column, d_less: Column, n: Column) -> Column:
-    """Automatic number of lags from the squared sums at L + 1 and L neighbours."""
+def _with_bandwidth(series: DataFrame) -> DataFrame:
+    """Add the automatic number of lags, from the squared sums at L + 1 and L neighbours. Step by step,
+    so that no sum is computed twice."""
+    n = F.col("n")
     up_to = F.floor(F.pow(n, F.lit(2.0 / 9.0)))
-    s0 = (d_start - d_less) / n
-    s1 = (up_to + 1) * s0 - d_start / n
-    ratio = s1 / F.when(s0 != 0, s0)
-    chosen = F.floor(1.1447 * F.pow(ratio * ratio, F.lit(1.0 / 3.0)) * F.pow(n, F.lit(1.0 / 3.0)))
-    return F.least(F.coalesce(chosen, n - 1), n - 1)
+    chosen = F.floor(1.1447 * F.pow(F.col("ratio") * F.col("ratio"), F.lit(1.0 / 3.0)) * F.pow(n, F.lit(1.0 / 3.0)))
+    return (
+        series.withColumn("s0", (F.col("d_start") - F.col("d_less")) / n)
+        .withColumn("ratio", ((up_to + 1) * F.col("s0") - F.col("d_start") / n) / F.when(F.col("s0") != 0, F.col("s0")))
+        .withColumn("lags", F.least(F.coalesce(chosen, n - 1), n - 1))
+        .drop("d_start", "d_less", "s0", "ratio")
+    )
 
 
 def _kpss_sums_whole(clean: DataFrame, layout: Layout) -> DataFrame:
@@ -107,8 +111,10 @@ def _kpss_sums_whole(clean: DataFrame, layout: Layout) -> DataFrame:
         F.transform(in_order, lambda r: r["s"]).alias("s"),
     )
     start = F.floor(F.pow(F.col("n"), F.lit(2.0 / 9.0)))
-    lags = _bandwidth(_array_squares(F.col("s"), start + 1), _array_squares(F.col("s"), start), F.col("n"))
-    return series.withColumn("lags", lags).withColumn("d", _array_squares(F.col("s"), F.col("lags") + 1)).drop("s")
+    series = series.withColumns(
+        {"d_start": _array_squares(F.col("s"), start + 1), "d_less": _array_squares(F.col("s"), start)}
+    )
+    return _with_bandwidth(series).withColumn("d", _array_squares(F.col("s"), F.col("lags") + 1)).drop("s")
 
 
 def _kpss_sums_cut(clean: DataFrame, layout: Layout) -> DataFrame:
@@ -120,12 +126,7 @@ def _kpss_sums_cut(clean: DataFrame, layout: Layout) -> DataFrame:
     )
     start = F.floor(F.pow(F.col("n"), F.lit(2.0 / 9.0)))
     width = _shifted_squares(sums, {"d_start": start + 1, "d_less": start})
-    lags = keep(
-        stats.join(width, "series_id")
-        .withColumn("lags", _bandwidth(F.col("d_start"), F.col("d_less"), F.col("n")))
-        .drop("d_start", "d_less"),
-        layout,
-    )
+    lags = keep(_with_bandwidth(stats.join(width, "series_id")), layout)
     final = _shifted_squares(attach(sums, lags.select("series_id", "n", "lags"), "n", layout), {"d": F.col("lags") + 1})
     return lags.join(final, "series_id")
 
