@@ -219,13 +219,16 @@ def slot_of() -> Column:
 
 
 def slot_plan(catalog: DataFrame) -> DataFrame:
-    """One row per series: period, window and one `use_<slot>` flag per slot."""
+    """One row per series: period, window, holiday country and one `use_<slot>` flag per slot."""
     slot = slot_of()
     flags = [
         F.coalesce(F.bool_or(F.when(slot == s, F.col("enabled"))), F.lit(False)).alias(f"use_{s}") for s in SLOTS
     ]
     return catalog.groupBy("series_id").agg(
-        F.max("params.period").alias("period"), F.max("params.window").alias("window"), *flags
+        F.max("params.period").alias("period"),
+        F.max("params.window").alias("window"),
+        F.max("params.country").alias("country"),
+        *flags,
     )
 
 
@@ -236,13 +239,35 @@ def frequency_windows(frequencies: Iterable[str] | None) -> list[int]:
     return sorted({w for f in known for w in (*f.periods, f.window) if w})
 
 
+def _holiday_slot(rows: DataFrame, calendar: DataFrame | None) -> DataFrame:
+    """0/1 by the country of each series; a country without a calendar stops the job, as a wrong column
+    of zeros would go unnoticed."""
+    date, country = F.col("timestamp").cast("date"), F.col("country")
+    value = F.when(country == "US", us_federal(date).cast("int"))
+    if calendar is not None:
+        days = calendar.select(F.col("country").alias("_country"), F.col("date").alias("_day")).distinct()
+        known = F.array(*[F.lit(r[0]) for r in calendar.select("country").distinct().collect()])
+        rows = rows.join(
+            days.withColumn("_hit", F.lit(1)), (country == F.col("_country")) & (date == F.col("_day")), "left"
+        )
+        value = value.when(F.array_contains(known, country), F.coalesce("_hit", F.lit(0)))
+    missing = F.raise_error(F.concat(F.lit("no holiday calendar for "), country)).cast("int")
+    value = F.when(F.col("use_holiday"), value.otherwise(missing))
+    return rows.withColumn("holiday", value).drop("_country", "_day", "_hit")
+
+
 def slot_features(
-    numbered: DataFrame, plan: DataFrame, frequencies: Iterable[str] | None = None, layout: Layout = DEFAULT
+    numbered: DataFrame,
+    plan: DataFrame,
+    frequencies: Iterable[str] | None = None,
+    layout: Layout = DEFAULT,
+    calendar: DataFrame | None = None,
 ) -> DataFrame:
     """All slots for all rows; a slot a series does not use, or has switched off, is NULL.
 
     Frame widths must be constants, so series are handled in one branch per window width. Naming the
-    panel's frequencies keeps branches that cannot have rows out of the plan.
+    panel's frequencies keeps branches that cannot have rows out of the plan. `calendar` gives the
+    holidays of countries other than the US.
     """
     if not layout.whole:
         plan = plan.join(sizes(numbered), "series_id")
@@ -266,8 +291,7 @@ def slot_features(
     plain |= {
         f"fourier_{f}_{k}": fourier(k, F.col("period"), f, pos) for k in FOURIER_ORDERS for f in ("sin", "cos")
     }
-    plain["holiday"] = us_federal(ts.cast("date")).cast("int")
-    out = out.withColumns(plain)
+    out = _holiday_slot(out.withColumns(plain), calendar)
     return out.select(
         *numbered.columns, *[F.when(F.col(f"use_{s}"), F.col(s)).cast("double").alias(s) for s in SLOTS],
         *[f"use_{s}" for s in SLOTS],

@@ -8,7 +8,10 @@ one step ahead, because the features of a test row hold the true values before i
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
@@ -26,6 +29,7 @@ PRESETS = {
 }
 SCALED = ("lag_1", "lag_season", "roll_mean", "roll_std")
 SEED = 1
+PARALLEL_FITS = 4
 
 
 def training_table(features: DataFrame, layout: Layout = DEFAULT) -> DataFrame:
@@ -62,26 +66,32 @@ def tree_forecasts(
 ) -> DataFrame:
     """(series_id, model_name, step, predicted). Fitting runs Spark jobs."""
     table = cut_lineage(table)
-    out = None
+    ready, pairs = {}, []
     for frequency in FREQUENCIES if frequencies is None else frequencies:
         rows = table.filter(F.col("frequency") == frequency)
         inputs = _inputs(rows)
-        if not inputs:
-            continue
-        rows = VectorAssembler(inputCols=inputs, outputCol="features").transform(rows)
-        train = rows.filter("complete AND NOT is_test").select("label", "features")
-        if train.isEmpty():
-            continue
-        for name in presets:
-            model = GBTRegressor(maxIter=trees, seed=SEED, **PRESETS[name]).fit(train)
-            part = model.transform(rows.filter("is_test")).select(
-                "series_id",
-                F.lit(name).alias("model_name"),
-                "step",
-                (F.col("prediction") * F.col("scale")).alias("predicted"),
-            )
-            out = part if out is None else out.unionByName(part)
-    if out is None:
+        if inputs and not rows.filter("complete AND NOT is_test").isEmpty():
+            ready[frequency] = VectorAssembler(inputCols=inputs, outputCol="features").transform(rows)
+            pairs += [(frequency, name) for name in presets]
+    if not pairs:
         schema = "series_id string, model_name string, step int, predicted double"
         return table.sparkSession.createDataFrame([], schema)
-    return out
+
+    def fit(pair):
+        frequency, name = pair
+        train = ready[frequency].filter("complete AND NOT is_test").select("label", "features")
+        return GBTRegressor(maxIter=trees, seed=SEED, **PRESETS[name]).fit(train)
+
+    # trees grow one after the other in many short jobs; the models do not depend on each other
+    with ThreadPool(min(PARALLEL_FITS, len(pairs))) as pool:
+        models = pool.map(inheritable_thread_target(table.sparkSession)(fit), pairs)
+    parts = [
+        model.transform(ready[frequency].filter("is_test")).select(
+            "series_id",
+            F.lit(name).alias("model_name"),
+            "step",
+            (F.col("prediction") * F.col("scale")).alias("predicted"),
+        )
+        for (frequency, name), model in zip(pairs, models)
+    ]
+    return reduce(DataFrame.unionByName, parts)

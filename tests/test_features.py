@@ -129,6 +129,19 @@ def test_toggle(spark):
     assert ("a", "nothing") not in out
 
 
+def test_holiday_slot_follows_the_country(spark, make_panel):
+    panel = make_panel({"us": np.arange(30.0), "at": np.arange(30.0)})
+    flags = profile_rows(spark, ("us", "Daily", False, False, None), ("at", "Daily", False, False, None))
+    us, at = (feature_catalog(flags.filter(f"series_id = '{c.lower()}'"), c) for c in ("US", "AT"))
+    plan = slot_plan(us.unionByName(at))
+    calendar = spark.createDataFrame([("AT", dt.date(2020, 1, 6))], "country string, date date")
+    out = slot_features(number_rows(panel, WHOLE), plan, ["Daily"], WHOLE, calendar)
+    days = {(r.series_id, r.timestamp.day) for r in out.filter("holiday = 1").collect()}
+    assert days == {("us", 1), ("us", 20), ("at", 6)}
+    with pytest.raises(Exception, match="no holiday calendar for AT"):
+        slot_features(number_rows(panel, WHOLE), plan, ["Daily"], WHOLE).collect()
+
+
 def test_regression_residuals_against_lstsq(spark, make_panel):
     """All features of a series with trend and quarter season, collinear waves included."""
     gen = np.random.default_rng(8)
