@@ -104,7 +104,11 @@ def flags(profile: DataFrame) -> DataFrame:
 
 
 def diagnostic_deltas(
-    panel: DataFrame, profile: DataFrame, catalog: DataFrame | None = None, frequencies: Iterable[str] | None = None
+    panel: DataFrame,
+    profile: DataFrame,
+    catalog: DataFrame | None = None,
+    frequencies: Iterable[str] | None = None,
+    adf_lags: int | None = None,
 ) -> DataFrame:
     """Per series: r_squared of its enabled features and the profile before and after taking them out.
     `catalog` defaults to the catalog of the profile, everything enabled."""
@@ -115,7 +119,7 @@ def diagnostic_deltas(
         x = keep(design(slot_features(numbered, plan, frequencies, layout), layout), layout)
         fits = cut_lineage(ols(x))
         left = cut_lineage(residuals(x, fits, layout))
-        after = profile_numbered(left, keep(number_rows(left, layout), layout), frequencies, layout)
+        after = profile_numbered(left, keep(number_rows(left, layout), layout), frequencies, layout, adf_lags)
         return fits.select("series_id", "r_squared").join(after, "series_id").select(
             "series_id",
             "r_squared",

@@ -139,12 +139,17 @@ def only_lag_1(catalog):
     return slot_plan(catalog.withColumn("enabled", F.col("name") == "lag_1"))
 
 
+def lag_1_sql(name: str) -> str:
+    """Residuals of the regression on the previous value."""
+    return f"""WITH p AS (SELECT series_id, timestamp, value, frequency, lag(value) OVER (PARTITION BY series_id ORDER BY timestamp) AS x FROM ({panel_sql(name)})),
+  f AS (SELECT series_id, regr_slope(value, x) AS b, regr_intercept(value, x) AS a, regr_r2(value, x) AS r2 FROM p WHERE x IS NOT NULL GROUP BY 1)
+  SELECT p.series_id, timestamp, value - a - b * x AS value, frequency, r2 FROM p JOIN f ON f.series_id = p.series_id WHERE x IS NOT NULL"""
+
+
 @query(
     "ols_residuals",
-    f"""WITH p AS (SELECT series_id, timestamp, value, lag(value) OVER (PARTITION BY series_id ORDER BY timestamp) AS x FROM ({panel_sql("user_daily")})),
-  f AS (SELECT series_id, regr_slope(value, x) AS b, regr_intercept(value, x) AS a, regr_r2(value, x) AS r2 FROM p WHERE x IS NOT NULL GROUP BY 1)
-  SELECT p.series_id, timestamp, round_even(value - a - b * x, 4) AS value, 'Daily' AS frequency, round_even(r2, 6) AS r_squared
-  FROM p JOIN f ON f.series_id = p.series_id WHERE x IS NOT NULL""",
+    f"""SELECT series_id, timestamp, round_even(value, 4) AS value, frequency, round_even(r2, 6) AS r_squared
+  FROM ({lag_1_sql("user_daily")})""",
 )
 def ols_residuals(spark, sf):
     plan = cut_lineage(only_lag_1(feature_catalog(catalog_flags(spark, sf, "user_daily", "Daily"))))

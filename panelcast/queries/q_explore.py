@@ -11,8 +11,8 @@ from panelcast.operators import explore as X
 from panelcast.operators import notes as N
 from panelcast.operators import profile_basic as B
 from panelcast.operators.features import feature_catalog, toggle
-from panelcast.plans.profile import flags, profile_panel
-from panelcast.queries.q_catalog import catalog_flags, catalog_sql, configs
+from panelcast.plans.profile import diagnostic_deltas, flags, profile_panel
+from panelcast.queries.q_catalog import catalog_flags, catalog_sql, configs, lag_1_sql
 from panelcast.queries.q_features import us_holiday_sql
 from panelcast.queries.q_panel import index_of, index_sql, rounded
 from panelcast.queries.q_profile import INTERMITTENCY_SQL, MISSING_SQL, TREND_SQL, adf_sql, best_sql, kpss_sql, outlier_sql
@@ -142,6 +142,29 @@ def compare_select(spark, sf):
     return rounded(X.compare(panel(spark, sf, "events_hourly"), COMPARED))
 
 
+AFTER_SQL = profile_sql(lag_1_sql("user_daily"), "date_diff('day', min(timestamp), max(timestamp)) + 1", 7, 30, 365)
+
+
+@query(
+    "diagnostic_deltas_lag_1",
+    f"""WITH b AS (SELECT * FROM {USER_PROFILE_SQL}), a AS (SELECT * FROM {AFTER_SQL}),
+  r AS (SELECT series_id, any_value(r2) AS r2 FROM ({lag_1_sql("user_daily")}) GROUP BY 1)
+  SELECT r.series_id, round_even(r2, 6) AS r_squared, b.trend_strength AS trend_strength_before, a.trend_strength AS trend_strength_after,
+    b.seasonality_strength AS seasonality_strength_before, a.seasonality_strength AS seasonality_strength_after,
+    b.adf_stationary AND b.kpss_stationary AS stationary_before, a.adf_stationary AND a.kpss_stationary AS stationary_after,
+    b.outlier_count AS outlier_count_before, a.outlier_count AS outlier_count_after, a.outlier_count < b.outlier_count AS outlier_count_fell,
+    a.trend_strength < b.trend_strength AS trend_strength_fell, a.seasonality_strength < b.seasonality_strength AS seasonality_strength_fell
+  FROM r JOIN a ON a.series_id = r.series_id JOIN b ON b.series_id = r.series_id""",
+)
+def diagnostic_deltas_lag_1(spark, sf):
+    """Deltas with only the previous value as a feature and the unit root test without lags."""
+    rows = cut_lineage(panel(spark, sf, "user_daily"))
+    profile = cut_lineage(profile_panel(rows, ["Daily"], adf_lags=0))
+    only = feature_catalog(flags(profile)).withColumn("enabled", F.col("name") == "lag_1")
+    out = diagnostic_deltas(rows, profile, only, ["Daily"], adf_lags=0)
+    return rounded(out, 6, "r_squared", "trend_strength_before", "trend_strength_after")
+
+
 # ---- result tables --------------------------------------------------------------------------
 
 

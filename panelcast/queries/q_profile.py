@@ -286,6 +286,28 @@ def profile_adf_no_lags(spark, sf):
     return rounded(by_length(panel(spark, sf, "part_monthly"), run).select("series_id", "statistic"), 6, "statistic")
 
 
+def adf_one_lag_sql(name: str) -> str:
+    """Dickey-Fuller with zero or one lag, chosen by AIC on common rows; two-regressor normal equations."""
+    return f"""
+  WITH c AS (SELECT series_id, lag(value) OVER w AS x, value - lag(value) OVER w AS d, lag(value) OVER w - lag(value, 2) OVER w AS z
+    FROM ({panel_sql(name)}) WHERE value IS NOT NULL WINDOW w AS (PARTITION BY series_id ORDER BY timestamp)),
+  s AS (SELECT series_id, count(*) AS m, regr_sxx(d, x) AS xx, regr_sxx(d, z) AS zz, regr_sxy(z, x) AS xz, regr_sxy(d, x) AS xd,
+      regr_sxy(d, z) AS zd, regr_syy(d, x) AS dd FROM c WHERE z IS NOT NULL GROUP BY 1),
+  b AS (SELECT *, xx * zz - xz * xz AS det, (xd * zz - zd * xz) / (xx * zz - xz * xz) AS b1, (zd * xx - xd * xz) / (xx * zz - xz * xz) AS b2 FROM s),
+  r AS (SELECT *, dd - xd * xd / xx AS ssr0, dd - b1 * xd - b2 * zd AS ssr1 FROM b)
+  SELECT r.series_id, CASE WHEN m * ln(ssr1) + 2 < m * ln(ssr0) THEN 1 ELSE 0 END::INT AS lags,
+    round_even(CASE WHEN m * ln(ssr1) + 2 < m * ln(ssr0) THEN b1 / sqrt(ssr1 / (m - 3) * zz / det) ELSE a.statistic END, 6) AS statistic
+  FROM r JOIN {adf_sql(name)} a ON a.series_id = r.series_id"""
+
+
+@query("profile_adf_one_lag", adf_one_lag_sql("part_monthly"))
+def profile_adf_one_lag(spark, sf):
+    def run(rows, layout):
+        return U.adf(compact(number_rows(rows, layout), layout), 1, layout)
+
+    return rounded(by_length(panel(spark, sf, "part_monthly"), run).select("series_id", "lags", "statistic"), 6, "statistic")
+
+
 @query("profile_adf")
 def profile_adf(spark, sf):
     def run(rows, layout):

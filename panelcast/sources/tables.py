@@ -34,7 +34,9 @@ def panel(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def panel_sql(name: str) -> str:
-    """The same panel in DuckDB SQL."""
+    """The same panel in DuckDB SQL; any other text is taken as the SQL of a panel itself."""
+    if name not in PANELS:
+        return name
     source, series, ts, value, frequency = PANELS[name]
     label = {
         "Hourly": f"date_trunc('hour', {ts})",
