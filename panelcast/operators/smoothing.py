@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions import batch as B
-from panelcast.operators.layout import DEFAULT, Layout, attach, chunk_arrays
+from panelcast.operators.layout import DEFAULT, Layout, chunk_arrays
 
 LEVEL_ALPHAS = tuple(round(0.05 * i, 2) for i in range(1, 20)) + (0.99,)
 ALPHAS, BETAS, PHIS = (0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9), (0.01, 0.05, 0.1, 0.2, 0.4), (0.8, 0.9, 0.98)

@@ -18,7 +18,6 @@ from panelcast.queries.q_panel import index_of, index_sql, rounded
 from panelcast.queries.q_profile import INTERMITTENCY_SQL, MISSING_SQL, TREND_SQL, adf_sql, best_sql, kpss_sql, outlier_sql
 from panelcast.queries.registry import query
 from panelcast.session import cut_lineage
-from panelcast.sources import panel as P
 from panelcast.sources import stores as T
 from panelcast.sources.tables import panel, panel_sql
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from panelcast.operators.features import FeatureSpec, apply_features, features_long
 from panelcast.operators.layout import number_rows
 from panelcast.queries.q_panel import rounded

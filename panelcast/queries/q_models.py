@@ -15,7 +15,7 @@ from panelcast.queries.q_panel import rounded
 from panelcast.queries.q_scores import split_sql
 from panelcast.queries.registry import query
 from panelcast.session import cut_lineage
-from panelcast.sources.tables import panel, panel_sql
+from panelcast.sources.tables import panel
 
 
 def smooth(spark, sf, name):
