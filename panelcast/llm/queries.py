@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelcast.llm.exact_dedup import exact_groups
+from panelcast.llm.secret_scan import BASE, scanned
+from panelcast.llm.url_filters import Rule, host_rule, judged
 from panelcast.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +34,54 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = min(doc_id) OVER w AS kept, sha256(body) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY body)
 """
+
+
+URL_RULES = [
+    host_rule("net", "/", allow=False),
+    host_rule("example.net", "/en/", allow=True),
+    host_rule("example.com", "/de/", allow=False),
+    host_rule("org", "/fr/", allow=True),
+    *(Rule(None, f"*{word}*/**", allow=False, weight=0) for word in ("casino", "pills", "adult", "bets")),
+    *(Rule(None, f"*{word}*", allow=False, weight=0) for word in ("casino", "pills", "adult", "bets")),
+]
+
+
+@query
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+ORACLES["op1_url_filters"] = r"""
+WITH u AS (
+    SELECT page_id,
+           translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path
+    FROM pages
+), r AS (
+    SELECT *, CASE
+        WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+        WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+        WHEN ends_with('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+        WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+    FROM u
+)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN regexp_matches(host, 'casino|pills|adult|bets') THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+"""
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scanned(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s.base)
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+    def kind(name: str):
+        return F.size(F.filter(base, lambda s: s.kind == name)).cast("long").alias(f"n_{name}")
+
+    return found.select("doc_id", *map(kind, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
