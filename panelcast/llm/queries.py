@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcast.llm.bpe import round_trip
 from panelcast.llm.exact_dedup import exact_groups
 from panelcast.llm.secret_scan import BASE, scanned
 from panelcast.llm.url_filters import Rule, host_rule, judged
@@ -85,3 +86,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter(base, lambda s: s.kind == name)).cast("long").alias(f"n_{name}")
 
     return found.select("doc_id", *map(kind, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+@query
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
