@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.bpe import round_trip
 from panelcast.llm.exact_dedup import exact_groups
+from panelcast.llm.ngram_join import similar_groups
 from panelcast.llm.secret_scan import BASE, scanned
 from panelcast.llm.url_filters import Rule, host_rule, judged
 from panelcast.sources.tables import table
@@ -93,3 +94,8 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(table(spark, sf_dir, "documents"))
