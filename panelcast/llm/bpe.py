@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.mapped import opened, publish
 from panelcast.llm.tables import slices
-from panelcast.llm.words import named, spans, text_bytes
+from panelcast.llm.words import distinct_runs
 from panelcast.session import cut_lineage
 
 LEXICON = 1 << 17  # words
@@ -255,20 +255,9 @@ def ragged(flat: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.nd
     return flat[np.repeat(first[rows] - begin[:-1], size) + np.arange(begin[-1])], begin
 
 
-def _distinct_runs(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct runs between white space of a batch, the number of each run in order, counts, and the
-    number of runs before each text (and in all)."""
-    data, bounds = text_bytes(column)
-    start, end = spans(data)
-    _, first, inverse, count = np.unique(named(data, start, end), return_index=True, return_inverse=True, return_counts=True)
-    raw = data.tobytes()
-    runs = [raw[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-    return runs, inverse.ravel(), count, np.searchsorted(start, bounds)
-
-
 def encoded(tokenizer: Tokenizer, lexicon: dict[str, np.ndarray], column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of a batch of texts behind one another, and where those of each text begin."""
-    runs, inverse, _, before = _distinct_runs(column)
+    runs, inverse, _, before = distinct_runs(column)
     parts = [tokenizer.words(r) for r in runs]
     slot: dict[str, int] = {}
     index = [slot.setdefault(w, len(slot)) if isinstance(w, str) else -1 - w for p in parts for w in p]
@@ -307,7 +296,7 @@ def _count(tokenizer: Tokenizer):
         counts: Counter = Counter()
         for batch in batches:
             for part in slices(batch, "text"):
-                runs, _, count, _ = _distinct_runs(part.column("text"))
+                runs, _, count, _ = distinct_runs(part.column("text"))
                 for r, n in zip(runs, count.tolist(), strict=True):
                     for w in tokenizer.words(r):
                         if isinstance(w, str) and len(w) <= LONG:

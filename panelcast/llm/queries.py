@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.bpe import round_trip
 from panelcast.llm.exact_dedup import exact_groups
+from panelcast.llm.langid import fitted, predicted, remainder
 from panelcast.llm.ngram_join import similar_groups
 from panelcast.llm.secret_scan import BASE, scanned
 from panelcast.llm.url_filters import Rule, host_rule, judged
@@ -99,3 +100,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = predicted(docs, fitted(docs, remainder("doc_id", 5) != 0))
+    return found.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -90,6 +90,17 @@ def named(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return name
 
 
+def distinct_runs(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct runs between white space of a batch, the number of each run in order, counts, and the
+    number of runs before each text (and in all)."""
+    data, bounds = text_bytes(column)
+    start, end = spans(data)
+    _, first, inverse, count = np.unique(named(data, start, end), return_index=True, return_inverse=True, return_counts=True)
+    raw = data.tobytes()
+    runs = [raw[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+    return runs, inverse.ravel(), count, np.searchsorted(start, bounds)
+
+
 def shingles(name: np.ndarray, first: np.ndarray, width: int) -> list[np.ndarray]:
     """Per text the sorted distinct names of its runs of `width` words. A text of fewer words has its whole
     sequence as its only one; a text without words has none."""
