@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelcast.llm.bpe import round_trip
 from panelcast.llm.exact_dedup import exact_groups
 from panelcast.llm.langid import fitted, predicted, remainder
+from panelcast.llm.lm import scored
 from panelcast.llm.ngram_join import similar_groups
 from panelcast.llm.secret_scan import BASE, scanned
 from panelcast.llm.url_filters import Rule, host_rule, judged
@@ -107,3 +108,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = predicted(docs, fitted(docs, remainder("doc_id", 5) != 0))
     return found.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scored(table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
+    held_out = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
