@@ -11,6 +11,7 @@ from panelcast.llm.bpe import round_trip
 from panelcast.llm.exact_dedup import exact_groups
 from panelcast.llm.langid import fitted, predicted, remainder
 from panelcast.llm.lm import scored
+from panelcast.llm.mixing import mixed
 from panelcast.llm.ngram_join import similar_groups
 from panelcast.llm.secret_scan import BASE, scanned
 from panelcast.llm.url_filters import Rule, host_rule, judged
@@ -116,3 +117,9 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False)).alias("held_out")
     return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
+
+
+@query
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixed(table(spark, sf_dir, "documents"), F.array("source"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
