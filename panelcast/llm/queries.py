@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelcast.llm.bpe import round_trip
 from panelcast.llm.exact_dedup import exact_groups
 from panelcast.llm.langid import fitted, predicted, remainder
+from panelcast.llm.lattice import near_copies
 from panelcast.llm.lm import scored
 from panelcast.llm.mixing import mixed
 from panelcast.llm.ngram_join import similar_groups
@@ -123,3 +124,8 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixed(table(spark, sf_dir, "documents"), F.array("source"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "embeddings"))
