@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.bpe import round_trip
 from panelcast.llm.exact_dedup import exact_groups
+from panelcast.llm.html_wrappers import extracted
 from panelcast.llm.langid import fitted, predicted, remainder
 from panelcast.llm.lattice import near_copies
 from panelcast.llm.lm import scored
@@ -129,3 +130,8 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages"))
