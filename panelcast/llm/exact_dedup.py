@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.tables import SPACES, with_group
+from panelcast.llm.tables import SPACES, small, with_group, without
 from panelcast.session import cut_lineage
 
 BLOCK = 16_384  # characters
@@ -77,6 +77,10 @@ def ranked(rows: DataFrame, columns: list[str], buckets: int) -> DataFrame:
     return rows.withColumn("name", F.col("_bucket") * F.lit(1 << 40) + rank).drop("_bucket")
 
 
+def _normal(text_col: str) -> Column:
+    return F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " ")
+
+
 def exact_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, buckets: int = BUCKETS
 ) -> DataFrame:
@@ -86,8 +90,7 @@ def exact_groups(
     Of equal texts the row with the smallest id stays; of repeated rows with that id, one. A null text counts as empty, empty
     texts are one group. A row with a null id stays only if its group has no other id. An empty table gives an empty
     result. Other columns are not read."""
-    normal = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " ")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), normal.alias("text")).withColumn("sha", F.sha2("text", 256))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), _normal(text_col).alias("text")).withColumn("sha", F.sha2("text", 256))
     blocks = cut_lineage(texts.mapInArrow(_blocks(block, DICTIONARY), BLOCKS))
     named = ranked(
         blocks.where("block is not null").select(F.col("row").alias("like_row"), F.col("pos").alias("like_pos"), "block"),
@@ -118,3 +121,16 @@ def exact_groups(
         (F.col("stays.row") == F.col("row")).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
+
+
+def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, that stay (see `exact_groups`). Where ids are unique, as they
+    should be, only the ids that go are joined; where some repeat, id and text decide together."""
+    found = cut_lineage(exact_groups(docs, id_col, text_col))
+    if found.groupBy(id_col).count().where("count > 1").isEmpty():
+        return without(docs, cut_lineage(found.where("not kept").select(id_col)), id_col)
+    sha = F.sha2(_normal(text_col), 256)
+    stays = cut_lineage(found.where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")))
+    both = docs.withColumn("_text", sha)
+    both = both.join(small(stays), both[id_col].eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_sha")), "left_semi")
+    return both.dropDuplicates([id_col, "_text"]).drop("_text")

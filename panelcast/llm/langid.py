@@ -197,6 +197,23 @@ def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     return texts.mapInArrow(_predict(model), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def _accept(model: Model, text_col: str, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for part in slices(batch, text_col):
+                languages, score = posteriors(model, part.column(text_col), memo)
+                yield part.filter(pa.array((np.array(languages, dtype=object) != UNKNOWN) & (score >= least), pa.bool_()))
+
+    return run
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose text has a language the model names with a score of at least `least`. Rows are
+    judged where they are read; nothing is shuffled."""
+    return docs.mapInArrow(_accept(model, text_col, least), docs.schema)
+
+
 def remainder(id_col: str, parts: int) -> Column:
     """crc32 of the id as text, modulo `parts`; null for a null id."""
     return F.crc32(F.col(id_col).cast("string")) % parts

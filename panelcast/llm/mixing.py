@@ -174,3 +174,12 @@ def mixed(
         F.col("id").alias(id_col), "sources", "size", "source_size", "target",
         (F.col("taken") + F.when(F.col("again"), F.col("size")).otherwise(0)).alias("taken"),
     )
+
+
+def mixture(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs`, with all their columns, as often as the mix takes them. Rows of one id are taken as often as
+    the one taken most; rows without words are not taken."""
+    found = mixed(docs, sources, id_col, text_col, **options).where("taken > 0")
+    times = found.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.expr("cast(taken div size AS int)")).alias("_times"))
+    joined = docs.join(small(cut_lineage(times)), docs[id_col].eqNullSafe(F.col("_id")))
+    return joined.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_id", "_times", "_time")

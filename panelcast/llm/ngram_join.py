@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm.components import components
-from panelcast.llm.tables import slices, small, with_group
+from panelcast.llm.tables import slices, small, with_group, without
 from panelcast.llm.words import shingles, words
 from panelcast.session import cut_lineage
 
@@ -328,3 +328,11 @@ def similar_groups(
         member = member.join(small(cut_lineage(linked)), "rep", "left").withColumn("component_id", F.coalesce("lowest", "least"))
     out = member.select("id", "n", "component_id").unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, whose id is the smallest of its component. Rows of one id share their fate:
+    they stay if one of them does."""
+    found = similar_groups(docs, id_col, text_col)
+    stays = F.max(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("stays")
+    return without(docs, cut_lineage(found.groupBy(id_col).agg(stays).where("not stays").select(id_col)), id_col)
