@@ -11,10 +11,12 @@ that are longer by l - 1 share at least l. Nothing that fails such a test can li
 3. The rest write whole sets. N-grams that only one of them has cannot match; the others are ordered from rare to common.
    A class with fewer than ceil(t n) of them is gone. The others are listed under their shortest prefix. Each also takes a
    longer one: it chooses l by estimated cost, the entries to read against the candidates left to verify.
-4. Classes listed under one n-gram are compared with one of them, the pivot: a candidate pair must share l n-grams of the longer
+4. Classes listed under one n-gram are compared with one of them, its pivot: a candidate pair must share l n-grams of the longer
    prefixes (l: the smaller of the two) before its whole sets are compared. Links form components. Pairs that are in one
-   component already add nothing, so a large group of near copies costs about one comparison a member, not one a pair.
-   After two rounds of pivots, every pair of different components listed together, and not compared yet, is compared.
+   component already add nothing, so most of a large group of near copies costs one comparison a member, not one a pair.
+5. Classes that met one pivot and are still in different components are compared with one another, in blocks, the small components
+   with all others: matches of one class with a whole block are counted at once, in the longer prefixes and then in
+   the sets, and one link to each component is written.
 
 So all links between different components are tested; a pair is left out only where it can't link or is connected already.
 N-grams are named by 64-bit hashes, sets by 128-bit ones.
@@ -40,7 +42,7 @@ WIDTH = 5
 SIMILARITY = (3, 4)  # as a fraction
 LONGEST_RUN = 1 << 20  # entries of one n-gram that are counted; more frequent ones rank alike
 SEEN = 200_000  # set names that a task remembers
-ROUNDS = 2
+BLOCK = 2048  # rows that are compared with as many others in one go
 
 
 def floor_of(n, similarity: tuple[int, int]):
@@ -248,48 +250,109 @@ def _possible(similarity: tuple[int, int]):
     )
 
 
-def _connected(sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """(node, label) of the sets that link to others."""
-    lists = cut_lineage(
-        sets.select("row", "n", F.size("items").cast("long").alias("m"), F.explode(F.expr("slice(items, 1, cast(base AS int))")).alias("item"))
-    )
-    labels = None
-    edges = tested = lists.select(F.col("row").alias("a"), F.col("row").alias("b")).where("false")
-    for turn in range(ROUNDS + 1):
-        if labels is None:
-            now = lists.withColumn("label", F.col("row"))
-        else:
-            now = lists.join(small(labels.withColumnRenamed("node", "row")), "row", "left").withColumn("label", F.coalesce("label", "row"))
-        # lists of one component have nothing left to find
-        best = F.struct((F.col("m") / F.col("n")).alias("share"), (-F.col("row")).alias("first"), "n", "m", "label")
-        open_ = now.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(best).alias("best"))
-        open_ = open_.where("low <> high")
-        if turn < ROUNDS:
-            # from the second turn on the pivot is taken outside the component of the first one
-            if turn:
-                outside = now.join(open_.select("item", F.col("best.label").alias("done")), "item").where("label <> done")
-                open_ = outside.groupBy("item").agg(F.max(best).alias("best"))
-            pivot = open_.select("item", (-F.col("best.first")).alias("b"), F.col("best.n").alias("n_b"), F.col("best.m").alias("m_b"), F.col("best.label").alias("label_b"))
-            left = now.select("item", F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("m").alias("m_a"), F.col("label").alias("label_a"))
-            pairs = left.join(pivot, "item")
-        else:
-            rest = now.join(open_.select("item"), "item", "left_semi")
-            left = rest.select("item", F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("m").alias("m_a"), F.col("label").alias("label_a"))
-            right = rest.select("item", F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"), F.col("label").alias("label_b"))
-            pairs = left.join(right, "item").where("a < b")
-        pairs = pairs.where("label_a <> label_b").where(_possible(similarity))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = cut_lineage(pairs.join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            if turn == ROUNDS or labels is None:
-                break
+def _across(rows: dict[str, np.ndarray], similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) between the rows that probe and the rows of other labels, one for each label a row links to.
+
+    `rows` has the fields of FIELDS, with `items` flat and `first` where those of each row begin. Matches with all rows are counted at once,
+    n-gram by n-gram: in the longer prefixes first, and over whole sets only for rows with candidates left."""
+    up, down = similarity
+    n, m, label = rows["n"], rows["m"], rows["label"]
+    first, reach = rows["first"], rows["base"] + rows["length"] - 1
+    owner = np.repeat(np.arange(len(n)), np.diff(first))
+    place = np.arange(len(owner)) - first[owner]
+    _, item = np.unique(rows["items"], return_inverse=True)
+    item = item.ravel()
+
+    def index(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.flatnonzero(keep)[np.argsort(item[keep], kind="stable")]
+        return owner[order], np.searchsorted(item[order], np.arange(item.max(initial=-1) + 2))
+
+    def matches(lists: tuple[np.ndarray, np.ndarray], items: np.ndarray) -> np.ndarray:
+        owners, begin = lists
+        size = begin[items + 1] - begin[items]
+        at = np.repeat(begin[items] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(owners[at], minlength=len(n))
+
+    low, whole = index(place < reach[owner]), index(np.ones(len(owner), dtype=bool))
+    a, b = [], []
+    for u in np.flatnonzero(rows["probes"]):
+        mine = item[first[u] : first[u + 1]]
+        fits = (label != label[u]) & (np.minimum(m, m[u]) * (up + down) >= (n + n[u]) * up)
+        fits &= matches(low, mine[: reach[u]]) >= np.minimum(rows["length"], rows["length"][u])
+        if not fits.any():
             continue
-        found = cut_lineage(_verified(pairs, sets, similarity))
-        tested = tested.unionByName(pairs)
-        if not found.isEmpty():
-            edges = edges.unionByName(found)
-            labels = components(edges)
-    return labels
+        both = matches(whole, mine)
+        good = np.flatnonzero(fits & (down * both >= up * (n + n[u] - both)))
+        good = good[np.unique(label[good], return_index=True)[1]]
+        a += [rows["row"][u]] * len(good)
+        b += rows["row"][good].tolist()
+    return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+
+
+FIELDS = ("row", "n", "m", "base", "length", "label", "probes")
+
+
+def _compare(similarity: tuple[int, int]):
+    def group(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        rows = {f: table[f].to_numpy() for f in FIELDS}
+        items = table["items"].combine_chunks()
+        rows["items"] = np.asarray(items.flatten())
+        rows["first"] = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(items)))]).astype(np.int64)
+        a, b = _across(rows, similarity)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, open_ = [], None
+        for batch in batches:
+            if not len(batch):
+                continue
+            key = np.stack([np.asarray(batch.column(f)) for f in ("pivot", "some", "other")])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), len(batch)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and tuple(key[:, a]) != open_:
+                    yield group(held)
+                    held = []
+                open_ = tuple(key[:, a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield group(held)
+
+    return run
+
+
+def _connected(sets: DataFrame, similarity: tuple[int, int]) -> DataFrame | None:
+    """(node, label) of the sets that link to others; None if there are none."""
+    size = F.size("items").cast("long").alias("m")
+    lists = sets.select("row", "n", size, F.explode(F.expr("slice(items, 1, cast(base AS int))")).alias("item"))
+    best = F.struct((F.col("m") / F.col("n")).alias("share"), (-F.col("row")).alias("first"), "n", "m")
+    pivots = lists.groupBy("item").agg(F.count("*").alias("many"), F.max(best).alias("best")).where("many > 1")
+    pivots = pivots.select("item", (-F.col("best.first")).alias("b"), F.col("best.n").alias("n_b"), F.col("best.m").alias("m_b"))
+    met = lists.select("item", F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("m").alias("m_a")).join(pivots, "item")
+    met = cut_lineage(met.drop("item").distinct())  # which sets are listed with which pivot
+    pairs = met.where("a <> b").where(_possible(similarity)).select("a", "b")
+    edges = cut_lineage(_verified(pairs, sets, similarity))
+    labels = components(edges)
+    # sets of one pivot that are in different components, against all others of that pivot
+    group = met.select(F.col("b").alias("pivot"), F.col("a").alias("row")).join(small(labels.withColumnRenamed("node", "row")), "row", "left")
+    group = group.withColumn("label", F.coalesce("label", "row"))
+    by_label = group.groupBy("pivot", "label").agg(F.count("*").alias("many"))
+    main = by_label.groupBy("pivot").agg(F.max(F.struct("many", "label")).alias("main"), F.sum("many").alias("many"), F.count("*").alias("labels"))
+    main = small(cut_lineage(main.where("labels > 1").select("pivot", F.col("main.label").alias("main"), "many")))
+    group = group.join(main, "pivot").withColumn("probes", F.col("label") != F.col("main"))
+    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
+    group = group.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    # a probing row meets every block, any row meets the probing rows of every block
+    asks = group.where("probes").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumnRenamed("block", "some")
+    there = group.withColumn("some", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumnRenamed("block", "other")
+    there = there.withColumn("probes", F.lit(False))
+    keys = ["pivot", "some", "other"]
+    group = asks.select(*keys, "row", "label", "probes").unionByName(there.select(*keys, "row", "label", "probes"))
+    group = group.join(sets.withColumn("m", size), "row").repartition(*keys).sortWithinPartitions(*keys, "row")
+    more = cut_lineage(group.mapInArrow(_compare(similarity), "a long, b long"))
+    if not more.isEmpty():
+        labels = components(edges.unionByName(more))
+    return None if labels.isEmpty() else labels
 
 
 def similar_groups(

@@ -74,7 +74,9 @@ def near_copies(rng, count, vocabulary):
 
 
 @pytest.mark.parametrize("seed,vocabulary", [(1, 3000), (2, 4), (3, 50)])
-def test_groups_equal_all_pairs(spark, seed, vocabulary):
+def test_groups_equal_all_pairs(spark, seed, vocabulary, monkeypatch):
+    if seed > 1:
+        monkeypatch.setattr(join, "BLOCK", 3)
     rng = random.Random(seed)
     rows = [(d, t) for d, t in enumerate(near_copies(rng, 220, vocabulary))]
     rows += [(900, None), (901, ""), (902, " \t"), (None, rows[3][1]), (5, rows[5][1]), (903, "A b\nC  d e f"), (904, "a B c D e F"), (905, "x y"), (906, "X\ty")]
@@ -102,3 +104,20 @@ def test_shared_items_stream(monkeypatch):
             batches = [pa.RecordBatch.from_arrays([pa.array(item[i : i + step]), pa.array(owner[i : i + step])], ["item", "owner"]) for i in range(0, 500, step)]
             got = [(r["item"], r["owner"], r["owners"]) for b in join._shared(iter(batches)) for r in b.to_pylist()]
             assert got == [(i, o, min(count[i], limit)) for i, o in pairs if count[i] > 1]
+
+
+def test_families_of_one_pivot(spark):
+    """Two families that share much of a text, and members too far from either."""
+    rng = random.Random(9)
+    core = [f"c{i}" for i in range(150)]
+    texts = []
+    for k in range(160):
+        tokens = core[:]
+        tokens[:25] = [f"f{k % 2}x{i}" for i in range(25)]
+        for _ in range(rng.choice((0, 1, 2, 4, 6))):
+            tokens[rng.randrange(150)] = f"e{rng.randrange(40)}"
+        texts.append(" ".join(tokens))
+    rows = list(enumerate(texts))
+    got = sorted((tuple(r) for r in join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == plain_groups(rows)
+    assert len({c for *_, c in got}) > 2
