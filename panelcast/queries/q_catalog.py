@@ -11,17 +11,12 @@ from panelcast.operators import season as S
 from panelcast.operators.ols import design, ols, residuals
 from panelcast.plans.profile import diagnostic_deltas, profile_panel
 from panelcast.queries.q_panel import rounded
-from panelcast.queries.q_profile import TREND_SQL, best_sql
+from panelcast.queries.q_profile import TREND_SQL, best_sql, gram_sql
 from panelcast.queries.registry import query
 from panelcast.session import cut_lineage
 from panelcast.sources.tables import panel, panel_sql
 
 
-@query("series_profile")
-def series_profile(spark, sf):
-    return profile_panel(panel(spark, sf, "part_monthly"), ["Monthly"])
-
-
 def catalog_flags(spark, sf, name, frequency):
     """The two detections the catalog needs, without the rest of the profile."""
 
@@ -157,10 +152,38 @@ def ols_residuals(spark, sf):
     return rounded(rounded(out, 4, "value"), 6, "r_squared")
 
 
-@query("ols_residuals_all_features")
+def ols_monthly_sql(name: str) -> str:
+    """Regression on all features of the catalog by normal equations: elimination in all rows, column by column; a column that
+    the ones before it explain stays out."""
+    waves = ", ".join(f"CASE WHEN seasonal THEN {f}(2 * pi() * {k} * t / 12) ELSE 0 END" for k in (1, 2, 3) for f in ("sin", "cos"))
+    step = """CASE WHEN a[j * q + j + 1] <= 1e-11 * g[j + 1] THEN a ELSE [CASE WHEN k // q <> j THEN
+      a[k + 1] - a[(k // q) * q + j + 1] * a[j * q + k % q + 1] / a[j * q + j + 1] ELSE a[k + 1] END FOR k IN range(q * q)] END"""
+    return f"""(
+  WITH RECURSIVE f AS ({flags_sql(name, 12)}),
+  p AS (SELECT *, row_number() OVER w - 1 AS t, avg(value) OVER (PARTITION BY series_id) AS mu, count(*) OVER (PARTITION BY series_id) AS n
+    FROM ({panel_sql(name)}) WINDOW w AS (PARTITION BY series_id ORDER BY timestamp)),
+  h AS (SELECT *, lag(value, 1) OVER w AS l1, lag(value, 12) OVER w AS l12, count(value) OVER r AS c, avg(value) OVER r AS m, stddev_samp(value) OVER r AS s
+    FROM p WINDOW w AS (PARTITION BY series_id ORDER BY t), r AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)),
+  x AS (SELECT h.series_id, timestamp, frequency, 14::BIGINT AS q, [CASE WHEN abs(v) > 1e-9 THEN v::DOUBLE ELSE 0.0 END FOR v IN [1.0, month(timestamp), CASE WHEN trend THEN t - (n - 1) / 2 ELSE 0 END, l1 - mu,
+      CASE WHEN seasonal THEN l12 - mu ELSE 0 END, m - mu, s, {waves}, value - mu]] AS x
+    FROM h JOIN f ON f.series_id = h.series_id WHERE value IS NOT NULL AND l1 IS NOT NULL AND c = 12 AND (NOT seasonal OR l12 IS NOT NULL)),
+  g AS (SELECT *, [a[i * q + i + 1] FOR i IN range(q)] AS g FROM ({gram_sql("x")})),
+  steps AS (SELECT series_id, q, g, a, 0::BIGINT AS j, NULL::DOUBLE AS total FROM g
+    UNION ALL SELECT series_id, q, g, b, j + 1, CASE WHEN j = 0 THEN b[q * q] ELSE total END FROM (SELECT *, {step} AS b FROM steps WHERE j < q - 1)),
+  fit AS (SELECT series_id, total, a[q * q] AS rest, [CASE WHEN a[i * q + i + 1] > 1e-11 * g[i + 1] THEN a[i * q + q] / a[i * q + i + 1] ELSE 0 END FOR i IN range(q - 1)] AS beta
+    FROM steps WHERE j = q - 1)
+  SELECT x.series_id, timestamp, x[q] - list_sum([beta[i] * x[i] FOR i IN range(1, q)]) AS value, frequency,
+    CASE WHEN len([b FOR b IN beta[2:] IF b <> 0]) = 0 THEN 0.0 WHEN total > 0 THEN greatest(0.0, least(1.0, 1 - rest / total)) ELSE 1.0 END AS r_squared
+  FROM x JOIN fit ON fit.series_id = x.series_id)"""
+
+
+@query(
+    "ols_residuals_all_features",
+    f"SELECT series_id, timestamp, round_even(value, 4) + 0.0 AS value, frequency, round_even(r_squared, 6) AS r_squared FROM {ols_monthly_sql('part_monthly')}",
+)
 def ols_residuals_all(spark, sf):
     plan = cut_lineage(slot_plan(feature_catalog(catalog_flags(spark, sf, "part_monthly", "Monthly"))))
-    return regression(spark, sf, "part_monthly", "Monthly", plan)
+    return rounded(rounded(regression(spark, sf, "part_monthly", "Monthly", plan), 4, "value"), 6, "r_squared")
 
 
 @query("diagnostic_deltas")

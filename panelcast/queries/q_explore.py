@@ -15,7 +15,7 @@ from panelcast.plans.profile import diagnostic_deltas, flags, profile_panel
 from panelcast.queries.q_catalog import catalog_flags, catalog_sql, configs, lag_1_sql
 from panelcast.queries.q_features import us_holiday_sql
 from panelcast.queries.q_panel import index_of, index_sql, rounded
-from panelcast.queries.q_profile import INTERMITTENCY_SQL, MISSING_SQL, TREND_SQL, adf_sql, best_sql, kpss_sql, outlier_sql
+from panelcast.queries.q_profile import INTERMITTENCY_SQL, MISSING_SQL, TREND_SQL, adf_no_lags_sql, adf_pvalue_sql, adf_sql, best_sql, kpss_sql, outlier_sql
 from panelcast.queries.registry import query
 from panelcast.session import cut_lineage
 from panelcast.sources import stores as T
@@ -24,26 +24,29 @@ from panelcast.sources.tables import panel, panel_sql
 LISTED = ("user_daily", "orders_daily", "flag_weekly")
 
 
-def profile_sql(name: str, grid: str, *periods: int) -> str:
-    """The whole profile in SQL; unit root test without lags (5 % at the response surface's -1.6448...)."""
+def profile_sql(name: str, grid: str, *periods: int, adf: str | None = None) -> str:
+    """The whole profile in SQL; `adf` may give another unit root test (series_id, statistic)."""
     p = panel_sql(name)
+    adf = adf or adf_sql(name)
     return f"""(
   WITH n AS (SELECT series_id, any_value(frequency) AS frequency, count(*) AS n_obs, min(timestamp) AS start_timestamp, max(timestamp) AS end_timestamp FROM ({p}) GROUP BY 1),
   m AS ({MISSING_SQL.format(grid=grid, panel=p)}), i AS ({INTERMITTENCY_SQL.format(rows=p)}),
-  t AS ({TREND_SQL.format(panel=p)}), b AS ({best_sql(name, *periods)}), k AS (SELECT * FROM {kpss_sql(name)}), a AS (SELECT * FROM {adf_sql(name)}),
+  t AS ({TREND_SQL.format(panel=p)}), b AS ({best_sql(name, *periods)}), k AS (SELECT * FROM {kpss_sql(name)}), a AS (SELECT series_id, statistic, {adf_pvalue_sql('statistic')} AS pvalue FROM {adf}),
   o AS ({outlier_sql(name, *periods)} SELECT series_id, count(*) FILTER (WHERE abs(z) > 3.5) AS hits FROM z GROUP BY 1)
   SELECT n.series_id, n.frequency, n.n_obs, n.start_timestamp, n.end_timestamp, m.expected_n, m.missing_count, m.missing_pct,
     b.detected AS seasonality_detected, b.period AS seasonality_period, b.strength AS seasonality_strength,
     t.detected AS trend_detected, t.slope AS trend_slope, t.strength AS trend_strength,
     round_even(a.statistic, 6) AS adf_statistic, round_even(k.statistic, 6) AS kpss_statistic,
-    coalesce(1.7339 * 0 + 2.1659 + 1.4412 * a.statistic + 0.038269 * a.statistic**2 < -1.6448536269514722 AND a.statistic <= -1.61, false) AS adf_stationary,
+    coalesce(a.pvalue < 0.05, false) AS adf_stationary,
     coalesce(k.statistic <= 0.463, false) AS kpss_stationary,
     i.zero_pct, i.adi, i.cv2, i.category, i.is_intermittent, o.hits AS outlier_count, round_even(o.hits / n.n_obs, 8) AS outlier_pct
   FROM n JOIN m USING (series_id) JOIN i USING (series_id) JOIN t USING (series_id) JOIN b USING (series_id)
     JOIN k USING (series_id) JOIN a USING (series_id) JOIN o USING (series_id))"""
 
 
-USER_PROFILE_SQL = profile_sql("user_daily", "date_diff('day', min(timestamp), max(timestamp)) + 1", 7, 30, 365)
+DAYS = "date_diff('day', min(timestamp), max(timestamp)) + 1"
+MONTHS = "date_diff('month', min(timestamp), max(timestamp)) + 1"
+USER_PROFILE_SQL = profile_sql("user_daily", DAYS, 7, 30, 365)
 
 
 def flat(profile: DataFrame) -> DataFrame:
@@ -65,15 +68,26 @@ def flat(profile: DataFrame) -> DataFrame:
     return out
 
 
+@query("series_profile", f"SELECT * FROM {profile_sql('part_monthly', MONTHS, 12)}")
+def series_profile(spark, sf):
+    return flat(profile_panel(panel(spark, sf, "part_monthly"), ["Monthly"]))
+
+
 def user_profile(spark, sf):
-    return profile_panel(panel(spark, sf, "user_daily"), ["Daily"], adf_lags=0)
+    return profile_panel(panel(spark, sf, "user_daily"), ["Daily"])
 
 
-@query("series_profile_no_lags", f"SELECT * FROM {USER_PROFILE_SQL}")
-def series_profile_no_lags(spark, sf):
+@query("series_profile_daily", f"SELECT * FROM {USER_PROFILE_SQL}")
+def series_profile_daily(spark, sf):
     return flat(user_profile(spark, sf))
 
 
+@query("series_profile_no_lags", f"SELECT * FROM {profile_sql('user_daily', DAYS, 7, 30, 365, adf=adf_no_lags_sql('user_daily'))}")
+def series_profile_no_lags(spark, sf):
+    """The unit root test without lags is a parameter of the profile."""
+    return flat(profile_panel(panel(spark, sf, "user_daily"), ["Daily"], adf_lags=0))
+
+
 @query("profile_json_roundtrip", f"SELECT * FROM {USER_PROFILE_SQL}")
 def profile_json_roundtrip(spark, sf):
     return flat(T.profiles_from_documents(T.profile_documents(user_profile(spark, sf))))
@@ -141,7 +155,7 @@ def compare_select(spark, sf):
     return rounded(X.compare(panel(spark, sf, "events_hourly"), COMPARED))
 
 
-AFTER_SQL = profile_sql(lag_1_sql("user_daily"), "date_diff('day', min(timestamp), max(timestamp)) + 1", 7, 30, 365)
+AFTER_SQL = profile_sql(lag_1_sql("user_daily"), DAYS, 7, 30, 365)
 
 
 @query(
@@ -156,11 +170,11 @@ AFTER_SQL = profile_sql(lag_1_sql("user_daily"), "date_diff('day', min(timestamp
   FROM r JOIN a ON a.series_id = r.series_id JOIN b ON b.series_id = r.series_id""",
 )
 def diagnostic_deltas_lag_1(spark, sf):
-    """Deltas with only the previous value as a feature and the unit root test without lags."""
+    """Deltas with only the previous value as a feature."""
     rows = cut_lineage(panel(spark, sf, "user_daily"))
-    profile = cut_lineage(profile_panel(rows, ["Daily"], adf_lags=0))
+    profile = cut_lineage(profile_panel(rows, ["Daily"]))
     only = feature_catalog(flags(profile)).withColumn("enabled", F.col("name") == "lag_1")
-    out = diagnostic_deltas(rows, profile, only, ["Daily"], adf_lags=0)
+    out = diagnostic_deltas(rows, profile, only, ["Daily"])
     return rounded(out, 6, "r_squared", "trend_strength_before", "trend_strength_after")
 
 

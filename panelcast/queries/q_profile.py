@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelcast.operators import profile_basic as B
 from panelcast.operators import season as S
 from panelcast.operators import unit_root as U
-from panelcast.operators.layout import by_length, compact, keep, number_rows
+from panelcast.operators.layout import DEFAULT, Layout, by_length, compact, keep, number_rows
 from panelcast.queries.q_panel import rounded
 from panelcast.queries.registry import query
 from panelcast.sources import panel as P
@@ -160,6 +160,9 @@ def outlier_sql(name: str, *periods: int) -> str:
   z AS (SELECT s.*, CASE WHEN d > 0 THEN 0.6745 * (signal - m) / d ELSE 0.0 END AS z FROM sig s JOIN mad USING (series_id))"""
 
 
+CUT = Layout(chunk_rows=512, block_steps=300, group_rows=200)  # the layout of series too long for one task, on shorter ones
+
+
 def seasons(clean, frequency, layout):
     """Decomposition and best period."""
     parts = keep(S.decompose(clean, [frequency], layout=layout), layout)
@@ -253,7 +256,7 @@ def kpss_sql(name: str) -> str:
       WHEN eta / var <= 0.739 THEN 0.025 - (eta / var - 0.574) * 0.015 / 0.165 ELSE 0.01 END AS pvalue FROM v)"""
 
 
-def adf_sql(name: str) -> str:
+def adf_no_lags_sql(name: str) -> str:
     """Dickey-Fuller without lags: t value of y[t-1] in the regression of dy[t] on it."""
     return f"""(
   WITH c AS (SELECT series_id, lag(value) OVER w AS x, value - lag(value) OVER w AS d FROM ({panel_sql(name)})
@@ -263,6 +266,53 @@ def adf_sql(name: str) -> str:
   SELECT series_id, b / sqrt((syy - b * b * sxx) / (m - 2) / sxx) AS statistic FROM r)"""
 
 
+def eliminated(a: str, q: str, j: str) -> str:
+    """A matrix of q columns (a list, row by row) after one step of elimination with pivot j."""
+    row, pivot = f"{a}[(k // {q}) * {q} + {j} + 1]", f"{a}[{j} * {q} + {j} + 1]"
+    return f"[CASE WHEN k // {q} > {j} THEN {a}[k + 1] - {row} * {a}[{j} * {q} + k % {q} + 1] / {pivot} ELSE {a}[k + 1] END FOR k IN range({q} * {q})]"
+
+
+def gram_sql(rows: str) -> str:
+    """Gram matrices by series from rows (series_id, q, x: a list of q values)."""
+    cell = "SELECT series_id, any_value(q) AS q, k, sum(x[k // q + 1] * x[k % q + 1]) AS v FROM (SELECT *, unnest(range(q * q)) AS k FROM {}) GROUP BY series_id, k"
+    return f"SELECT series_id, any_value(q) AS q, list(v ORDER BY k) AS a FROM ({cell.format(rows)}) GROUP BY series_id"
+
+
+def adf_sql(name: str) -> str:
+    """Augmented Dickey-Fuller by normal equations: elimination column by column gives the residual squares of all lags
+    on their common rows; the lag with the lowest AIC is fitted again on all its rows."""
+    changes = "CASE WHEN {lags} > 0 THEN [d[t - i + 1] FOR i IN range(1, {lags} + 1)] ELSE []::DOUBLE[] END"
+    return f"""(
+  WITH RECURSIVE c AS (SELECT series_id, value, timestamp, avg(value) OVER w AS mu, stddev_pop(value) OVER w AS sd FROM ({panel_sql(name)})
+    WHERE value IS NOT NULL WINDOW w AS (PARTITION BY series_id)),
+  y AS (SELECT series_id, count(*)::BIGINT AS n, max(value) = min(value) AS constant, list((value - mu) / nullif(sd, 0) ORDER BY timestamp) AS y,
+      least(ceil(12 * pow(count(*) / 100, 0.25::DOUBLE)), floor(count(*) / 2) - 2)::BIGINT AS lags FROM c GROUP BY 1),
+  d AS (SELECT *, [y[i + 1] - y[i] FOR i IN range(1, n)] AS d FROM y WHERE lags >= 0 AND NOT constant),
+  common AS (SELECT series_id, lags + 3 AS q, list_concat([1.0::DOUBLE, y[t + 1]], {changes.format(lags="lags")}, [d[t + 1]]) AS x
+    FROM (SELECT *, unnest(range(lags, n - 1)) AS t FROM d)),
+  steps AS (SELECT series_id, q, a, 0::BIGINT AS j, NULL::DOUBLE AS ssr FROM ({gram_sql("common")})
+    UNION ALL SELECT series_id, q, b, j + 1, b[q * q] FROM (SELECT *, {eliminated("a", "q", "j")} AS b FROM steps WHERE j < q - 1)),
+  best AS (SELECT s.series_id, min_by(j - 2, (n - 1 - lags) * ln(greatest(ssr, 1e-300)) + 2 * (j - 2)) AS b
+    FROM steps s JOIN d USING (series_id) WHERE j >= 2 GROUP BY 1),
+  own AS (SELECT series_id, b + 3 AS q, list_concat([1.0::DOUBLE], {changes.format(lags="b")}, [y[t + 1], d[t + 1]]) AS x
+    FROM (SELECT d.*, b, unnest(range(b, n - 1)) AS t FROM d JOIN best USING (series_id))),
+  last AS (SELECT series_id, q, a, 0::BIGINT AS j FROM ({gram_sql("own")})
+    UNION ALL SELECT series_id, q, {eliminated("a", "q", "j")}, j + 1 FROM last WHERE j < q - 2),
+  fit AS (SELECT series_id, q - 3 AS lags, a[(q - 1) * q - 1] AS yy, a[(q - 1) * q] AS yt, a[q * q] AS tt FROM last WHERE j = q - 2),
+  test AS (SELECT f.series_id, f.lags, yt / sqrt(yy * (tt - yt * yt / yy) / (n - 1 - f.lags - (f.lags + 2))) AS statistic
+    FROM fit f JOIN d USING (series_id) WHERE n - 1 - f.lags - (f.lags + 2) > 0)
+  SELECT series_id, statistic, lags::INT AS lags, {adf_pvalue_sql("statistic")} AS pvalue,
+    CASE WHEN constant THEN 'series is constant' WHEN statistic IS NULL THEN 'series too short' END AS error
+  FROM (SELECT y.series_id, y.constant, t.statistic, t.lags FROM y LEFT JOIN test t ON t.series_id = y.series_id))"""
+
+
+def adf_pvalue_sql(t: str) -> str:
+    """The response surface as a normal probability, by its power series."""
+    z = f"CASE WHEN {t} <= -1.61 THEN 2.1659 + 1.4412 * {t} + 0.038269 * {t}**2 ELSE 1.7339 + 0.93202 * {t} - 0.12745 * {t}**2 - 0.010368 * {t}**3 END"
+    odd = f"list_sum([({z}) * exp(k * ln(greatest(pow({z}, 2), 1e-300)) - (k + 1) * ln(2.0) - lgamma(k + 1.5) + 0.5 * ln(pi())) FOR k IN range(200)])"
+    return f"CASE WHEN {t} > 2.74 THEN 1.0 WHEN {t} < -18.83 THEN 0.0 WHEN {t} IS NOT NULL THEN 0.5 + exp(-pow({z}, 2) / 2) / sqrt(2 * pi()) * {odd} END"
+
+
 @query(
     "profile_kpss",
     f"SELECT series_id, round_even(statistic, 8) AS statistic, round_even(pvalue, 6) AS pvalue, lags FROM {kpss_sql('part_monthly')}",
@@ -277,7 +327,7 @@ def profile_kpss(spark, sf):
 
 @query(
     "profile_adf_no_lags",
-    f"SELECT series_id, round_even(statistic, 6) AS statistic FROM {adf_sql('part_monthly')}",
+    f"SELECT series_id, round_even(statistic, 6) AS statistic FROM {adf_no_lags_sql('part_monthly')}",
 )
 def profile_adf_no_lags(spark, sf):
     def run(rows, layout):
@@ -297,7 +347,7 @@ def adf_one_lag_sql(name: str) -> str:
   r AS (SELECT *, dd - xd * xd / xx AS ssr0, dd - b1 * xd - b2 * zd AS ssr1 FROM b)
   SELECT r.series_id, CASE WHEN m * ln(ssr1) + 2 < m * ln(ssr0) THEN 1 ELSE 0 END::INT AS lags,
     round_even(CASE WHEN m * ln(ssr1) + 2 < m * ln(ssr0) THEN b1 / sqrt(ssr1 / (m - 3) * zz / det) ELSE a.statistic END, 6) AS statistic
-  FROM r JOIN {adf_sql(name)} a ON a.series_id = r.series_id"""
+  FROM r JOIN {adf_no_lags_sql(name)} a ON a.series_id = r.series_id"""
 
 
 @query("profile_adf_one_lag", adf_one_lag_sql("part_monthly"))
@@ -308,17 +358,59 @@ def profile_adf_one_lag(spark, sf):
     return rounded(by_length(panel(spark, sf, "part_monthly"), run).select("series_id", "lags", "statistic"), 6, "statistic")
 
 
-@query("profile_adf")
+@query("profile_adf", f"SELECT series_id, round_even(statistic, 6) AS statistic, round_even(pvalue, 6) AS pvalue, lags, error FROM {adf_sql('part_monthly')}")
 def profile_adf(spark, sf):
     def run(rows, layout):
         return U.adf(compact(number_rows(rows, layout), layout), layout=layout)
 
-    return by_length(panel(spark, sf, "part_monthly"), run)
+    return rounded(by_length(panel(spark, sf, "part_monthly"), run), 6, "statistic", "pvalue")
 
 
-@query("profile_stationarity")
-def profile_stationarity(spark, sf):
+def stationarity_sql(name: str) -> str:
+    return f"""SELECT a.series_id, round_even(a.statistic, 6) AS adf_statistic, round_even(a.pvalue, 6) AS adf_pvalue,
+    coalesce(a.pvalue < 0.05, false) AS adf_stationary, round_even(k.statistic, 6) AS kpss_statistic, round_even(k.pvalue, 6) AS kpss_pvalue,
+    coalesce(k.pvalue >= 0.05, false) AS kpss_stationary, coalesce(a.pvalue < 0.05, false) AND coalesce(k.pvalue >= 0.05, false) AS stationary, a.error
+  FROM {adf_sql(name)} a JOIN {kpss_sql(name)} k ON k.series_id = a.series_id"""
+
+
+def tested(spark, sf, name, layout=DEFAULT):
     def run(rows, layout):
         return U.stationarity(compact(number_rows(rows, layout), layout), layout=layout)
 
-    return by_length(panel(spark, sf, "part_monthly"), run)
+    out = by_length(panel(spark, sf, name), run, layout)
+    return rounded(out, 6, "adf_statistic", "adf_pvalue", "kpss_statistic", "kpss_pvalue")
+
+
+@query("profile_stationarity", stationarity_sql("part_monthly"))
+def profile_stationarity(spark, sf):
+    return tested(spark, sf, "part_monthly")
+
+
+@query("profile_stationarity_cut", stationarity_sql("orders_daily"))
+def profile_stationarity_cut(spark, sf):
+    return tested(spark, sf, "orders_daily", CUT)
+
+
+@query(
+    "seasonal_strength_cut",
+    f"""SELECT series_id, period, round_even(ss, 6) AS seasonal_strength, round_even(ts, 6) AS trend_strength
+  FROM ({strength_sql("orders_daily", 7, 30, 365)})""",
+)
+def seasonal_strength_cut(spark, sf):
+    def run(rows, layout):
+        return S.strengths(S.decompose(compact(number_rows(rows, layout), layout), ["Daily"], layout=layout))
+
+    out = by_length(panel(spark, sf, "orders_daily"), run, CUT)
+    return rounded(out, 6, "seasonal_strength", "trend_strength")
+
+
+@query(
+    "outlier_points_cut",
+    outlier_sql("flag_daily", 7, 30, 365)
+    + " SELECT series_id, timestamp, round_even(signal, 4) AS signal, round_even(z, 9) AS z FROM z WHERE abs(z) > 3.5",
+)
+def outlier_points_cut(spark, sf):
+    def run(rows, layout):
+        return S.outlier_points(scored(number_rows(rows, layout), "Daily", layout))
+
+    return rounded(rounded(by_length(panel(spark, sf, "flag_daily"), run, CUT), 4, "signal"), 9, "z")
