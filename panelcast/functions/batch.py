@@ -8,6 +8,20 @@ import pyarrow as pa
 DEPENDENT = 1e-11  # a column is dependent when less than this share of it is new
 
 
+def pieces(batches, column: str, limit: int = 500_000):
+    """Record batches cut so that the rows of a piece, padded to its longest list, hold at most `limit` values (one row may
+    hold more). Memory then follows neither the session's batch size nor the length of the lists in other rows."""
+    for batch in batches:
+        size = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(batch.column(column)), 0))
+        start, longest = 0, 0
+        for i, n in enumerate(size.tolist()):
+            longest = max(longest, n)
+            if i > start and longest * (i + 1 - start) > limit:
+                yield batch.slice(start, i - start)
+                start, longest = i, n
+        yield batch.slice(start)
+
+
 def padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A list<double> column as a zero-padded matrix and the list lengths."""
     if isinstance(column, pa.ChunkedArray):

@@ -76,7 +76,7 @@ def _at_least(w: np.ndarray, width: int) -> np.ndarray:
 
 
 def _long_grams(batches):
-    for batch in batches:
+    for batch in B.pieces(batches, "values"):
         values, lengths = B.padded(batch.column("values"))
         m, mean = np.asarray(batch.column("m")), np.asarray(batch.column("mean"))
         grams = [None] * len(m)
@@ -110,7 +110,7 @@ def _long_fits(batches):
 def _short_grams(max_p: int, max_q: int):
     def run(batches):
         width = 2 + max_p + max_q
-        for batch in batches:
+        for batch in B.pieces(batches, "values"):
             values, lengths = B.padded(batch.column("values"))
             m, mean = np.asarray(batch.column("m")), np.asarray(batch.column("mean"))
             long = batch.column("long")

@@ -18,6 +18,7 @@ from panelcast.functions.frequency import FREQUENCIES, WINDOWS, default_window,
 from panelcast.functions.holidays import us_federal
 from panelcast.operators.layout import DEFAULT, Layout, attach, in_chunk, own_rows, reaching, spread
 
+# Orders and types of features.
 FOURIER_ORDERS = (1, 2, 3)
 FEATURE_TYPES = ("calendar", "lag", "rolling_stat", "fourier", "holiday")
 PARAMS = "struct<component:string,k:int,window:int,stat:string,order:int,period:int,func:string,country:string>"
@@ -51,7 +52,7 @@ def calendar_component(component: str, ts: Column, pos: Column) -> Column:
         "time_index": pos,
     }
     if component not in parts:
-        raise ValueError(f"Unknown calendar component: {component}")
+        raise ValueError(f"no calendar component {component!r}; known: {sorted(parts)}")
     return parts[component]
 
 
@@ -68,7 +69,7 @@ def rolling(window: int, stat: str, layout: Layout = DEFAULT) -> Column:
     frame = in_chunk(layout).rowsBetween(-window, -1)
     stats = {"mean": F.avg, "std": F.stddev_samp}
     if stat not in stats:
-        raise ValueError(f"Unknown rolling stat: {stat}")
+        raise ValueError(f"rolling windows have no statistic {stat!r}; known: {sorted(stats)}")
     return F.when(F.count("value").over(frame) == window, stats[stat]("value").over(frame))
 
 
@@ -106,7 +107,7 @@ def apply_features(
     enabled = [s for s in specs if s.enabled]
     for s in enabled:
         if s.feature_type not in FEATURE_TYPES:
-            raise ValueError(f"Unknown feature_type: {s.feature_type}")
+            raise ValueError(f"feature {s.name!r} has the type {s.feature_type!r}; known: {FEATURE_TYPES}")
     back = max([s.k for s in enabled if s.feature_type == "lag"]
                + [s.window for s in enabled if s.feature_type == "rolling_stat"], default=0)
     pos, ts = F.col("pos"), F.col("timestamp")

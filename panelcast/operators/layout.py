@@ -70,7 +70,8 @@ def time_block(layout: Layout) -> Column:
 
 def number_rows(panel: DataFrame, layout: Layout = DEFAULT) -> DataFrame:
     """Add pos (0-based row number in time), cpos (the same over non-null values only, NULL on a
-    null value), n_obs and n_clean (the two totals) and chunk (pos div chunk_rows)."""
+    null value), n_obs and n_clean (the two totals) and chunk (pos div chunk_rows). Two rows of a series at one
+    timestamp are an error."""
     if layout.whole:
         inside = Window.partitionBy("series_id").orderBy("timestamp")
         series = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -101,8 +102,11 @@ def number_rows(panel: DataFrame, layout: Layout = DEFAULT) -> DataFrame:
         inside = Window.partitionBy("series_id", "block").orderBy("timestamp")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     filled = F.when(F.col("value").isNotNull(), F.col("filled_before") + F.count("value").over(upto) - 1)
+    twice = F.lag("timestamp").over(inside) == F.col("timestamp")
+    message = F.concat(F.lit("duplicate timestamp "), F.col("timestamp").cast("string"), F.lit(" in series "), F.col("series_id"))
+    place = F.col("rows_before") + F.row_number().over(inside) - 1
     return (
-        blocked.withColumn("pos", F.col("rows_before") + F.row_number().over(inside) - 1)
+        blocked.withColumn("pos", F.when(twice, F.raise_error(message).cast("bigint")).otherwise(place))
         .withColumn("cpos", filled)
         .withColumn("chunk", chunk_of("pos", layout))
         .drop("block", "rows_before", "filled_before")

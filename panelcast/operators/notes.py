@@ -71,9 +71,10 @@ def ingest_notes(texts: DataFrame, profile: DataFrame, column: str = "text") ->
     broken = notes.filter(unreadable).select(
         "series_id", F.lit(None).cast("string").alias("name"), F.lit("note is not readable").alias("reason")
     )
-    known = notes.filter(~unreadable).join(
-        profile.select("series_id", "start_timestamp", "end_timestamp"), "series_id"
-    )
+    # of several notes for one series the first in text order counts; answers have no order of their own
+    one = F.min(F.struct("narrative", "suggested_features", "suggested_models")).alias("note")
+    readable = notes.filter(~unreadable).groupBy("series_id").agg(one).select("series_id", "note.*")
+    known = readable.join(profile.select("series_id", "start_timestamp", "end_timestamp"), "series_id")
     features = known.select(
         "series_id", "start_timestamp", "end_timestamp", F.posexplode("suggested_features").alias("ord", "f")
     ).select("series_id", "start_timestamp", "end_timestamp", "ord", "f.*")
@@ -85,16 +86,19 @@ def ingest_notes(texts: DataFrame, profile: DataFrame, column: str = "text") ->
     checked = features.withColumn("reason", reason)
     rejects = broken.unionByName(checked.filter("reason IS NOT NULL").select("series_id", "name", "reason"))
     valid = checked.filter("reason IS NULL").drop("reason")
-    return known.select("series_id", "narrative", "suggested_models"), valid, rejects
+    whole = lambda m: m["name"].isNotNull() & m["rationale"].isNotNull()
+    models = known.select("series_id", F.explode("suggested_models").alias("m")).filter(~whole(F.col("m")))
+    rejects = rejects.unionByName(models.select("series_id", F.col("m.name").alias("name"), F.lit("model field missing").alias("reason")))
+    return known.select("series_id", "narrative", F.filter("suggested_models", whole).alias("suggested_models")), valid, rejects
 
 
 def cross_check(features: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
     """Add holiday_confirmed and holiday_match_count: how many holidays of the suggested country fall
     into the series' dates. NULL for other features; an unknown country counts 0.
 
-    The range condition is joined through the year, so it is an equality join on (country, year)
-    followed by a filter, never a comparison of every note with every date. Many series can have the
-    same dates, so the counts go back to the rows over a salted key.
+    A running count by (country, day) turns the range into two equal lookups, the count on the last day less the one
+    on the day before the first: no range condition, and no span is taken apart. Many series can have the same dates, so the
+    counts go back to the rows over a salted key.
     """
     holiday = F.col("feature_type") == "holiday"
     unchecked = features.filter(~holiday).withColumns(
@@ -110,13 +114,18 @@ def cross_check(features: DataFrame, calendar: DataFrame | None = None) -> DataF
         }
     )
     asked = rows.select("holiday_country", "from_day", "to_day").distinct()
-    spans = asked.withColumn("year", F.explode(F.sequence(F.year("from_day"), F.year("to_day"))))
-    dates = holiday_dates(spans.select("year").distinct(), calendar)
+    ends = asked.groupBy("holiday_country").agg(F.date_sub(F.min("from_day"), 1).alias("first"), F.max("to_day").alias("last"))
+    days = ends.select("holiday_country", F.explode(F.sequence("first", "last")).alias("date"))  # a row a day, not a series
+    years = days.select(F.year("date").alias("year")).distinct()
+    dates = holiday_dates(years, calendar).select(F.col("country").alias("holiday_country"), "date", F.lit(1).alias("is"))
+    running = F.count("is").over(Window.partitionBy("holiday_country").orderBy("date"))
+    until = days.join(dates, ["holiday_country", "date"], "left").withColumn("until", running)
+    on_last = until.select("holiday_country", F.col("date").alias("to_day"), F.col("until").alias("upto"))
+    on_first = until.select("holiday_country", F.date_add("date", 1).alias("from_day"), F.col("until").alias("before"))
     counts = (
-        spans.join(dates.withColumnRenamed("country", "holiday_country"), ["holiday_country", "year"])
-        .filter(F.col("date").between(F.col("from_day"), F.col("to_day")))
-        .groupBy("holiday_country", "from_day", "to_day")
-        .agg(F.count(F.lit(1)).cast("int").alias("n"))
+        asked.join(on_last, ["holiday_country", "to_day"])
+        .join(on_first, ["holiday_country", "from_day"])
+        .select("holiday_country", "from_day", "to_day", (F.col("upto") - F.col("before")).cast("int").alias("n"))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
     n = F.coalesce("n", F.lit(0))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelcast.sources.panel import grid_span
 
+# Limits of the demand classes.
 ADI_CUT = 1.32
 CV2_CUT = 0.49
 

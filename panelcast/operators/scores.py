@@ -68,9 +68,9 @@ def upsert_scores(current: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def leaderboard(entries: DataFrame) -> DataFrame:
-    """Averages per model, best first (ordered before rounding)."""
+    """Averages per model over the series it has a score for, best first (ordered before rounding)."""
     means = entries.groupBy("model_name").agg(
-        *[F.avg(m).alias(f"avg_{m}") for m in METRICS], F.count("series_id").alias("n_series")
+        *[F.avg(m).alias(f"avg_{m}") for m in METRICS], F.count("smape").alias("n_series")
     )
     return means.orderBy("avg_smape", "model_name").select(
         "model_name", *[F.bround(f"avg_{m}", 4).alias(f"avg_{m}") for m in METRICS], "n_series"
@@ -80,7 +80,7 @@ def leaderboard(entries: DataFrame) -> DataFrame:
 def ranked_leaderboard(entries: DataFrame) -> DataFrame:
     """The leaderboard with its position; the window runs over one row per model."""
     means = entries.groupBy("model_name").agg(
-        *[F.avg(m).alias(f"avg_{m}") for m in METRICS], F.count("series_id").alias("n_series")
+        *[F.avg(m).alias(f"avg_{m}") for m in METRICS], F.count("smape").alias("n_series")
     )
     place = F.row_number().over(Window.orderBy("avg_smape", "model_name"))
     return means.select(

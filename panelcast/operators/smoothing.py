@@ -72,7 +72,7 @@ def aicc(sse, n, k):
 
 def _whole_series(batches):
     """Best ETS and best Theta parameter per series, with the final states."""
-    for batch in batches:
+    for batch in B.pieces(batches, "values"):
         values, lengths = B.padded(batch.column("values"))
         first, line, rise = (np.asarray(batch.column(c)) for c in ("first", "line", "rise"))
         picked = {name: np.zeros(len(lengths)) for name in ("ets_l", "ets_b", "theta_l")}
@@ -110,7 +110,7 @@ def _chunk_summaries(batches):
     """Per chunk and parameter: the end state as a linear map of (l, b, 1) and the squared errors as a
     quadratic form of it; 12 numbers each, flattened."""
     upper = [(i, j) for i in range(3) for j in range(i, 3)]
-    for batch in batches:
+    for batch in B.pieces(batches, "values"):
         values, lengths = B.padded(batch.column("values"))
         out = [None] * len(lengths)
         order = np.argsort(-lengths, kind="stable")

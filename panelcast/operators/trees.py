@@ -14,7 +14,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.frequency import FREQUENCIES
@@ -27,7 +27,8 @@ PRESETS = {
     "GBT_leaf": dict(maxDepth=5, stepSize=0.1, minInstancesPerNode=20),
     "GBT_depth": dict(maxDepth=6, stepSize=0.3, minInstancesPerNode=1),
 }
-SCALED = ("lag_1", "lag_season", "roll_mean", "roll_std")
+LEVELS = ("lag_1", "lag_season", "roll_mean")
+SCALED = (*LEVELS, "roll_std")
 SEED = 1
 PARALLEL_FITS = 4
 
@@ -35,17 +36,24 @@ PARALLEL_FITS = 4
 def training_table(features: DataFrame, layout: Layout = DEFAULT) -> DataFrame:
     """Feature rows (with is_test) as model input: scale, label, x_<slot> and has_<slot> columns, and
     `complete` for rows all of whose used features are known. A series without a complete training row
-    cannot be forecast and is left out."""
+    cannot be forecast and is left out. A test row may lack features, behind a gap for example; training rows never do."""
     train = ~F.col("is_test")
     complete, any_used = F.col("value").isNotNull(), F.lit(False)
     for s in SLOTS:
         complete = complete & (~F.col(f"use_{s}") | F.col(s).isNotNull())
         any_used = any_used | F.col(f"use_{s}")
-    totals = {"scale": F.avg(F.when(train, F.abs("value"))), "usable": F.count_if(train & F.col("complete"))}
+    totals = {"scale": F.avg(F.when(train, F.abs("value"))), "usable": F.count_if(train & F.col("complete")), "spread": F.avg(F.when(train, F.col("roll_std")))}
     rows = features.withColumn("complete", complete).filter(any_used)
     rows = add_totals(rows, ["series_id"], totals, "n_obs", layout).filter("usable > 0")
     scale = F.when(F.col("scale") > 0, F.col("scale")).otherwise(F.lit(1.0))
-    x = [F.coalesce(F.col(s) / scale if s in SCALED else F.col(s), F.lit(0.0)).alias(f"x_{s}") for s in SLOTS]
+    # what a row lacks is what the series' training rows have: their level, or their mean
+    lacking = {s: F.lit(1.0) for s in LEVELS} | {"roll_std": F.coalesce(F.col("spread") / scale, F.lit(0.0))}
+
+    def filled(s: str) -> Column:
+        value = F.col(s) / scale if s in SCALED else F.col(s)
+        return F.when(F.col(f"use_{s}"), F.coalesce(value, lacking.get(s, F.lit(0.0)))).otherwise(F.lit(0.0))
+
+    x = [filled(s).alias(f"x_{s}") for s in SLOTS]
     has = [F.col(f"use_{s}").cast("double").alias(f"has_{s}") for s in SLOTS]
     return rows.select(
         "series_id", "frequency", "timestamp", "step", "is_test", scale.alias("scale"),

@@ -162,7 +162,7 @@ def max_lag(n: Column) -> Column:
 def _adf_grams(batches):
     """Per chunk: Gram matrix of 1, y[t-1], dy[t-1..t-k], dy[t] over the chunk's own rows (flattened)
     and, from the first chunk, the k + 1 values the series starts with."""
-    for batch in batches:
+    for batch in B.pieces(batches, "values"):
         values, lengths = B.padded(batch.column("values"))
         k = np.asarray(batch.column("k"))
         mean, sd = np.asarray(batch.column("mean")), np.asarray(batch.column("sd"))

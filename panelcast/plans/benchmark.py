@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from panelcast.operators.arima import arima, arima_forecasts
 from panelcast.operators.features import feature_catalog, slot_features, slot_plan, toggle
 from panelcast.operators.layout import Layout, by_length, compact, number_rows
-from panelcast.operators.scores import best_model, holdout, metrics, run_status, upsert_scores
+from panelcast.operators.scores import MODELS, best_model, holdout, metrics, run_status, upsert_scores
 from panelcast.operators.smoothing import smoothing_fits, smoothing_forecasts
 from panelcast.operators.trees import TREES, training_table, tree_forecasts
 from panelcast.plans.profile import diagnostic_deltas, flags
@@ -111,16 +111,20 @@ def refit(
     statistical: DataFrame | None = None,
     trees: int = TREES,
 ) -> DataFrame:
-    """One row per series: scores of all models, the best one, the feature config and the deltas."""
+    """One row per series: scores of all models, the best one, forecasts beside the actual values, the feature config and
+    the deltas."""
     test = backtest(panel, profile, switches, frequencies, statistical, trees)
     catalog = feature_catalog(flags(profile))
     if switches is not None:
         catalog = toggle(catalog, switches)
     fields = F.struct("model_name", "forecast_kind", "mae", "rmse", "smape")
     scores = test.scores.groupBy("series_id").agg(F.sort_array(F.collect_list(fields)).alias("metrics"))
+    point = F.struct("step", "timestamp", "actual", "predicted")  # at most a holdout of 30 rows a model
+    ahead = test.forecasts.groupBy("series_id", "model_name").agg(F.sort_array(F.collect_list(point)).alias("points"))
+    ahead = ahead.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("model_name", "points"))).alias("forecasts"))
     deltas = diagnostic_deltas(panel, profile, catalog, frequencies)
     deltas = deltas.select("series_id", F.struct(*[c for c in deltas.columns if c != "series_id"]).alias("deltas"))
-    return scores.join(test.best, "series_id").join(test.config, "series_id").join(deltas, "series_id", "left")
+    return scores.join(test.best, "series_id").join(ahead, "series_id").join(test.config, "series_id").join(deltas, "series_id", "left")
 
 
 def run_benchmark(
@@ -135,14 +139,32 @@ def run_benchmark(
     trees: int = TREES,
 ) -> tuple[DataFrame, DataFrame]:
     """Score every indexed series with the default catalog; returns the leaderboard entries (merged into
-    `current`) and the run's status row. A series without scores is a failure with a reason, the others
+    `current`) and the run's status row. A series that lacks the score of a model is a failure with a reason, the others
     are not affected by it."""
     scores = cut_lineage(backtest(panel, profile, frequencies=frequencies, trees=trees).scores)
     entries = scores.drop("forecast_kind").withColumns(
         {"job_id": F.lit(job_id), "run_seq": F.lit(run_seq), "computed_at": now}
     )
-    scored = scores.filter("smape IS NOT NULL").select("series_id", F.lit(True).alias("ok")).distinct()
-    outcomes = index.join(scored, "series_id", "left").select(
-        "series_id", F.when(F.col("ok").isNull(), "too few rows to hold out and train").alias("error")
+    return entries if current is None else upsert_scores(current, entries), run_status(index, outcomes(panel, index, scores))
+
+
+def outcomes(panel: DataFrame, index: DataFrame, scores: DataFrame) -> DataFrame:
+    """series_id and error of every indexed series: NULL if every model has a score, else what was in the way."""
+    split = holdout(number_rows(panel))
+    rows = split.groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(~F.col("is_test")).alias("train"),
+        F.count(F.when(~F.col("is_test"), F.col("value"))).alias("known"),
+        F.count(F.when(F.col("is_test"), F.col("value"))).alias("actual"),
+    )
+    scored = scores.filter("smape IS NOT NULL").groupBy("series_id").agg(F.collect_set("model_name").alias("models"))
+    absent = F.array_except(F.array(*[F.lit(m) for m in MODELS]), F.coalesce("models", F.array().cast("array<string>")))
+    error = (
+        F.when(F.size(absent) == 0, None)
+        .when(F.col("rows").isNull(), "no rows")
+        .when(F.col("train") == 0, "too few rows to hold out and train")
+        .when(F.col("known") == 0, "no values before the holdout")
+        .when(F.col("actual") == 0, "no values in the holdout")
+        .otherwise(F.concat(F.lit("no score of "), F.array_join(F.sort_array(absent), ", ")))
     )
-    return entries if current is None else upsert_scores(current, entries), run_status(index, outcomes)
+    return index.select("series_id").join(rows, "series_id", "left").join(scored, "series_id", "left").select("series_id", error.alias("error"))

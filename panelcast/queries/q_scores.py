@@ -88,7 +88,7 @@ def best_model(spark, sf):
 
 
 BOARD_SQL = """SELECT model_name, round_even(avg(mae), 4) AS avg_mae, round_even(avg(rmse), 4) AS avg_rmse,
-    round_even(avg(smape), 4) AS avg_smape, count(series_id) AS n_series{rank} FROM {scores} GROUP BY model_name"""
+    round_even(avg(smape), 4) AS avg_smape, count(smape) AS n_series{rank} FROM {scores} GROUP BY model_name"""
 
 
 @query("leaderboard", BOARD_SQL.format(scores=scores_sql("user_daily"), rank=""))

@@ -109,7 +109,7 @@ def select_series(panel: DataFrame, ids: Sequence[str]) -> DataFrame:
 def load_series(panel: DataFrame, index: DataFrame, series_id: str) -> DataFrame:
     """Timestamps and values of one indexed series; the id filter reaches the Parquet scan."""
     if index.filter(F.col("series_id") == series_id).isEmpty():
-        raise KeyError(f"Unknown series_id: {series_id}")
+        raise KeyError(f"the index has no series {series_id!r}")
     return select_series(panel, [series_id]).select("timestamp", "value", "frequency")
 
 
@@ -146,12 +146,15 @@ def grid_span(panel: DataFrame) -> DataFrame:
     )
     start = first_on_grid(F.col("first_ts"))
     points = F.when(start <= F.col("last_ts"), steps_between(start, F.col("last_ts")) + 1)
+    points = F.coalesce(points, F.lit(0)).cast("bigint")
+    message = F.concat(F.lit("more rows than grid points, so duplicate timestamps, in series "), F.col("series_id"))
+    present = F.when(F.col("present") > points, F.raise_error(message).cast("bigint")).otherwise(F.col("present"))
     return spans.select(
         "series_id",
         "frequency",
         start.alias("grid_start"),
-        F.coalesce(points, F.lit(0)).cast("bigint").alias("expected_n"),
-        "present",
+        points.alias("expected_n"),
+        F.when(points > 0, present).otherwise(F.col("present")).alias("present"),
     )
 
 

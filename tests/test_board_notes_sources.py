@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from panelcast.operators import explore as X
 from panelcast.operators import notes as N
+from panelcast.operators.layout import Layout, number_rows
+from panelcast.operators.profile_basic import missing
 from panelcast.operators import scores as R
 from panelcast.plans.profile import profile_panel
 from panelcast.sources import panel as P
@@ -175,6 +177,12 @@ def test_raw_steps_from_csv(spark, tmp_path):
 def test_duplicates_are_refused(make_panel):
     panel = make_panel({"a": [1.0, 2.0]})
     assert P.require_unique_steps(panel) is panel
+    twice = panel.unionByName(panel)
+    for layout in (Layout(whole=True), Layout(chunk_rows=4, block_steps=3)):
+        with pytest.raises(Exception, match="duplicate timestamp"):
+            number_rows(twice, layout).collect()
+    with pytest.raises(Exception, match="duplicate timestamps"):
+        missing(twice).collect()
     with pytest.raises(ValueError):
         P.require_unique_steps(panel.unionByName(panel))
 
@@ -206,3 +214,28 @@ def test_configs(spark):
     index = spark.createDataFrame([("a",), ("b",)], "series_id string")
     got = by_id(T.read_configs(index, T.store_configs(rows)))
     assert got["a"].config == {"lag_1": False, "lag_7": True} and got["b"].config == {}
+
+
+def test_one_note_a_series_and_whole_models(spark, make_panel):
+    index = P.series_index(make_panel({"a": np.arange(9.0)}), "d", "p")
+    good = dict(name="x", feature_type="lag", description="d", rationale="r", confidence=0.5, holiday_country=None)
+    note = lambda text, *models: dict(series_id="a", narrative=text, suggested_features=[good], suggested_models=list(models))
+    models = [{"name": "ETS", "rationale": "fits"}, {"name": None, "rationale": "r"}, {"name": "Theta", "rationale": None}]
+    texts = [json.dumps({"results": [note("second")]}), json.dumps({"results": [note("first", *models)]})]
+    notes, valid, rejects = N.ingest_notes(spark.createDataFrame([(t,) for t in texts], "text string"), index)
+    row = notes.collect()
+    assert [r.narrative for r in row] == ["first"] and [m.name for m in row[0].suggested_models] == ["ETS"]
+    assert valid.count() == 1 and [r.reason for r in rejects.collect()] == ["model field missing"] * 2
+
+
+def test_pieces_bound_padded_values():
+    import pyarrow as pa
+
+    from panelcast.functions.batch import padded, pieces
+
+    lengths = [3000, 1, 2, 4000, 10, 0, 7, 2500] * 40
+    batch = pa.RecordBatch.from_arrays([pa.array([np.arange(n, dtype=float) for n in lengths], pa.list_(pa.float64()))], ["values"])
+    parts = list(pieces([batch], "values", 9000))
+    assert sum(p.num_rows for p in parts) == len(lengths)
+    assert all(p.num_rows == 1 or padded(p.column("values"))[0].size <= 9000 for p in parts)
+    assert [len(v) for p in parts for v in p.column("values")] == lengths

@@ -17,30 +17,54 @@ from panelcast.sources.stores import profile_documents, profiles_from_documents
 WHOLE = Layout(whole=True)
 
 
-def rng():
-    return np.random.default_rng(42)
+GEN = np.random.default_rng(20_240)
+JUMPS = np.sort(GEN.choice(np.arange(20, 340), 5, replace=False))
+SALES_DAYS = np.sort(GEN.choice(180, 14, replace=False))
+HOLES = np.sort(GEN.choice(np.arange(1, 89), 17, replace=False))
+
+
+def week_pattern(n):
+    """The same seven levels again and again, with a little noise."""
+    levels = np.array([3.0, -4.0, 8.0, 0.0, -6.0, 5.0, -2.0])
+    return 40 + np.resize(levels, n) + GEN.uniform(-1, 1, n)
+
+
+def sparse_sales(n):
+    out = np.zeros(n)
+    out[SALES_DAYS] = GEN.uniform(4.5, 5.5, len(SALES_DAYS))
+    return out
+
+
+def jumping(n):
+    out = GEN.uniform(-1, 1, n)
+    out[JUMPS] += GEN.choice([-30.0, 30.0], len(JUMPS))
+    return out
+
+
+def with_holes(n):
+    out = GEN.uniform(0, 9, n)
+    out[HOLES] = np.nan
+    return out
+
+
+SERIES = {
+    "uncorrelated": GEN.uniform(-3, 3, 640),
+    "week": week_pattern(245),
+    "falling": 900 - 1.75 * np.arange(170) + GEN.uniform(-2, 2, 170),
+    "sparse": sparse_sales(180),
+    "steady": GEN.uniform(90, 110, 150),
+    "jumping": jumping(360),
+    "constant": np.full(75, -2.5),
+    "all_missing": np.full(30, np.nan),
+    "all_zero": np.zeros(40),
+    "one_row": np.array([3.0]),
+    "two_rows": np.array([3.0, 4.0]),
+    "holes": with_holes(90),
+}
 
 
 def fixtures():
-    t = np.arange(200)
-    spikes = rng().normal(size=300)
-    spikes[[50, 150, 250]] += 50.0
-    every_10th = np.zeros(200)
-    every_10th[::10] = 5.0
-    return {
-        "white_noise": rng().normal(size=800),
-        "weekly": 10 * np.sin(2 * np.pi * t / 7) + rng().normal(scale=0.5, size=200),
-        "trending": 0.5 * t + rng().normal(size=200),
-        "intermittent": every_10th,
-        "smooth": rng().normal(loc=50, scale=2.0, size=200),
-        "spikes": spikes,
-        "constant": np.full(60, 7.0),
-        "all_missing": np.full(30, np.nan),
-        "all_zero": np.zeros(40),
-        "one_row": np.array([3.0]),
-        "two_rows": np.array([3.0, 4.0]),
-        "holes": np.where(np.arange(120) % 11 == 3, np.nan, rng().normal(size=120)),
-    }
+    return SERIES
 
 
 @pytest.fixture(scope="module")
@@ -60,36 +84,38 @@ def test_every_series_has_one_profile(panel, profile):
         assert rows[name].n_obs == len(values)
 
 
-def test_white_noise(profile):
-    p = by_id(profile)["white_noise"]
+def test_uncorrelated_values(profile):
+    p = by_id(profile)["uncorrelated"]
     assert not p.seasonality.detected and p.seasonality.period is None
     assert not p.trend.detected
     assert p.stationarity.stationary is True
 
 
-def test_weekly_season(profile):
-    p = by_id(profile)["weekly"]
-    assert p.seasonality.detected and p.seasonality.period == 7 and p.seasonality.strength > 0.3
+def test_week_pattern(profile):
+    p = by_id(profile)["week"]
+    assert p.seasonality.detected and p.seasonality.period == 7 and p.seasonality.strength > 0.8
 
 
-def test_linear_trend(profile):
-    p = by_id(profile)["trending"]
-    assert p.trend.detected and p.trend.slope > 0 and p.trend.strength > 0.9
+def test_straight_fall(profile):
+    p = by_id(profile)["falling"]
+    assert p.trend.detected and p.trend.slope == pytest.approx(-1.75, abs=0.02) and p.trend.strength > 0.98
     assert p.stationarity.stationary is False
 
 
 def test_demand_classes(profile):
     rows = by_id(profile)
-    p = rows["intermittent"].intermittency
-    assert p.zero_pct == pytest.approx(0.9) and p.adi == pytest.approx(10.0)
+    p = rows["sparse"].intermittency
+    sold = SERIES["sparse"][SALES_DAYS]
+    assert p.zero_pct == pytest.approx(1 - len(sold) / 180) and p.adi == pytest.approx(180 / len(sold))
+    assert p.cv2 == pytest.approx((sold.std() / sold.mean()) ** 2)
     assert p.is_intermittent and p.category == "intermittent"
-    assert rows["smooth"].intermittency.category == "smooth"
+    assert rows["steady"].intermittency.category == "smooth"
     zero = rows["all_zero"].intermittency
     assert math.isinf(zero.adi) and zero.cv2 == 0 and zero.category == "intermittent"
 
 
 def test_outliers(panel, profile):
-    assert by_id(profile)["spikes"].outliers["count"] >= 3
+    assert by_id(profile)["jumping"].outliers["count"] >= len(JUMPS)
 
     def points(rows, layout):
         clean = compact(number_rows(rows, layout), layout)
@@ -97,8 +123,8 @@ def test_outliers(panel, profile):
         season = S.best_period(clean, S.strengths(parts))
         return S.outlier_points(S.robust_z(S.outlier_signal(clean, parts, season, layout), layout))
 
-    found = {r.timestamp for r in by_length(panel, points).filter("series_id = 'spikes'").collect()}
-    assert {pd.Timestamp("2020-01-01") + pd.Timedelta(days=d) for d in (50, 150, 250)} <= found
+    found = {r.timestamp for r in by_length(panel, points).filter("series_id = 'jumping'").collect()}
+    assert {pd.Timestamp("2020-01-01") + pd.Timedelta(days=d) for d in JUMPS.tolist()} <= found
 
 
 def test_series_that_cannot_be_tested(profile):
@@ -114,12 +140,14 @@ def test_series_that_cannot_be_tested(profile):
 
 
 def test_missing_counts_gaps_and_nulls(make_panel, profile):
-    keep = np.ones(100, dtype=bool)
-    keep[1:-1:2] = False
-    days = pd.date_range("2020-01-01", periods=100, freq="D")
-    got = B.missing(make_panel({"gaps": (days[keep], np.arange(100.0)[keep])})).first()
-    assert (got.expected_n, got.missing_count) == (100, 49) and got.missing_pct == pytest.approx(0.49)
-    assert by_id(profile)["holes"].missing.missing_count == 11
+    gen = np.random.default_rng(77)
+    for n in (2, 37, 211):
+        days = pd.date_range("2021-03-05", periods=n, freq="D")
+        keep = gen.random(n) < 0.6
+        keep[[0, -1]] = True  # the ends span the grid
+        got = B.missing(make_panel({"gaps": (days[keep], gen.random(keep.sum()))})).first()
+        assert (got.expected_n, got.missing_count) == (n, n - keep.sum()) and got.missing_pct == pytest.approx(1 - keep.mean())
+    assert by_id(profile)["holes"].missing.missing_count == len(HOLES)
 
 
 @pytest.mark.parametrize(
@@ -241,7 +269,7 @@ def test_empty_panel(make_panel):
 
 def test_deltas_of_a_trend_fall(panel, profile):
     d = by_id(diagnostic_deltas(panel, profile))
-    t = d["trending"]
+    t = d["falling"]
     assert t.trend_strength_before > 0.9 and t.trend_strength_after < t.trend_strength_before
     assert t.r_squared > 0.9 and t.trend_strength_fell
 
@@ -249,5 +277,5 @@ def test_deltas_of_a_trend_fall(panel, profile):
 def test_deltas_without_features(panel, profile):
     off = feature_catalog(flags(profile)).withColumn("enabled", F.lit(False))
     d = by_id(diagnostic_deltas(panel, profile, off))
-    assert d["white_noise"].r_squared == 0.0
-    assert d["white_noise"].trend_strength_after == pytest.approx(d["white_noise"].trend_strength_before)
+    assert d["uncorrelated"].r_squared == 0.0
+    assert d["uncorrelated"].trend_strength_after == pytest.approx(d["uncorrelated"].trend_strength_before)
