@@ -21,6 +21,7 @@ from panelcast.operators.layout import DEFAULT, Layout, attach, in_chunk, own_ro
 # Orders and types of features.
 FOURIER_ORDERS = (1, 2, 3)
 FEATURE_TYPES = ("calendar", "lag", "rolling_stat", "fourier", "holiday")
+BROADCAST_DAYS, SALTS = 100_000, 32
 PARAMS = "struct<component:string,k:int,window:int,stat:string,order:int,period:int,func:string,country:string>"
 
 
@@ -85,13 +86,20 @@ def holiday(rows: DataFrame, name: str, country: str, calendar: DataFrame | None
         return rows.withColumn(name, us_federal(date).cast("int"))
     if calendar is None or calendar.filter(F.col("country") == country).isEmpty():
         raise NotImplementedError(f"no holiday calendar for {country}")
-    days = calendar.filter(F.col("country") == country).select(F.col("date").alias("_day")).distinct()
-    return (
-        rows.withColumn("_on", date)
-        .join(days.withColumn("_hit", F.lit(1)), F.col("_on") == F.col("_day"), "left")
-        .withColumn(name, F.coalesce("_hit", F.lit(0)))
-        .drop("_on", "_day", "_hit")
-    )
+    days = calendar.filter(F.col("country") == country).select(F.col("date").alias("_on")).distinct()
+    marked = marked_by(rows.withColumn("_on", date), days, ["_on"], "_hit")
+    return marked.withColumn(name, F.coalesce("_hit", F.lit(0))).drop("_on", "_hit")
+
+
+def marked_by(rows: DataFrame, keys: DataFrame, on: list[str], name: str) -> DataFrame:
+    """Add `name`, 1 where the row's `on` is among the distinct `keys`, else NULL. All series share a date, so a calendar that
+    a count shows to be small is sent to all tasks, and a larger one is joined with the rows of a key dealt over SALTS."""
+    keys = keys.withColumn(name, F.lit(1))
+    if keys.count() <= BROADCAST_DAYS:
+        return rows.join(F.broadcast(keys), on, "left")
+    salted = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("series_id"), F.lit(SALTS)).cast("int"))
+    return rows.join(salted, [*on, "_salt"], "left").drop("_salt")
 
 
 # ---- one spec list for the whole panel ------------------------------------------------------
@@ -246,15 +254,13 @@ def _holiday_slot(rows: DataFrame, calendar: DataFrame | None) -> DataFrame:
     date, country = F.col("timestamp").cast("date"), F.col("country")
     value = F.when(country == "US", us_federal(date).cast("int"))
     if calendar is not None:
-        days = calendar.select(F.col("country").alias("_country"), F.col("date").alias("_day")).distinct()
-        known = F.array(*[F.lit(r[0]) for r in calendar.select("country").distinct().collect()])
-        rows = rows.join(
-            days.withColumn("_hit", F.lit(1)), (country == F.col("_country")) & (date == F.col("_day")), "left"
-        )
-        value = value.when(F.array_contains(known, country), F.coalesce("_hit", F.lit(0)))
+        days = calendar.select("country", F.col("date").alias("_on")).distinct()
+        rows = marked_by(rows.withColumn("_on", date), days, ["country", "_on"], "_hit")
+        rows = marked_by(rows, days.select("country").distinct(), ["country"], "_known").drop("_on")
+        value = value.when(F.col("_known") == 1, F.coalesce("_hit", F.lit(0)))
     missing = F.raise_error(F.concat(F.lit("no holiday calendar for "), country)).cast("int")
     value = F.when(F.col("use_holiday"), value.otherwise(missing))
-    return rows.withColumn("holiday", value).drop("_country", "_day", "_hit")
+    return rows.withColumn("holiday", value).drop("_hit", "_known")
 
 
 def slot_features(

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions import batch as B
+from panelcast.session import cut_lineage
 from panelcast.operators.layout import DEFAULT, Layout, chunk_arrays
 
 LEVEL_ALPHAS = tuple(round(0.05 * i, 2) for i in range(1, 20)) + (0.99,)
@@ -141,12 +142,46 @@ def _grid_column(i: int):
     return F.array(*[F.lit(g[i]) for g in GRID])
 
 
+FAN = 256  # summaries that one task puts one after the other
+
+
+def _after(a, b):
+    """The summary of two neighbouring stretches: the map of the first, then that of the second, and the squared errors of
+    both as one quadratic form of the state before the first."""
+    (x, y, z), (u, v, w) = [a[i] for i in range(3)], [a[i] for i in range(3, 6)]
+    maps = [b[r] * p + b[r + 1] * q + (b[r + 2] if c == 2 else 0.0) for r in (0, 3) for c, (p, q) in enumerate(((x, u), (y, v), (z, w)))]
+    ll, lb, l, bb, b_, one = (b[i] for i in range(6, 12))
+    squares = [
+        ll * x * x + lb * x * u + bb * u * u,
+        2 * ll * x * y + lb * (x * v + y * u) + 2 * bb * u * v,
+        2 * ll * x * z + lb * (x * w + z * u) + l * x + 2 * bb * u * w + b_ * u,
+        ll * y * y + lb * y * v + bb * v * v,
+        2 * ll * y * z + lb * (y * w + z * v) + l * y + 2 * bb * v * w + b_ * v,
+        ll * z * z + lb * z * w + l * z + bb * w * w + b_ * w + one,
+    ]
+    return F.array(*maps, *[a[6 + i] + s for i, s in enumerate(squares)])
+
+
+def _shortened(rows: DataFrame) -> DataFrame:
+    """Summaries of FAN neighbouring chunks as one, again and again, until a series has at most FAN: composition is
+    associative, so no task ever holds more, however long the series is."""
+    last = rows.agg(F.max("chunk")).first()[0] or 0
+    while last >= FAN:
+        run = F.sort_array(F.collect_list(F.struct("chunk", "m")))
+        grouped = rows.groupBy("series_id", "g", F.floor(F.col("chunk") / FAN).alias("next")).agg(run.alias("run"))
+        rest = F.slice("run", F.lit(2), F.greatest(F.size("run") - 1, F.lit(0)))
+        one = F.aggregate(rest, F.col("run")[0]["m"], lambda m, c: _after(m, c["m"]))
+        rows = cut_lineage(grouped.select("series_id", F.col("next").alias("chunk"), "g", one.alias("m")))
+        last //= FAN
+    return rows
+
+
 def _compose(summaries: DataFrame, begin: DataFrame) -> DataFrame:
     """Put the chunk summaries of each series and parameter one after the other and pick the best."""
     per_parameter = summaries.select(
         "series_id", "chunk", "summary", F.explode(F.sequence(F.lit(0), F.lit(_N - 1))).alias("g")
     ).select("series_id", "chunk", "g", F.slice("summary", F.col("g") * 12 + 1, F.lit(12)).alias("m"))
-    runs = per_parameter.groupBy("series_id", "g").agg(
+    runs = _shortened(per_parameter).groupBy("series_id", "g").agg(
         F.sort_array(F.collect_list(F.struct("chunk", "m"))).alias("run")
     )
     form = F.get(_grid_column(0), F.col("g"))
@@ -199,7 +234,7 @@ def smoothing_fits(clean: DataFrame, layout: Layout = DEFAULT) -> DataFrame:
         summaries = arrays.select("series_id", "chunk", "values").mapInArrow(
             _chunk_summaries, "series_id string, chunk bigint, summary array<double>"
         )
-        fits = _compose(summaries, begin)
+        fits = _compose(cut_lineage(summaries), begin)
     lines = clean.groupBy("series_id").agg(F.coalesce(F.regr_slope("value", F.col("pos") + 1), F.lit(0.0)).alias("slope"))
     named = fits.join(lines, "series_id")
     return named.select(

@@ -197,6 +197,17 @@ def profile_incremental(spark, sf):
     return rounded(T.compute_missing(rows, cached_demand(early), cached_demand), 10, "zero_pct", "adi")
 
 
+@query("profile_refreshed", f"SELECT * FROM {USER_PROFILE_SQL}")
+def profile_refreshed(spark, sf):
+    """A cache that lacks a third of the series and holds outdated profiles of another third."""
+    rows = cut_lineage(panel(spark, sf, "user_daily"))
+    third = F.pmod(F.col("series_id").cast("int"), F.lit(3))
+    early = F.col("timestamp") < F.lit("2024-01-20").cast("timestamp_ntz")
+    whole = lambda part: profile_panel(part, ["Daily"])
+    cache = cut_lineage(whole(rows.filter((third == 0) | ((third == 1) & early))))
+    return flat(T.compute_missing(rows, cache, whole, refresh=True))
+
+
 CONFIG_CATALOG = catalog_sql("user_daily", ["day_of_week", "is_weekend"], 7, 7, 30, 365)
 
 
@@ -220,6 +231,20 @@ def feature_config(spark, sf):
 # ---- notes ----------------------------------------------------------------------------------
 
 
+@query(
+    "notes_payload_batches",
+    f"""SELECT (row_number() OVER (ORDER BY series_id) - 1) // 20 AS batch, least(20, count(*) OVER () - 20 * ((row_number() OVER (ORDER BY series_id) - 1) // 20)) AS n_series,
+    series_id, n_obs, category FROM {USER_PROFILE_SQL}""",
+)
+def notes_payload_batches(spark, sf):
+    """Batches of twenty, taken apart again."""
+    payloads = N.payload(user_profile(spark, sf))
+    batches = N.payload_batches(payloads, 20, panel(spark, sf, "user_daily").select("series_id").distinct().count())
+    schema = "ARRAY<STRUCT<series_id: STRING, n_obs: BIGINT, intermittency: STRUCT<category: STRING>>>"
+    notes = batches.select("batch", "n_series", F.explode(F.from_json("payload", schema)).alias("p"))
+    return notes.select("batch", "n_series", "p.series_id", "p.n_obs", "p.intermittency.category")
+
+
 @query(
     "notes_payload",
     f"""SELECT series_id, frequency, n_obs, strftime(start_timestamp, '%Y-%m-%dT%H:%M:%S') AS first_date,

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from panelcast.operators.features import FeatureSpec, apply_features, features_long
-from panelcast.operators.layout import number_rows
+from panelcast.operators.layout import by_length, number_rows
 from panelcast.queries.q_panel import rounded
 from panelcast.queries.registry import query
 from panelcast.sources.tables import panel, panel_sql
@@ -107,6 +109,23 @@ def feature_holiday(spark, sf):
     return build(spark, sf, "orders_daily", [FeatureSpec("holiday_US", "holiday", country="US")])
 
 
+@query(
+    "feature_holiday_other_country",
+    f"""SELECT series_id, timestamp, (day(timestamp) IN (1, 15))::INT AS holiday_XX FROM ({panel_sql("orders_daily")})""",
+)
+def feature_holiday_other_country(spark, sf):
+    """A country whose calendar is a table: the first and the fifteenth of every month there are orders in."""
+    rows = panel(spark, sf, "orders_daily")
+    days = rows.select(F.lit("XX").alias("country"), F.col("timestamp").cast("date").alias("date")).distinct()
+    spec = FeatureSpec("holiday_XX", "holiday", country="XX")
+    return by_length(
+        rows,
+        lambda part, layout: apply_features(
+            number_rows(part, layout), [spec], days.filter(F.day("date").isin(1, 15)), layout
+        ).select("series_id", "timestamp", "holiday_XX"),
+    )
+
+
 WIDE_SPECS = [
     *calendar_specs("month"),
     FeatureSpec("time_index", "calendar", component="time_index"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelcast.operators import arima as A
 from panelcast.operators import smoothing as M
 from panelcast.operators.features import feature_catalog
-from panelcast.operators.layout import by_length
+from panelcast.operators.layout import DEFAULT, Layout, by_length
 from panelcast.plans import benchmark as K
 from panelcast.plans.profile import profile_panel
 from panelcast.queries.q_catalog import catalog_flags, configs
@@ -18,12 +18,12 @@ from panelcast.session import cut_lineage
 from panelcast.sources.tables import panel
 
 
-def smooth(spark, sf, name):
+def smooth(spark, sf, name, layout=DEFAULT):
     def run(rows, layout):
         clean, horizons = K.train_rows(rows, layout)
         return M.smoothing_forecasts(cut_lineage(M.smoothing_fits(cut_lineage(clean), layout)), horizons)
 
-    return by_length(panel(spark, sf, name), run)
+    return by_length(panel(spark, sf, name), run, layout)
 
 
 def train_sql(name: str) -> str:
@@ -72,6 +72,14 @@ def forecast_theta(spark, sf):
     return rounded(smooth(spark, sf, "user_daily").filter("model_name = 'Theta'"), 4, "predicted")
 
 
+CUT = Layout(chunk_rows=512, block_steps=300)  # the layout of series too long for one task, on shorter ones
+
+
+@query("forecast_smoothing_cut", smooth_sql("orders_daily"))
+def forecast_smoothing_cut(spark, sf):
+    return rounded(smooth(spark, sf, "orders_daily", CUT), 4, "predicted")
+
+
 def arima_fits(spark, sf, name, **limits):
     def run(rows, layout):
         clean, horizons = K.train_rows(rows, layout)

@@ -154,7 +154,9 @@ def test_regression(panel):
     both(panel, table, ["series_id", "timestamp"])
 
 
-def test_smoothing(panel):
+@pytest.mark.parametrize("fan", [256, 2])
+def test_smoothing(panel, fan, monkeypatch):
+    monkeypatch.setattr(M, "FAN", fan)
     out = both(panel, lambda r, l: M.smoothing_fits(clean(r, l), l), tolerance=1e-6)
     assert set(out.series_id) >= {"long", "tiny", "flat"}
 
