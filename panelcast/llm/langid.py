@@ -203,15 +203,20 @@ def _accept(model: Model, text_col: str, least: float):
         for batch in batches:
             for part in slices(batch, text_col):
                 languages, score = posteriors(model, part.column(text_col), memo)
-                yield part.filter(pa.array((np.array(languages, dtype=object) != UNKNOWN) & (score >= least), pa.bool_()))
+                yield part.filter(pa.array((np.array(languages, dtype=object) != UNKNOWN) & (score > least), pa.bool_()))
 
     return run
 
 
-def accepted(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows, with all their columns, whose text has a language the model names with a score of at least `least`. Rows are
-    judged where they are read; nothing is shuffled."""
-    return docs.mapInArrow(_accept(model, text_col, least), docs.schema)
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", least: float | None = None) -> DataFrame:
+    """The rows, with all their columns, whose text has a language that scores above `least`; by default above the equal
+    share of all languages, so only texts that tell nothing go. A model without languages rejects nothing. Rows are judged where
+    they are read; nothing is shuffled."""
+    count = len(model.languages)
+    if not count:
+        return docs
+    equal = 0.0 if count == 1 else (1 + 1e-9) / count
+    return docs.mapInArrow(_accept(model, text_col, equal if least is None else least), docs.schema)
 
 
 def remainder(id_col: str, parts: int) -> Column:

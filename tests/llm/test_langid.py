@@ -54,6 +54,17 @@ def test_edge_rows(spark, model):
     assert {(r.lang_pred, r.score) for r in langid.predicted(docs, none).collect()} == {("und", 0.0)}
 
 
+def test_accepted(spark, model):
+    rows = [(1, "the cat", "x"), (2, "中文", "x"), (3, "", "x"), (4, None, "x"), (5, "le", "x"), (None, "the", "x"), (5, "le", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang_pred string")
+    got = langid.accepted(docs, model)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id for r in got.collect()), key=repr) == sorted([1, 5, 5, None], key=repr)
+    assert langid.accepted(docs, model, least=1.0).count() == 0
+    none = langid.fitted(docs.withColumn("lang", F.lit(None).cast("string")), F.lit(True))
+    assert langid.accepted(docs, none).count() == len(rows)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     truth = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
