@@ -28,8 +28,8 @@ from panelcast.llm.words import GOLD, mixed
 from panelcast.session import cut_lineage
 
 LEAST = 0.93
-TABLES = 8
-PROBES = 16
+TABLES = 6
+PROBES = 8
 WIDTH = 1.0  # edge of a cell against the length of a projected unit vector in one dimension
 BLOCK = 1024
 
@@ -112,9 +112,10 @@ def _signed(tables: int, probes: int, width: float, seed: int):
     return run
 
 
-def _met(own: np.ndarray, near: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By pair and table: whether both live in one cell, v lives where u probes, u lives where v probes."""
-    return own[u] == own[v], (near[u] == own[v][:, :, None]).any(axis=2), (near[v] == own[u][:, :, None]).any(axis=2)
+def met(own: np.ndarray, near: np.ndarray, u: np.ndarray, v: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By pair, in one table: whether both live in one cell, v lives where u probes, u lives where v probes."""
+    a, b = own[u, table], own[v, table]
+    return a == b, (near[u, table] == b[:, None]).any(axis=1), (near[v, table] == a[:, None]).any(axis=1)
 
 
 def cell_links(
@@ -123,16 +124,19 @@ def cell_links(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Of the members of one cell: the links each has that no other cell counts, copies included, and a member of its component
     each. `across`: two blocks are compared with one another only."""
-    u, v = np.nonzero(np.triu(unit @ unit.T >= least, 1))
-    good = lives[u] | lives[v]
+    home = np.flatnonzero(lives)
+    u, v = np.nonzero(unit[home] @ unit.T >= least)
+    u = home[u]
+    good = np.where(lives[v], u < v, u != v)
     if across:
         good &= block[u] != block[v]
     u, v = u[good], v[good]
-    same, forth, back = _met(own, near, u, v)
-    before = (same | forth | back)[:, :table].any(axis=1)
+    for earlier in range(table):
+        same, forth, back = met(own, near, u, v, earlier)
+        u, v = u[~(same | forth | back)], v[~(same | forth | back)]
     # in this table, of two cells where the pair meets, the home of the smaller row counts
-    here = np.where(same[:, table], lives[u] & lives[v], ~(forth[:, table] & back[:, table]) | (lives[u] == (row[u] < row[v])))
-    good = ~before & here
+    same, forth, back = met(own, near, u, v, table)
+    good = np.where(same, lives[u] & lives[v], ~(forth & back) | (lives[u] == (row[u] < row[v])))
     u, v = u[good], v[good]
     links = np.bincount(u, weights=copies[v], minlength=len(row)) + np.bincount(v, weights=copies[u], minlength=len(row))
     label = np.arange(len(row))

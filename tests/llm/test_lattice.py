@@ -37,7 +37,8 @@ def test_recall_of_signatures(cosine):
     pairs = [vectors_at(rng, cosine, 64) for _ in range(600)]
     unit = np.concatenate([np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])])
     own, near = lattice.signature(unit, np.zeros(len(unit)), lattice.TABLES, lattice.PROBES, lattice.WIDTH, 7)
-    found = np.logical_or.reduce(lattice._met(own, near, np.arange(600), np.arange(600, 1200))).any(axis=1)
+    u, v = np.arange(600), np.arange(600, 1200)
+    found = np.logical_or.reduce([m for t in range(lattice.TABLES) for m in lattice.met(own, near, u, v, t)])
     assert found.mean() >= 0.97
 
 
