@@ -318,7 +318,7 @@ def frequent_words(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text"
         if words > room:
             break
         least, room = n, room - words
-    return [] if least is None else [w for (w,) in counts.where(F.col("n") >= least).select("word").collect()]
+    return [] if least is None else counts.where(F.col("n") >= least).select("word").toArrow()["word"].to_pylist()
 
 
 def _encode(tokenizer: Tokenizer, name: str, digests: bool):

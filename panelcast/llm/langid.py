@@ -93,18 +93,18 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _counted(counts)
 
 
-def _most(counts: DataFrame, limit: int) -> tuple[dict[str, int], list[tuple[str, str, int]]]:
+def _most(counts: DataFrame, limit: int) -> tuple[dict[str, int], pa.Table]:
     """The items with the highest counts over all languages, ties by the item itself, and their counts by language."""
     top = counts.groupBy("item").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "item").limit(limit)
-    rows = counts.join(F.broadcast(cut_lineage(top.select("item"))), "item").select("lang", "item", "n").collect()
-    return {w: i for i, w in enumerate(sorted({r.item for r in rows}))}, rows
+    rows = counts.join(F.broadcast(cut_lineage(top.select("item"))), "item").select("lang", "item", "n").toArrow()
+    return {w: i for i, w in enumerate(sorted(pa.compute.unique(rows["item"]).to_pylist()))}, rows
 
 
-def _logs(items: dict[str, int], rows: list, languages: list[str], totals: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+def _logs(items: dict[str, int], rows: pa.Table, languages: list[str], totals: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     """log((n + a) / (total + a kinds)) by item and language; totals and kinds by item class (see `fitted`)."""
     counts = np.zeros((len(items), len(languages)))
     at = {name: i for i, name in enumerate(languages)}
-    for lang, item, n in rows:
+    for lang, item, n in zip(*(rows[c].to_pylist() for c in ("lang", "item", "n")), strict=True):
         counts[items[item], at[lang]] = n
     return np.log((counts + SMOOTH) / (totals + SMOOTH * np.maximum(kinds, 1)))
 
