@@ -105,3 +105,17 @@ def test_better_than_single_words(spark):
     held = lm.scored(docs, remainder("doc_id", 7) != 2).join(docs.where(remainder("doc_id", 7) == 2).select("doc_id"), "doc_id")
     r = held.agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert r.s > r.b
+
+
+def test_the_model_grows_with_the_words(spark):
+    """140,000 words, each seen twice and in one order: all of them, their pairs and their triples are in the model."""
+    text = " ".join(f"w{i}" for i in range(140_000))
+    docs = spark.createDataFrame([(1, text, True), (2, text, True), (3, "w5 w6 w7", False), (4, "w139990 w139991 w139992", False)], "doc_id long, text string, t boolean")
+    got = {r.doc_id: r for r in lm.scored(docs, F.col("t")).collect()}
+    p1 = 3 / (2 * 140_001 + 140_001 + 1)
+    seen, free = 1.25 / 2, 1 - 1.25 / 2
+    p2 = seen + free * p1
+    want = sum(math.log10(p) for p in (free * p1, p2, seen + free * p2, free * free * p1))
+    for i in (3, 4):
+        assert (got[i].n_tokens, got[i].n_known) == (4, 4)
+        assert got[i].score == pytest.approx(want) and got[i].base_score == pytest.approx(4 * math.log10(p1))
