@@ -253,11 +253,24 @@ def judged(wrapper: list) -> list:
     return wrapper
 
 
+def _found(items: list, label: str) -> list | None:
+    """The first item of this label, in groups of groups too."""
+    for item in items:
+        if item[0] == label:
+            return item
+        inner = _found(item[4], label) if item[0].startswith("(") else None
+        if inner is not None:
+            return inner
+    return None
+
+
 def main_text(page: str, wrapper: list) -> str:
-    """The main text of a page, a line a block, read along its host's wrapper (`judged`)."""
+    """The main text of a page, a line a block, read along its host's wrapper (`judged`). Where the wrapper does not know a text or an
+    element, the plain rules decide: in the main element if the host has one, and not in what is skipped."""
     out: list[str] = []
+    has_main = any(inside and not skipped for _, inside, skipped, _ in _slots(wrapper, False, False))
 
-    def read(node: list, items: list) -> None:
+    def read(node: list, items: list, inside: bool) -> None:
         at = 0
         for child in node[2]:
             label = TEXT if isinstance(child, str) else child[0]
@@ -265,25 +278,21 @@ def main_text(page: str, wrapper: list) -> str:
                 continue
             found = None
             for k in [*range(at, len(items)), *range(at)]:  # from the last match on, then from the front
-                if items[k][0] == label:
-                    found, at = items[k], k
+                found = _found(items[k : k + 1], label)
+                if found is not None:
+                    at = k
                     break
-                if items[k][0].startswith("("):
-                    found = next((x for x in items[k][4] if x[0] == label), None)
-                    if found is not None:
-                        at = k
-                        break
-            if found is None:
-                continue
             if label == TEXT:
-                if found[-1]:
+                if found[-1] if found is not None else inside or not has_main:
                     block = block_of(child)
                     if block:
                         out.append(block)
-            elif found[3] != 2:
-                read(child, found[4])
+                continue
+            main = inside or _tag(label) in MAIN
+            if child[1] != 2 and (child[1] != 1 or main):
+                read(child, found[4] if found is not None else [], main)
 
-    read(tree(page), wrapper)
+    read(tree(page), wrapper, False)
     return "\n".join(out)
 
 

@@ -93,3 +93,21 @@ def test_edge_rows(spark, sent, monkeypatch):
     assert got[102][1] == "\n".join(["word"] * 30_000)
     assert all(len(t) == n for _, t, n in got.values())
     assert wrap.extracted(pages.limit(0)).count() == 0
+
+
+def test_groups_of_groups_keep_their_texts():
+    children = "<h2>h{0}</h2><p>p{0}</p><ul><li>u{0}</li></ul><p>q{0}</p><ul><li>v{0}</li></ul><table><tr><td>t{0}</td></tr></table>"
+    texts, w = host_text([f"<article>{children.format(1)}{children.format(2)}</article>"])
+    assert labels(w[0][4]) == ["(h2 (p ul) table)+"]
+    assert texts == ["\n".join(f"{x}{n}" for n in (1, 2) for x in "hpuqvt")]
+    part = "<h2>h{0}</h2><p>p{0}</p><figure>f{0}</figure><p>q{0}</p><figure>g{0}</figure>"
+    pages = [part.format(1) + part.format(2), part.format(3) + "<blockquote>b</blockquote>" + part.format(4)]
+    texts, _ = host_text([f"<article>{x}</article>" for x in pages])
+    assert texts[0] == "\n".join(f"{x}{n}" for n in (1, 2) for x in "hpfqg")
+    assert texts[1] == "\n".join([*(f"{x}3" for x in "hpfqg"), "b", *(f"{x}4" for x in "hpfqg")])
+
+
+def test_what_the_wrapper_does_not_know_is_read_by_the_plain_rules():
+    wrapper = wrap.judged(wrap.expression(wrap.tree("<article><p>known</p></article>")))
+    page = "<div>outside</div><article><header>title</header><p>a</p><section><dl><dt>b</dt></dl><nav>no</nav></section>c</article>"
+    assert wrap.main_text(page, wrapper) == "title\na\nb\nc"
