@@ -7,9 +7,9 @@ common subsequence, level by level: what matches is merged, what does not become
 come to lie side by side become a repeated one. So a host's wrapper is the merge of its pages in turn; tasks merge what they
 read, and one row a task and host is left to merge after the shuffle, however many pages a host has.
 
-The slots of a wrapper are then told apart: main text lies in the article (or main) element if the host has one, and not in
-a menu, header, footer, sidebar, notice, advert, form or comment section, by element or by class. Without such an element, a slot
-whose text never changes while others do is part of the template. Reading a page walks it along the wrapper.
+Main text lies in the article (or main) element if the page has one, and not in a menu, header, footer, sidebar, notice, advert,
+form or comment section, by element or by class. On a page without such an element, a slot of the wrapper whose text never changes
+while others do is part of the template. Reading a page walks it along the wrapper.
 """
 
 from __future__ import annotations
@@ -243,16 +243,27 @@ def _slots(items: list, inside: bool, skipped: bool, repeated: bool = False) ->
 
 
 def judged(wrapper: list) -> list:
-    """The wrapper with a last field for each slot: whether its text is main text."""
+    """The wrapper with a last field for each slot: whether its text is part of the template, for pages without a main element."""
     slots = list(_slots(wrapper, False, False))
-    has_main = any(inside and not skipped for _, inside, skipped, _ in slots)
-    changes = any(not skipped and s[5][1] is None for s, _, skipped, _ in slots)
-    for slot, inside, skipped, repeated in slots:
-        fixed = changes and not has_main and not repeated and slot[5][1] is not None and slot[5][0] >= SEEN
-        slot.append(not skipped and not fixed and (inside or not has_main))
+    changes = any(not inside and not skipped and s[5][1] is None for s, inside, skipped, _ in slots)
+    for slot, inside, _, repeated in slots:
+        slot.append(changes and not inside and not repeated and slot[5][1] is not None and slot[5][0] >= SEEN)
     return wrapper
 
 
+def _has_main(node: list, inside: bool = False) -> bool:
+    """Whether the page has a text in a main element that is not skipped."""
+    for child in node[2]:
+        if isinstance(child, str):
+            if inside and block_of(child):
+                return True
+        elif child[1] != 2:
+            main = inside or _tag(child[0]) in MAIN
+            if (child[1] != 1 or main) and _has_main(child, main):
+                return True
+    return False
+
+
 def _found(items: list, label: str) -> list | None:
     """The first item of this label, in groups of groups too."""
     for item in items:
@@ -265,10 +276,11 @@ def _found(items: list, label: str) -> list | None:
 
 
 def main_text(page: str, wrapper: list) -> str:
-    """The main text of a page, a line a block, read along its host's wrapper (`judged`). Where the wrapper does not know a text or an
-    element, the plain rules decide: in the main element if the host has one, and not in what is skipped."""
+    """The main text of a page, a line a block, read along its host's wrapper (`judged`): what is not skipped, in the main element if this
+    page has one with text, else without the template. A text or an element that the wrapper does not know is no template."""
     out: list[str] = []
-    has_main = any(inside and not skipped for _, inside, skipped, _ in _slots(wrapper, False, False))
+    root = tree(page)
+    has_main = _has_main(root)
 
     def read(node: list, items: list, inside: bool) -> None:
         at = 0
@@ -283,7 +295,7 @@ def main_text(page: str, wrapper: list) -> str:
                     at = k
                     break
             if label == TEXT:
-                if found[-1] if found is not None else inside or not has_main:
+                if inside if has_main else found is None or not found[-1]:
                     block = block_of(child)
                     if block:
                         out.append(block)
@@ -292,7 +304,7 @@ def main_text(page: str, wrapper: list) -> str:
             if child[1] != 2 and (child[1] != 1 or main):
                 read(child, found[4] if found is not None else [], main)
 
-    read(tree(page), wrapper, False)
+    read(root, wrapper, False)
     return "\n".join(out)
 
 

@@ -111,3 +111,18 @@ def test_what_the_wrapper_does_not_know_is_read_by_the_plain_rules():
     wrapper = wrap.judged(wrap.expression(wrap.tree("<article><p>known</p></article>")))
     page = "<div>outside</div><article><header>title</header><p>a</p><section><dl><dt>b</dt></dl><nav>no</nav></section>c</article>"
     assert wrap.main_text(page, wrapper) == "title\na\nb\nc"
+
+
+def test_pages_with_and_without_an_article_on_one_host():
+    old = [f"<nav>menu</nav><div class=content><p>Old {n}</p></div><div class=about><p>Same line</p></div>" for n in range(4)]
+    new = [f"<nav>menu</nav><div class=top>Brand</div><article><p>New {n}</p></article>" for n in range(4)]
+    want = [f"Old {n}" for n in range(4)] + [f"New {n}" for n in range(4)]
+    assert host_text(old + new)[0] == want
+    assert host_text(new + old)[0] == want[4:] + want[:4]
+    assert host_text(["<article></article><div>left</div>", "<article>right</article><div>beside</div>"])[0] == ["left", "right"]
+
+
+def test_pages_without_a_host(spark):
+    rows = [(1, None, "<article>one</article>"), (2, None, "<div><p>two</p></div>"), (3, "no scheme", "<p>three</p>")]
+    got = wrap.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {1: "one", 2: "two", 3: "three"}
