@@ -42,6 +42,7 @@ INLINE = frozenset(
 )
 MAIN = ("article", "main")
 SKIPPED = frozenset("nav aside form footer menu dialog button head canvas object".split())
+CLOSED = frozenset(SKIPPED) - {"form"}  # skipped also where they hold all there is of main elements
 OUTER = frozenset(["header"])  # skipped outside the main element, where it holds no title of the text
 #: Words of a class, id or role that tell what is not main text.
 HINTS = frozenset(
@@ -143,9 +144,56 @@ def tree(page: str) -> list:
             stack.append(node)
             tags.append(tag)
     text(page[at:])
+    _open(root)
     return root
 
 
+def _length(node: list) -> int:
+    """Characters of all texts below a node, skipped or not."""
+    total, left = 0, [node]
+    while left:
+        for child in left.pop()[2]:
+            if isinstance(child, str):
+                total += len(child)
+            else:
+                left.append(child)
+    return total
+
+
+def _open(root: list) -> None:
+    """If all main elements with text lie in skipped elements, those that hold the outermost ones are not skipped: a hint there tells of the
+    page's layout. Menus and the like stay skipped, and so do lists of several articles that have less text than the rest of the page."""
+    mains: list[tuple[int, list, tuple | None]] = []  # skipped elements above: how many; main element; these, from the inner to the outer
+    beside = 0
+    left: list[tuple[list, int, tuple | None]] = [(root, 0, None)]
+    while left:
+        node, many, above = left.pop()
+        for child in node[2]:
+            if isinstance(child, str):
+                beside += 0 if above else len(child)
+                continue
+            tag = _tag(child[0])
+            if tag in MAIN:
+                if _length(child):
+                    if not above:
+                        return
+                    mains.append((many, child, above))
+            elif child[1] == 0:
+                left.append((child, many, above))
+            elif tag not in CLOSED:
+                left.append((child, many + 1, (child, above)))
+    if not mains:
+        return
+    least = min(m[0] for m in mains)
+    outer = [m for m in mains if m[0] == least]
+    if len(outer) > 1 and sum(_length(m[1]) for m in outer) < beside:
+        return
+    for _, _, above in outer:
+        while above:
+            above[0][1] = 0
+            above = above[1]
+
+
 def _name(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 

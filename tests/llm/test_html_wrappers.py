@@ -126,3 +126,20 @@ def test_pages_without_a_host(spark):
     rows = [(1, None, "<article>one</article>"), (2, None, "<div><p>two</p></div>"), (3, "no scheme", "<p>three</p>")]
     got = wrap.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in got} == {1: "one", 2: "two", 3: "three"}
+
+
+@pytest.mark.parametrize("around", ["<div class='has-sidebar'>{}</div>", "<div class=no-sidebar><div id=with-nav>{}</div></div>", "<form action=x>{}</form>", "<header>{}</header>"])
+def test_hints_around_the_article(around):
+    inside = "<article><p>News {0}</p><div class=share>Share</div></article><div class=sidebar><article>Teaser {0}</article></div>"
+    pages = [f"<div>Brand</div>{around.format(inside.format(n))}<footer>end</footer>" for n in range(4)]
+    assert host_text(pages)[0] == [f"News {n}" for n in range(4)]
+    mixed = [inside.format(9), pages[0]]
+    assert host_text(mixed)[0] == ["News 9", "News 0"]
+    assert host_text(mixed[::-1])[0] == ["News 0", "News 9"]
+
+
+def test_articles_in_skipped_elements_are_no_main_text_beside_a_longer_one():
+    teasers = "<div class=related><article>One</article><article>Two</article></div><aside><article>Three</article></aside>"
+    assert host_text([f"<div><p>A text that is longer than its teasers</p></div>{teasers}"])[0] == ["A text that is longer than its teasers"]
+    assert host_text([f"<article>Text</article>{teasers}"])[0] == ["Text"]
+    wrap.tree("<form class=nav>" * 5000 + "<article>deep")
