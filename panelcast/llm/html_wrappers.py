@@ -75,11 +75,11 @@ def _label(tag: str, attributes: str) -> tuple[str, int]:
     if "=" in attributes:
         for m in ATTRIBUTE.finditer(attributes):
             words += NAME.findall((m[2] or m[3] or m[4] or "").lower())
-    words = sorted(set(words))[:6]
     skip = 2 if tag in SKIPPED else 1 if tag in OUTER else 0
     if not skip and tag not in MAIN and tag not in ("body", "html") and not HINTS.isdisjoint(words):
         skip = 2
-    return (f"{tag}.{'.'.join(words)}" if words else tag), skip
+    label = ".".join([tag, *sorted(set(words))[:6]])
+    return (f"{label}!" if skip == 2 and tag not in SKIPPED else label), skip  # words that are cut may tell apart what is skipped
 
 
 def tree(page: str) -> list:

@@ -143,3 +143,11 @@ def test_articles_in_skipped_elements_are_no_main_text_beside_a_longer_one():
     assert host_text([f"<div><p>A text that is longer than its teasers</p></div>{teasers}"])[0] == ["A text that is longer than its teasers"]
     assert host_text([f"<article>Text</article>{teasers}"])[0] == ["Text"]
     wrap.tree("<form class=nav>" * 5000 + "<article>deep")
+
+
+def test_hints_among_many_words():
+    for words in ("block col flex grid hidden margin sidebar", "a b c d e f g notice z"):
+        assert host_text([f"<article><p>Text</p><div class='{words}'>Aside</div></article>"])[0] == ["Text"]
+        assert host_text([f"<p>Text {n}</p><div class='{words}'>Aside {n}</div>" for n in range(2)])[0] == ["Text 0", "Text 1"]
+    same = "<article><div class='block col flex grid hidden margin {}'>x</div><div class='block col flex grid hidden margin {}'>y</div></article>"
+    assert host_text([same.format("sidebar", "wide"), same.format("wide", "sidebar")])[0] == ["y", "x"]
