@@ -128,14 +128,29 @@ def forecast_gbt_depth(spark, sf):
     return trees(spark, sf, "GBT_depth")
 
 
+def refit_rows(out):
+    """The rows of a refit (a written table), told apart by `part`: `best` and deltas of a series, `score` of a model, `forecast` of a
+    model and step, `config` of a feature."""
+    best = out.select("series_id", F.lit("best").alias("part"), F.col("best_model").alias("model_name"), "deltas.*")
+    score = out.select("series_id", F.lit("score").alias("part"), F.inline("metrics"))
+    model = out.select("series_id", F.lit("forecast").alias("part"), F.inline("forecasts"))
+    ahead = model.select("series_id", "part", "model_name", F.inline("points"))
+    config = out.select("series_id", F.lit("config").alias("part"), F.explode("config").alias("feature", "enabled"))
+    rows = best
+    for more in (score, ahead, config):
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    return rows
+
+
 @query("refit")
 def refit(spark, sf):
-    """Every daily event series with lag_1 switched off for some, all models, best model and deltas."""
+    """Every daily event series with lag_1 switched off for some: best model and deltas, and the scores, forecasts with actuals and
+    config of all models, in rows (`refit_rows`)."""
     rows = cut_lineage(panel(spark, sf, "events_daily"))
     profile = cut_lineage(profile_panel(rows, ["Daily"]))
     switches = configs(profile.select("series_id"))
     out = K.refit(rows, profile, switches, ["Daily"])
-    return out.select("series_id", "best_model", F.size("metrics").alias("n_models"), F.size("config").alias("n_features"), "deltas.*")
+    return refit_rows(cut_lineage(out))
 
 
 @query("benchmark_scores")

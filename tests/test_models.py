@@ -226,3 +226,18 @@ def test_a_feature_missing_in_the_holdout_reads_as_the_usual_level(make_panel):
     assert gap.x_lag_1 == 1.0 and gap.x_roll_mean == 1.0 and gap.complete is False
     train = table.filter("complete AND NOT is_test").agg(F.avg("x_roll_std").alias("m"), F.max("x_roll_std").alias("x")).first()
     assert 0 < gap.x_roll_std <= train.x and all(getattr(gap, f"x_{s}") is not None for s in SLOTS)
+
+
+def test_refit_query_returns_scores_forecasts_and_config_in_rows(refitted):
+    from panelcast.queries.q_models import refit_rows
+
+    series = by_id(refitted[0])
+    rows = refit_rows(refitted[0]).collect()
+    for name, r in series.items():
+        of = lambda part: [x for x in rows if x.series_id == name and x.part == part]  # noqa: B023, E731
+        assert [(x.model_name, x.r_squared) for x in of("best")] == [(r.best_model, r.deltas.r_squared)]
+        assert {(x.model_name, x.forecast_kind, x.mae, x.rmse, x.smape) for x in of("score")} == {tuple(m) for m in r.metrics}
+        points = {(f.model_name, *p) for f in r.forecasts for p in f.points}
+        assert {(x.model_name, x.step, x.timestamp, x.actual, x.predicted) for x in of("forecast")} == points and len(of("forecast")) == len(points)
+        assert {x.feature: x.enabled for x in of("config")} == r.config
+    assert len(rows) == sum(1 + len(r.metrics) + sum(len(f.points) for f in r.forecasts) + len(r.config) for r in series.values())
