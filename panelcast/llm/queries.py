@@ -15,6 +15,7 @@ from panelcast.llm.lattice import near_copies
 from panelcast.llm.lm import scored
 from panelcast.llm.mixing import mixed
 from panelcast.llm.ngram_join import similar_groups
+from panelcast.llm.packing import packed
 from panelcast.llm.secret_scan import BASE, scanned
 from panelcast.llm.url_filters import Rule, host_rule, judged
 from panelcast.sources.tables import table
@@ -158,3 +159,10 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))
+
+
+@query
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
