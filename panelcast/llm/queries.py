@@ -18,6 +18,7 @@ from panelcast.llm.ngram_join import similar_groups
 from panelcast.llm.packing import packed
 from panelcast.llm.secret_scan import BASE, scanned
 from panelcast.llm.url_filters import Rule, host_rule, judged
+from panelcast.llm.whitening import whitened
 from panelcast.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +167,8 @@ def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
