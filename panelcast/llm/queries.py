@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm.bpe import round_trip
+from panelcast.llm.conversation_repair import structure_repair
 from panelcast.llm.exact_dedup import exact_groups
 from panelcast.llm.html_wrappers import extracted
 from panelcast.llm.langid import fitted, predicted, remainder
@@ -172,3 +173,82 @@ def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair(table(spark, sf_dir, "conversations"))
+
+
+def _cheaper(*options: str) -> str:
+    """The least of (cost, audit) pairs written as texts of a cost of fixed width and the audit; nulls do not count."""
+    return f"least({', '.join(options)})"
+
+
+def _dearer(state: str, cost: str, edits: str) -> str:
+    return f"lpad(({state}[:9]::BIGINT + {cost})::VARCHAR, 9, '0') || {state}[10:] || '{edits}'"
+
+
+# Forward over the rows of all conversations at once: for each state the least (cost, audit). States: 0 nothing yet, 1 after s,
+# 2 after u, 3 after a. First rows are inserted (y), then the row is deleted, kept or given another role (z).
+_INSERTED = f"""x0 AS y0, x1 AS y1, {_cheaper("x2", *(_dearer(x, "5", "I") for x in ("x0", "x1", "x3")))} AS y2,
+    {_cheaper("x3", _dearer("x2", "5", "I"), _dearer("x0", "10", "II"), _dearer("x1", "10", "II"))} AS y3"""
+
+ORACLES["op11_conversation_repair"] = rf"""
+WITH RECURSIVE k AS (
+    SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), c AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten([[unicode(b)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR b IN string_split(key, '')])),
+            lambda s, b: CASE WHEN b >= 0 THEN xor(s, b) ELSE xor(s >> 1, 3988292384 * (s & 1)) END)) % 20 AS kind
+    FROM k
+), d AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM c, unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END)
+), o AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS nr FROM d
+), f AS (
+    SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY nr) > 1 THEN 'duplicate'
+        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+        role[1] AS initial, coalesce(lag(role[1]) OVER (PARTITION BY conv_id ORDER BY nr) || role[1], 'su') AS pair, count(*) OVER (PARTITION BY conv_id) AS n
+    FROM o
+), e AS (
+    SELECT DISTINCT coalesce(conv_id::VARCHAR, 'null') AS conv, conv_id FROM conversations
+), r AS (
+    SELECT conv, 0::BIGINT AS nr, '000000000' AS x0, NULL::VARCHAR AS x1, NULL::VARCHAR AS x2, NULL::VARCHAR AS x3 FROM e
+    UNION ALL
+    SELECT conv, nr, {_dearer("y0", "2", "D")}, {_cheaper(_dearer("y1", "2", "D"), "CASE WHEN keep AND initial = 's' THEN " + _dearer("y0", "more", "K") + " END")},
+        {_cheaper(_dearer("y2", "2", "D"), *("CASE WHEN keep THEN CASE WHEN initial = 'u' THEN " + _dearer(y, "more", "K") + " ELSE " + _dearer(y, "1 + more", "R") + " END END" for y in ("y0", "y1", "y3")))},
+        {_cheaper(_dearer("y3", "2", "D"), "CASE WHEN keep THEN CASE WHEN initial = 'a' THEN " + _dearer("y2", "more", "K") + " ELSE " + _dearer("y2", "1 + more", "R") + " END END")}
+    FROM (
+        SELECT r.conv, f.nr, f.initial, f.fault NOT IN ('blank', 'duplicate') AS keep, CASE WHEN f.fault = 'truncated' THEN 5 ELSE 0 END AS more, {_INSERTED}
+        FROM r JOIN f ON coalesce(f.conv_id::VARCHAR, 'null') = r.conv AND f.nr = r.nr + 1
+    )
+), s AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+        count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+        count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+    FROM f GROUP BY conv_id
+), z AS (
+    SELECT e.conv_id, e.conv, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+        coalesce(illegal, 0) AS illegal, {_cheaper("x0", "y3")} AS won
+    FROM (SELECT *, {_INSERTED} FROM r) r JOIN e ON e.conv = r.conv LEFT JOIN s ON coalesce(s.conv_id::VARCHAR, 'null') = e.conv WHERE r.nr = coalesce(s.n, 0)
+), a AS (
+    SELECT conv, unnest(string_split(won[10:], '')) AS edit, generate_subscripts(string_split(won[10:], ''), 1) AS i FROM z WHERE length(won) > 9
+), b AS (
+    SELECT *, count(*) FILTER (WHERE edit <> 'I') OVER (PARTITION BY conv ORDER BY i) AS nr FROM a
+), g AS (
+    SELECT b.*, f.role, f.text, row_number() OVER (PARTITION BY b.conv ORDER BY i) - 1 AS place
+    FROM b LEFT JOIN f ON edit <> 'I' AND coalesce(f.conv_id::VARCHAR, 'null') = b.conv AND f.nr = b.nr WHERE edit <> 'D'
+), h AS (
+    SELECT *, max(CASE WHEN place = 0 AND edit = 'K' AND role[1] = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv) AS opened FROM g
+), t AS (
+    SELECT conv, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - opened) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':'
+        || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY place) AS body
+    FROM h GROUP BY conv
+)
+SELECT z.conv_id, z.gaps, z.blank, z.duplicate, z.truncated, z.illegal, z.won[:9]::BIGINT AS cost, z.won[10:] AS audit, sha256(coalesce(t.body, '')) AS repaired_sha256
+FROM z LEFT JOIN t ON t.conv = z.conv
+"""
