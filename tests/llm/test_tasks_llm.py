@@ -7,9 +7,9 @@ import public_tokenizers
 import pytest
 from pyspark import cloudpickle
 
-from panelcast.llm import bpe, exact_dedup, html_wrappers, langid, lattice, lm, mixing, ngram_join, secret_scan
+from panelcast.llm import bpe, conversation_repair, exact_dedup, html_wrappers, langid, lattice, lm, mixing, ngram_join, packing, secret_scan, whitening
 
-MODEL = langid.Model([], {}, None, {}, None)
+MODEL = langid.Model([])
 FUNCTIONS = {
     "blocks": exact_dedup._blocks(10, 10),
     "prefixes": ngram_join._prefixes(5, (3, 4)),
@@ -23,6 +23,15 @@ FUNCTIONS = {
     "scan": secret_scan._scan(10),
     "predict": langid._predict(MODEL),
     "words": langid._count_words,
+    "grams": langid._count_grams,
+    "familiarity": langid._familiarity("x"),
+    "pieces": packing._pieces(bpe.Tokenizer(public_tokenizers.path("word_bpe_49k.json")), 16, 1, True),
+    "shard": packing._shard(16, True),
+    "factor": whitening._factor([0, 0], 1),
+    "stacked": whitening._stacked(2),
+    "symbols": conversation_repair._pieces,
+    "report": conversation_repair._report,
+    "replay": conversation_repair._replay(True),
     "learn": html_wrappers._learn,
     "extract": html_wrappers._extract,
     "bigrams": lm._count_bigrams("x"),
