@@ -67,7 +67,8 @@ def gram_names(words: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarr
     out = [name]
     for n in range(2, GRAM + 1):
         name = np.zeros(len(code), dtype=np.uint64)
-        name[: len(code) - n + 1] = mixed((out[-1][: len(code) - n + 1] ^ code[n - 1 :]) + GOLD)
+        some = max(len(code) - n + 1, 0)
+        name[:some] = mixed((out[-1][:some] ^ code[n - 1 : n - 1 + some]) + GOLD)
         out.append(name)
     return out, word, room
 
