@@ -13,18 +13,20 @@ itself; a bucket is chosen by hash, which spreads the work but never decides equ
 from __future__ import annotations
 
 from collections.abc import Iterator
+from sys import getsizeof
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.tables import SPACES, small, with_group, without
+from panelcast.llm.tables import SPACES, absent, slices, small, with_group, without
 from panelcast.session import cut_lineage
 
 BLOCK = 16_384  # characters
-BUCKETS = 4_096
-DICTIONARY = 32 << 20  # bytes of blocks a task remembers before it starts anew
+BUCKETS = 4_096  # at least; four a shuffle partition on larger clusters
+DICTIONARY = 8 << 20  # bytes of blocks a task remembers before it starts anew
+OUT = 4 << 20  # bytes of blocks in a batch of results, about
 BLOCKS = "row long, id long, sha string, blocks int, pos int, like_row long, like_pos int, block string"
 
 
@@ -39,9 +41,11 @@ def _blocks(block: int, dictionary: int):
             [("row", pa.int64()), ("id", pa.int64()), ("sha", pa.string()), ("blocks", pa.int32()), ("pos", pa.int32()),
              ("like_row", pa.int64()), ("like_pos", pa.int32()), ("block", pa.string())]
         )
-        for batch in batches:
-            out: list[list] = [[] for _ in schema]
-            size = 0
+        def table(out: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
+        out, size = [[] for _ in schema], 0
+        for batch in (part for whole in batches for part in slices(whole, "text", OUT)):
             ids, texts, shas = (batch.column(i) for i in range(3))
             for i in range(len(batch)):
                 text = texts[i].as_py()
@@ -49,23 +53,23 @@ def _blocks(block: int, dictionary: int):
                 for pos in range(count):
                     part = text if count == 1 else text[pos * block : (pos + 1) * block]
                     like = seen.get(part)
+                    fresh = None
                     if like is None:
                         if held > dictionary:
                             seen, held = {}, 0
                         seen[part] = like = (row, pos)
-                        held += len(part) + 120
-                        size += len(part)
+                        held += getsizeof(part) + 120
+                        size += getsizeof(part)
                         fresh = part
-                    else:
-                        fresh = None
+                    size += 100
                     values = (row, ids[i].as_py(), shas[i].as_py() if pos == 0 else None, count, pos, *like, fresh)
                     for column, value in zip(out, values, strict=True):
                         column.append(value)
+                    if size > OUT:
+                        yield table(out)
+                        out, size = [[] for _ in schema], 0
                 row += 1
-                if size > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
-                    out, size = [[] for _ in schema], 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+        yield table(out)
 
     return run
 
@@ -82,7 +86,7 @@ def _normal(text_col: str) -> Column:
 
 
 def exact_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, buckets: int = BUCKETS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, buckets: int | None = None
 ) -> DataFrame:
     """One row per row of `docs`: id, keep_id (id of the row of its group that stays), group_size, kept,
     text_sha256 of the normalised text.
@@ -90,6 +94,7 @@ def exact_groups(
     Of equal texts the row with the smallest id stays; of repeated rows with that id, one. A null text counts as empty, empty
     texts are one group. A row with a null id stays only if its group has no other id. An empty table gives an empty
     result. Other columns are not read."""
+    buckets = buckets or max(BUCKETS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), _normal(text_col).alias("text")).withColumn("sha", F.sha2("text", 256))
     blocks = cut_lineage(texts.mapInArrow(_blocks(block, DICTIONARY), BLOCKS))
     named = ranked(
@@ -125,12 +130,13 @@ def exact_groups(
 
 def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, that stay (see `exact_groups`). Where ids are unique, as they
-    should be, only the ids that go are joined; where some repeat, id and text decide together."""
+    should be, only the ids that go are joined; where some repeat, id and text decide together, and of rows that agree in both one
+    stays. A null text counts as empty, a null id is an id. Extra columns of any name stay as they are; an empty table gives an empty result."""
     found = cut_lineage(exact_groups(docs, id_col, text_col))
     if found.groupBy(id_col).count().where("count > 1").isEmpty():
         return without(docs, cut_lineage(found.where("not kept").select(id_col)), id_col)
-    sha = F.sha2(_normal(text_col), 256)
-    stays = cut_lineage(found.where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")))
-    both = docs.withColumn("_text", sha)
-    both = both.join(small(stays), both[id_col].eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_sha")), "left_semi")
-    return both.dropDuplicates([id_col, "_text"]).drop("_text")
+    id_, sha, own = absent(docs, "id", "sha", "own_sha")
+    stays = cut_lineage(found.where("kept").select(F.col(id_col).alias(id_), F.col("text_sha256").alias(sha)))
+    both = docs.withColumn(own, F.sha2(_normal(text_col), 256))
+    both = both.join(small(stays), both[id_col].eqNullSafe(F.col(id_)) & (F.col(own) == F.col(sha)), "left_semi")
+    return both.dropDuplicates([id_col, own]).drop(own)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.tables import slices, small
+from panelcast.llm.tables import absent, slices, small
 from panelcast.llm.words import spans, text_bytes
 from panelcast.session import cut_lineage
 
@@ -178,8 +178,10 @@ def mixed(
 
 def mixture(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs`, with all their columns, as often as the mix takes them. Rows of one id are taken as often as
-    the one taken most; rows without words are not taken."""
+    the one taken most; rows without words are not taken. A null text has no words, a null id is an id, a null source a source. Extra columns
+    of any name stay as they are; an empty table gives an empty result."""
+    id_, times, time = absent(docs, "id", "times", "time")
     found = mixed(docs, sources, id_col, text_col, **options).where("taken > 0")
-    times = found.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.expr("cast(taken div size AS int)")).alias("_times"))
-    joined = docs.join(small(cut_lineage(times)), docs[id_col].eqNullSafe(F.col("_id")))
-    return joined.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_id", "_times", "_time")
+    often = found.groupBy(F.col(id_col).alias(id_)).agg(F.max(F.expr("cast(taken div size AS int)")).alias(times))
+    joined = docs.join(small(cut_lineage(often)), docs[id_col].eqNullSafe(F.col(id_)))
+    return joined.withColumn(time, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(id_, times, time)

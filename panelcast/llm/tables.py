@@ -48,7 +48,15 @@ def small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= limit else rows
 
 
+def absent(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as it takes for `docs` to have no such column."""
+    taken, lead = {c.lower() for c in docs.columns}, "_"
+    while any((lead + n).lower() in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
+
+
 def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of `docs` whose id is not among `dropped` (its only column). Ids may be null."""
-    gone = dropped.toDF("_gone")
-    return docs.join(small(gone), docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    """Rows of `docs`, with all their columns, whose id is not among `dropped` (its only column). Ids may be null."""
+    (name,) = absent(docs, "gone")
+    return docs.join(small(dropped.toDF(name)), docs[id_col].eqNullSafe(F.col(name)), "left_anti")

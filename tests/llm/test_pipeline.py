@@ -78,3 +78,21 @@ def test_repeated_ids(spark):
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+CLASHING = ["_id", "_times", "_time", "_gone", "_text", "_sha", "_own_sha", "__id", "id", "row", "lang_pred", "missing", "_salt", "name"]
+
+
+def test_extra_columns_of_any_name(spark, rows):
+    """Names that stages use inside stay what they were, also where ids repeat."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(rows[:400] + [rows[5], (rows[6][0], "another text of this id", "en", "b", 3)], SCHEMA)
+    wide = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHING])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got, plain = stage(spark, wide, ""), stage(spark, docs, "")
+        assert got.columns == wide.columns
+        found = got.collect()
+        assert all(r[c] == f"{c}{r.doc_id}" for r in found for c in CLASHING)
+        assert Counter((r.doc_id, r.text) for r in found) == Counter((r.doc_id, r.text) for r in plain.collect())
+    assert corpus_pipeline.bpe(spark, wide, "").count() == wide.count()
