@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm.mapped import opened, publish
-from panelcast.llm.tables import slices
+from panelcast.llm.tables import slices, tidied
 from panelcast.llm.words import distinct_runs
 from panelcast.session import cut_lineage
 
@@ -311,7 +311,7 @@ def _count(tokenizer: Tokenizer):
 
 def frequent_words(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", limit: int = LEXICON) -> list[str]:
     """The most frequent words of all texts, `limit` at most; all words of one count come in or stay out together."""
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(_count(tokenizer), "word string, n long")
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(tidied(_count(tokenizer)), "word string, n long")
     counts = cut_lineage(counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"))
     least, room = None, limit
     for n, words in counts.groupBy("n").count().orderBy(F.desc("n")).limit(limit).collect():
@@ -351,7 +351,7 @@ def _run(docs: DataFrame, path: str, id_col: str, text_col: str, lexicon: int, d
     name = publish(spark, compiled(tokenizer, frequent_words(docs, tokenizer, text_col, lexicon)))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     kind = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "id long, ids array<int>"
-    return texts.mapInArrow(_encode(tokenizer, name, digests), kind).withColumnRenamed("id", id_col)
+    return texts.mapInArrow(tidied(_encode(tokenizer, name, digests)), kind).withColumnRenamed("id", id_col)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lexicon: int = LEXICON) -> DataFrame:
@@ -375,4 +375,4 @@ def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "i
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], ["id", "text"])
 
     ids = rows.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids"))
-    return ids.mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
+    return ids.mapInArrow(tidied(run), "id long, text string").withColumnRenamed("id", id_col)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.tables import SPACES, absent, slices, small, with_group, without
+from panelcast.llm.tables import SPACES, absent, slices, small, tidied, with_group, without
 from panelcast.session import cut_lineage
 
 BLOCK = 16_384  # characters
@@ -96,7 +96,7 @@ def exact_groups(
     result. Other columns are not read."""
     buckets = buckets or max(BUCKETS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), _normal(text_col).alias("text")).withColumn("sha", F.sha2("text", 256))
-    blocks = cut_lineage(texts.mapInArrow(_blocks(block, DICTIONARY), BLOCKS))
+    blocks = cut_lineage(texts.mapInArrow(tidied(_blocks(block, DICTIONARY)), BLOCKS))
     named = ranked(
         blocks.where("block is not null").select(F.col("row").alias("like_row"), F.col("pos").alias("like_pos"), "block"),
         ["block"],

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm.mapped import opened, publish
-from panelcast.llm.tables import slices, small
+from panelcast.llm.tables import slices, small, tidied
 from panelcast.llm.words import GOLD, distinct_runs, mixed, named, spans
 from panelcast.session import cut_lineage
 
@@ -30,6 +30,7 @@ SAMPLE = 4_000  # documents of each language that the model is fitted on, about
 GRAM = 5
 SMOOTH = 0.1
 HELD = 100_000  # entries of a counter in a task
+TOGETHER = 8_192  # unseen words that are read at a time
 DENSE = 16 << 20  # bytes of logs that a slice of texts may take, about
 SHARES = 1 << 30
 FAMILIAR, WIDE = 0.5, 3.0  # share of the usual familiarity that a text needs, and deviations it may lack besides
@@ -121,12 +122,14 @@ def read(arrays: dict[str, np.ndarray], count: int, words: list[str]) -> tuple[n
     total = np.bincount(rows[of] * count + arrays["word_lang"][entry], weights=arrays["word_gain"][entry], minlength=len(words) * count)
     total = total.reshape(len(words), count).astype(float)  # no entries, no weights: whole numbers
     total[rows] += arrays["word_base"]
-    share, rows = np.ones(len(words)), np.flatnonzero(~known)
-    word, gram, size, share[rows] = longest(arrays, [words[i] for i in rows])
-    entry, of = _spread(arrays["gram_first"], gram)
-    add = np.bincount(word[of] * count + arrays["gram_lang"][entry], weights=arrays["gram_gain"][entry], minlength=len(rows) * count).reshape(len(rows), count)
-    met = np.bincount(word * (GRAM + 1) + size, minlength=len(rows) * (GRAM + 1)).reshape(len(rows), GRAM + 1)
-    total[rows] = (add + met @ arrays["gram_base"]) / GRAM
+    share, unseen = np.ones(len(words)), np.flatnonzero(~known)
+    for a in range(0, len(unseen), TOGETHER):
+        rows = unseen[a : a + TOGETHER]
+        word, gram, size, share[rows] = longest(arrays, [words[i] for i in rows])
+        entry, of = _spread(arrays["gram_first"], gram)
+        add = np.bincount(word[of] * count + arrays["gram_lang"][entry], weights=arrays["gram_gain"][entry], minlength=len(rows) * count).reshape(len(rows), count)
+        met = np.bincount(word * (GRAM + 1) + size, minlength=len(rows) * (GRAM + 1)).reshape(len(rows), GRAM + 1)
+        total[rows] = (add + met @ arrays["gram_base"]) / GRAM
     return total, share
 
 
@@ -221,14 +224,14 @@ def fitted(
         return Model([])
     share = sizes.select("lang", F.least(F.lit(SHARES), F.lit(SHARES * sample) / F.col("count")).cast("long").alias("share"))
     some = labelled.join(small(share), "lang").where(F.pmod("at", F.lit(SHARES)) < F.col("share")).select("lang", "text")
-    by_word = cut_lineage(some.mapInArrow(_count_words, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")))
+    by_word = cut_lineage(some.mapInArrow(tidied(_count_words), "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")))
     schema = "lang string, size int, name long, n long"
-    by_gram = cut_lineage(by_word.mapInArrow(_count_grams, schema).groupBy("lang", "size", "name").agg(F.sum("n").alias("n")))
-    words, base = _ragged(by_word.mapInArrow(_name_words, schema), languages, "word")
+    by_gram = cut_lineage(by_word.mapInArrow(tidied(_count_grams), schema).groupBy("lang", "size", "name").agg(F.sum("n").alias("n")))
+    words, base = _ragged(by_word.mapInArrow(tidied(_name_words), schema), languages, "word")
     grams, gram_base = _ragged(by_gram, languages, "gram")
     arrays = {**words, "word_base": base[0], **grams, "gram_base": gram_base}
     totals = by_word.groupBy("item").agg(F.sum("n").alias("n"))
-    rare = totals.where("n = 1").select("item").mapInArrow(_familiarity(publish(spark, arrays)), "words double, sum double, squares double")
+    rare = totals.where("n = 1").select("item").mapInArrow(tidied(_familiarity(publish(spark, arrays))), "words double, sum double, squares double")
     rare = rare.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("words", "sum", "squares")]).first()
     known = totals.where("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     every = max(known + rare["words"], 1)
@@ -288,7 +291,7 @@ def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     largest language is given, with an equal share. Repeated rows are judged each; an id may be null. An empty table gives an empty
     result; other columns are not read."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(_predict(model), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return texts.mapInArrow(tidied(_predict(model)), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def _accept(model: Model, text_col: str, least: float):
@@ -313,7 +316,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", least: float
     column is added. An empty table gives an empty result. Rows are judged where they are read; nothing is shuffled."""
     if not model.languages:
         return docs
-    return docs.mapInArrow(_accept(model, text_col, least), docs.schema)
+    return docs.mapInArrow(tidied(_accept(model, text_col, least)), docs.schema)
 
 
 def remainder(id_col: str, parts: int) -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.tables import absent, slices, small
+from panelcast.llm.tables import absent, slices, small, tidied
 from panelcast.llm.words import spans, text_bytes
 from panelcast.session import cut_lineage
 
@@ -143,7 +143,7 @@ def mixed(
     has no words; an empty table gives an empty result. Repeated rows count each and share their fate up to one. Reruns agree."""
     names = F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>"))))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), names.alias("sources"), F.col(text_col).alias("text"))
-    rows = cut_lineage(texts.mapInArrow(_sizes, "id long, sources array<string>, size long"))
+    rows = cut_lineage(texts.mapInArrow(tidied(_sizes), "id long, sources array<string>, size long"))
     rows = rows.withColumn("pattern", F.to_json("sources"))
     patterns = rows.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("words"), F.count("*").alias("rows"))
     found = sorted(patterns.limit(MOST + 1).collect(), key=lambda r: r.pattern)

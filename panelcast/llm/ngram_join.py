@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm.components import components
-from panelcast.llm.tables import slices, small, with_group, without
+from panelcast.llm.tables import slices, small, tidied, with_group, without
 from panelcast.llm.words import shingles, words
 from panelcast.session import cut_lineage
 
@@ -172,7 +172,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_items(entries: DataFrame) -> DataFrame:
     """(item, owner, owners) of the entries (item, owner) whose item has several owners."""
-    return entries.repartition("item").sortWithinPartitions("item", "owner").mapInArrow(_shared, "item long, owner long, owners long")
+    return entries.repartition("item").sortWithinPartitions("item", "owner").mapInArrow(tidied(_shared), "item long, owner long, owners long")
 
 
 def match_length(owners: np.ndarray, base: int, n: int) -> int:
@@ -239,7 +239,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
     fields = ("n", "items", "base", "length")
     a = sets.select(F.col("row").alias("a"), *[F.col(f).alias(f"{f}_a") for f in fields])
     b = sets.select(F.col("row").alias("b"), *[F.col(f).alias(f"{f}_b") for f in fields])
-    return pairs.join(a, "a").join(b, "b").mapInArrow(_verify(similarity), "a long, b long")
+    return pairs.join(a, "a").join(b, "b").mapInArrow(tidied(_verify(similarity)), "a long, b long")
 
 
 def _possible(similarity: tuple[int, int]):
@@ -349,7 +349,7 @@ def _connected(sets: DataFrame, similarity: tuple[int, int]) -> DataFrame | None
     keys = ["pivot", "some", "other"]
     group = asks.select(*keys, "row", "label", "probes").unionByName(there.select(*keys, "row", "label", "probes"))
     group = group.join(sets.withColumn("m", size), "row").repartition(*keys).sortWithinPartitions(*keys, "row")
-    more = cut_lineage(group.mapInArrow(_compare(similarity), "a long, b long"))
+    more = cut_lineage(group.mapInArrow(tidied(_compare(similarity)), "a long, b long"))
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
     return None if labels.isEmpty() else labels
@@ -364,7 +364,7 @@ def similar_groups(
     Rows without words link with nothing, not even one another. Repeated rows are members of one class. Null ids are
     passed over by the minimum; a component of null ids only has a null one. Other columns are not read."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = cut_lineage(texts.mapInArrow(_prefixes(width, similarity), "row long, id long, n long, name binary, low array<long>"))
+    rows = cut_lineage(texts.mapInArrow(tidied(_prefixes(width, similarity)), "row long, id long, n long, name binary, low array<long>"))
     brief = F.xxhash64("name")
     entries = rows.where("low is not null").select(F.explode("low").alias("item"), brief.alias("owner"))
     met = shared_items(entries).groupBy("owner").agg(F.count("*").alias("met"))
@@ -375,13 +375,13 @@ def similar_groups(
     left = cut_lineage(reps.join(met, "owner").where(F.col("met") >= needed).select("row", "least", "n", "name"))
     wanted = small(cut_lineage(left.select(F.col("least").alias("_id")).distinct()))
     again = texts.join(wanted, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    whole = again.mapInArrow(_whole(width), "name binary, items array<long>").join(left, "name").select("row", "n", "items")
+    whole = again.mapInArrow(tidied(_whole(width)), "name binary, items array<long>").join(left, "name").select("row", "n", "items")
     whole = cut_lineage(whole.dropDuplicates(["row"]))
     common = shared_items(whole.select(F.explode("items").alias("item"), F.col("row").alias("owner")))
     gathered = common.groupBy("owner").agg(F.collect_list(F.struct("item", "owners")).alias("items"))  # one text's own
     floor = F.expr(f"(n * {similarity[0]} + {similarity[1] - 1}) div {similarity[1]}")
     gathered = gathered.join(whole.select(F.col("row").alias("owner"), "n"), "owner").where(F.size("items") >= floor)
-    sets = cut_lineage(gathered.mapInArrow(_ordered(similarity), "row long, n long, items array<long>, base long, length long"))
+    sets = cut_lineage(gathered.mapInArrow(tidied(_ordered(similarity)), "row long, n long, items array<long>, base long, length long"))
     labels = _connected(sets, similarity)
     if labels is None:
         member = member.withColumn("component_id", F.col("least"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,20 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
             yield batch.slice(a, b - a)
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """`run`, after which the worker gives memory that it has freed back to the system. Workers are used again by later stages, whose
+    needs would otherwise come on top of what earlier ones once held."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 def with_group(rows: DataFrame, key: list[str], id_col: str, aggregates: dict[str, tuple[str, str]]) -> DataFrame:
     """`rows` with totals of their group: {name: (function, column)} with functions that may be applied to
     their own results (min, max, sum). A group may hold any share of the rows: it is added up within tasks, then by
