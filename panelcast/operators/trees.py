@@ -1,105 +1,96 @@
-"""Boosted trees on the engineered features.
+"""Boosted trees on the engineered features, one model per series and preset.
 
-One pooled model per frequency and preset, not one per series: targets and level features are divided
-by the series' mean absolute training value, so that series of any size share the trees. Forecasts are
-one step ahead, because the features of a test row hold the true values before it.
+Rows of a series are brought together as arrays, and a task grows the trees of many series in the same passes (`functions.boosting`). Series
+too long for that stay cut: their features are binned once, and every level of a tree is one pass over the chunks that adds up histograms,
+the trees of all such series growing in the same passes.
+
+A training row needs all features its series uses; a test row may lack some, behind a gap for example, and is routed by the trees. Forecasts
+are one step ahead, because the features of a test row hold the true values before it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from functools import reduce
-from multiprocessing.pool import ThreadPool
+from collections.abc import Iterable, Iterator
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.functions.frequency import FREQUENCIES
+from panelcast.functions.batch import pieces
+from panelcast.functions.boosting import Preset, boosted
 from panelcast.operators.features import SLOTS
 from panelcast.operators.layout import DEFAULT, Layout, add_totals
+from panelcast.operators.long_trees import long_forecasts
 from panelcast.session import cut_lineage
 
 TREES = 100
+# The defaults of the two usual kinds of boosted trees.
 PRESETS = {
-    "GBT_leaf": dict(maxDepth=5, stepSize=0.1, minInstancesPerNode=20),
-    "GBT_depth": dict(maxDepth=6, stepSize=0.3, minInstancesPerNode=1),
+    "GBT_leaf": Preset(rate=0.1, shrink=0.0, rows=20, leaves=31),
+    "GBT_depth": Preset(rate=0.3, shrink=1.0, rows=1, depth=6),
 }
-LEVELS = ("lag_1", "lag_season", "roll_mean")
-SCALED = (*LEVELS, "roll_std")
-SEED = 1
-PARALLEL_FITS = 4
+LONG = 32_768  # rows of a series from which it stays cut
+TOGETHER = 40_000  # rows of the series whose trees grow in the same passes of a task
+PER_TASK = 50_000  # rows that a task fits, about
+FORECAST = "series_id string, model_name string, step int, predicted double"
 
 
 def training_table(features: DataFrame, layout: Layout = DEFAULT) -> DataFrame:
-    """Feature rows (with is_test) as model input: scale, label, x_<slot> and has_<slot> columns, and
-    `complete` for rows all of whose used features are known. A series without a complete training row
-    cannot be forecast and is left out. A test row may lack features, behind a gap for example; training rows never do."""
-    train = ~F.col("is_test")
+    """Feature rows (with is_test) as model input: label and x_<slot> columns, NULL where a series does not use a slot or a row lacks it.
+    Training rows are those that know their value and all used features. A series without one cannot be forecast and is left
+    out, as is one that uses no feature."""
     complete, any_used = F.col("value").isNotNull(), F.lit(False)
     for s in SLOTS:
         complete = complete & (~F.col(f"use_{s}") | F.col(s).isNotNull())
         any_used = any_used | F.col(f"use_{s}")
-    totals = {"scale": F.avg(F.when(train, F.abs("value"))), "usable": F.count_if(train & F.col("complete")), "spread": F.avg(F.when(train, F.col("roll_std")))}
     rows = features.withColumn("complete", complete).filter(any_used)
-    rows = add_totals(rows, ["series_id"], totals, "n_obs", layout).filter("usable > 0")
-    scale = F.when(F.col("scale") > 0, F.col("scale")).otherwise(F.lit(1.0))
-    # what a row lacks is what the series' training rows have: their level, or their mean
-    lacking = {s: F.lit(1.0) for s in LEVELS} | {"roll_std": F.coalesce(F.col("spread") / scale, F.lit(0.0))}
+    rows = add_totals(rows, ["series_id"], {"usable": F.count_if(~F.col("is_test") & F.col("complete"))}, "n_obs", layout)
+    return rows.filter("usable > 0 AND (is_test OR complete)").select(
+        "series_id", "frequency", "timestamp", "step", "is_test", F.col("value").alias("label"),
+        *[F.col(s).cast("double").alias(f"x_{s}") for s in SLOTS],
+    )
 
-    def filled(s: str) -> Column:
-        value = F.col(s) / scale if s in SCALED else F.col(s)
-        return F.when(F.col(f"use_{s}"), F.coalesce(value, lacking.get(s, F.lit(0.0)))).otherwise(F.lit(0.0))
 
-    x = [filled(s).alias(f"x_{s}") for s in SLOTS]
-    has = [F.col(f"use_{s}").cast("double").alias(f"has_{s}") for s in SLOTS]
-    return rows.select(
-        "series_id", "frequency", "timestamp", "step", "is_test", scale.alias("scale"),
-        (F.col("value") / scale).alias("label"), "complete", *x, *has,
-    )
+def _fit(presets: dict[str, Preset], trees: int):
+    """Forecasts of the series of a task; a row holds all rows of a series."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "rows", TOGETHER):
+            held = part.column("rows")
+            size = np.asarray(pa.compute.list_value_length(held), dtype=np.int64)
+            series, rows = np.repeat(np.arange(len(part)), size), held.flatten()
+            test, step, x = np.asarray(rows.field("is_test")), rows.field("step"), rows.field("x")
+            y = rows.field("label").to_numpy(zero_copy_only=False).astype(float)
+            x = x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(y), -1)
+            x = x[:, ~np.isnan(x).all(axis=0)]
+            ids = part.column("series_id").take(pa.array(series[test]))
+            for name, found in boosted(x, y, series, ~test, presets, trees).items():
+                same = pa.array([name]).take(pa.array(np.zeros(len(ids), np.int64)))
+                columns = [ids, same, step.filter(pa.array(test)), pa.array(found[test])]
+                yield pa.RecordBatch.from_arrays(columns, ["series_id", "model_name", "step", "predicted"])
 
-def _inputs(rows: DataFrame) -> list[str]:
-    """The slots any series uses, and the presence flag of those that not all use."""
-    ends = [f(f"has_{s}").alias(f"{f.__name__}_{s}") for s in SLOTS for f in (F.min, F.max)]
-    found = rows.agg(*ends).first()
-    used = [s for s in SLOTS if found[f"max_{s}"]]
-    return [f"x_{s}" for s in used] + [f"has_{s}" for s in used if not found[f"min_{s}"]]
+    return run
 
 
 def tree_forecasts(
-    table: DataFrame, frequencies: Iterable[str] | None = None, presets: Iterable[str] = tuple(PRESETS), trees: int = TREES
+    table: DataFrame, frequencies: Iterable[str] | None = None, presets: Iterable[str] = tuple(PRESETS), trees: int = TREES, long: int = LONG
 ) -> DataFrame:
-    """(series_id, model_name, step, predicted). Fitting runs Spark jobs."""
-    table = cut_lineage(table)
-    ready, pairs = {}, []
-    for frequency in FREQUENCIES if frequencies is None else frequencies:
-        rows = table.filter(F.col("frequency") == frequency)
-        inputs = _inputs(rows)
-        if inputs and not rows.filter("complete AND NOT is_test").isEmpty():
-            ready[frequency] = VectorAssembler(inputCols=inputs, outputCol="features").transform(rows)
-            pairs += [(frequency, name) for name in presets]
-    if not pairs:
-        schema = "series_id string, model_name string, step int, predicted double"
-        return table.sparkSession.createDataFrame([], schema)
-
-    def fit(pair):
-        frequency, name = pair
-        train = ready[frequency].filter("complete AND NOT is_test").select("label", "features")
-        return GBTRegressor(maxIter=trees, seed=SEED, **PRESETS[name]).fit(train)
-
-    # trees grow one after the other in many short jobs; the models do not depend on each other
-    with ThreadPool(min(PARALLEL_FITS, len(pairs))) as pool:
-        models = pool.map(inheritable_thread_target(table.sparkSession)(fit), pairs)
-    parts = [
-        model.transform(ready[frequency].filter("is_test")).select(
-            "series_id",
-            F.lit(name).alias("model_name"),
-            "step",
-            (F.col("prediction") * F.col("scale")).alias("predicted"),
-        )
-        for (frequency, name), model in zip(pairs, models)
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """(series_id, model_name, step, predicted) of every test row of `table` (see `training_table`). The table is written and counted;
+    models of long series take several Spark jobs a tree, those of all others none of their own."""
+    if frequencies is not None:
+        table = table.filter(F.col("frequency").isin(*frequencies))
+    table, chosen = cut_lineage(table), {name: PRESETS[name] for name in presets}
+    counts = cut_lineage(table.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_if(F.col("n") > long).alias("long")).first()
+    rows = table
+    if total.long:  # few, as each has more rows than `long`
+        ids = counts.filter(F.col("n") > long).select("series_id")
+        rows = table.join(ids, "series_id", "left_anti")
+    tasks = max(table.sparkSession.sparkContext.defaultParallelism, total.rows // PER_TASK)
+    point = F.struct("is_test", "timestamp", "step", "label", F.array(*[f"x_{s}" for s in SLOTS]).alias("x"))
+    held = rows.repartition(tasks, "series_id").groupBy("series_id").agg(F.sort_array(F.collect_list(point)).alias("rows"))
+    found = held.mapInArrow(_fit(chosen, trees), FORECAST)
+    if total.long:
+        found = found.unionByName(long_forecasts(table.join(ids, "series_id", "left_semi"), chosen, trees))
+    return found

@@ -149,7 +149,7 @@ def test_regression(panel):
 
     def table(r, l):
         t = training_table(holdout(slot_features(number_rows(r, l), plan, ["Daily"], l)), l)
-        return t.select("series_id", "timestamp", "label", "scale", "complete", "x_lag_1", "x_roll_std")
+        return t.select("series_id", "timestamp", "label", "is_test", "x_lag_1", "x_roll_std")
 
     both(panel, table, ["series_id", "timestamp"])
 

@@ -210,22 +210,23 @@ def test_benchmark_run(spark, make_panel):
     assert [r.n_series for r in leaderboard(merged).collect()] == [2] * 5
 
 
-def test_a_feature_missing_in_the_holdout_reads_as_the_usual_level(make_panel):
-    """A gap before a test row leaves its lags unknown; the trees must see the series' level there, not zero."""
-    from panelcast.operators.features import SLOTS, feature_catalog, slot_features, slot_plan
-    from panelcast.operators.trees import training_table
+def test_a_feature_missing_in_the_holdout_is_routed_by_the_trees(make_panel):
+    """A gap before a test row leaves its lags unknown; nothing is filled in, and the forecast stays at the series' level."""
+    from panelcast.operators.features import feature_catalog, slot_features, slot_plan
+    from panelcast.operators.trees import training_table, tree_forecasts
     from panelcast.plans.profile import flags
 
     values = 50 + np.random.default_rng(5).uniform(-1, 1, 80)
     values[75] = np.nan
     panel = make_panel({"a": values})
     plan = slot_plan(feature_catalog(flags(profile_panel(panel, ["Daily"]))))
-    table = training_table(holdout(slot_features(number_rows(panel, WHOLE), plan, ["Daily"], WHOLE)), WHOLE)
+    table = training_table(holdout(slot_features(number_rows(panel, WHOLE), plan, ["Daily"], WHOLE)), WHOLE).cache()
     rows = {r.step: r for r in table.filter("is_test").collect()}
     gap = rows[5]  # row 76 follows the gap; the holdout of 80 rows begins at 72
-    assert gap.x_lag_1 == 1.0 and gap.x_roll_mean == 1.0 and gap.complete is False
-    train = table.filter("complete AND NOT is_test").agg(F.avg("x_roll_std").alias("m"), F.max("x_roll_std").alias("x")).first()
-    assert 0 < gap.x_roll_std <= train.x and all(getattr(gap, f"x_{s}") is not None for s in SLOTS)
+    assert gap.x_lag_1 is None and gap.x_roll_mean is None and gap.x_day_of_week is not None and len(rows) == 8
+    assert table.filter("NOT is_test AND (x_lag_1 IS NULL OR x_roll_mean IS NULL OR label IS NULL)").count() == 0
+    found = tree_forecasts(table, ["Daily"], trees=20).collect()
+    assert len(found) == 16 and all(48.5 < r.predicted < 51.5 for r in found)
 
 
 def test_refit_query_returns_scores_forecasts_and_config_in_rows(refitted):
