@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators.arima import arima, arima_forecasts
+from panelcast.operators.arima_likelihood import arima_likelihood
 from panelcast.operators.features import feature_catalog, slot_features, slot_plan, toggle
 from panelcast.operators.layout import Layout, by_length, compact, number_rows
 from panelcast.operators.scores import MODELS, best_model, holdout, metrics, run_status, upsert_scores
@@ -28,15 +29,16 @@ def train_rows(panel: DataFrame, layout: Layout) -> tuple[DataFrame, DataFrame]:
     return compact(number_rows(train, layout), layout), horizons
 
 
-def statistical_forecasts(panel: DataFrame) -> DataFrame:
+def statistical_forecasts(panel: DataFrame, likelihood: bool = False) -> DataFrame:
     """ARIMA, ETS and Theta, several steps ahead of the training rows. They depend on the panel only,
-    not on any feature switch, so they are computed once per panel."""
+    not on any feature switch, so they are computed once per panel. ARIMA is fitted by regression, or by exact likelihood."""
 
     def run(rows: DataFrame, layout: Layout) -> DataFrame:
         clean, horizons = train_rows(rows, layout)
         clean, horizons = cut_lineage(clean), cut_lineage(horizons)
         smooth = smoothing_forecasts(cut_lineage(smoothing_fits(clean, layout)), horizons)
-        return smooth.unionByName(arima_forecasts(arima(clean, horizons, layout=layout)))
+        fit = arima_likelihood if likelihood else arima
+        return smooth.unionByName(arima_forecasts(fit(clean, horizons, layout=layout)))
 
     return by_length(panel, run)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelcast.operators import arima as A
+from panelcast.operators import arima_likelihood as L
 from panelcast.operators import smoothing as M
 from panelcast.operators.features import feature_catalog
 from panelcast.operators.layout import DEFAULT, Layout, by_length
@@ -113,6 +114,19 @@ def forecast_arima(spark, sf):
     return A.arima_forecasts(arima_fits(spark, sf, "part_monthly"))
 
 
+@query("forecast_arima_likelihood")
+def forecast_arima_likelihood(spark, sf):
+    """Orders of up to (2, 2, 2) and forecasts of every user series by exact likelihood."""
+
+    def run(rows, layout):
+        clean, horizons = K.train_rows(rows, layout)
+        return L.arima_likelihood(cut_lineage(clean), horizons, max_p=2, max_q=2, layout=layout)
+
+    fits = by_length(panel(spark, sf, "user_daily"), run)
+    steps = fits.select("series_id", "d", "p", "q", F.posexplode("predicted").alias("i", "predicted"))
+    return steps.select("series_id", "d", "p", "q", (F.col("i") + 1).alias("step"), "predicted")
+
+
 def trees(spark, sf, preset):
     catalog = feature_catalog(catalog_flags(spark, sf, "user_daily", "Daily"))
     return K.feature_forecasts(panel(spark, sf, "user_daily"), catalog, ["Daily"], [preset])

@@ -170,8 +170,9 @@ def test_refit_scores_all_models(refitted):
     assert rows["t7"].config["lag_1"] is True and rows["t8"].config["lag_1"] is False
 
 
-def test_statistical_models_follow_the_trend(trends):
-    out = K.with_actuals(trends, K.statistical_forecasts(trends)).toPandas()
+@pytest.mark.parametrize("likelihood", [False, True])
+def test_statistical_models_follow_the_trend(trends, likelihood):
+    out = K.with_actuals(trends, K.statistical_forecasts(trends, likelihood)).toPandas()
     assert out.groupby(["series_id", "model_name"]).size().eq(16).all() and len(out) == 2 * 3 * 16
     assert (out.actual - out.predicted).abs().max() < 12
 

@@ -6,7 +6,7 @@ import sys
 import pytest
 from pyspark import cloudpickle
 
-from panelcast.operators import arima, ols, smoothing, unit_root
+from panelcast.operators import arima, arima_likelihood, long_trees, ols, smoothing, trees, unit_root
 
 FUNCTIONS = [
     unit_root._adf_grams,
@@ -18,6 +18,11 @@ FUNCTIONS = [
     arima._long_fits,
     arima._short_grams(3, 3),
     arima._choose(3, 3),
+    arima_likelihood._whole(1, 1),
+    arima_likelihood._summaries(None, {}, 1, 10),
+    trees._fit(trees.PRESETS, 1),
+    long_trees._coded({}),
+    long_trees._predicted({}, "x", {}, {}, 0.1),
 ]
 
 
