@@ -43,10 +43,14 @@ class Model:
 
     word_name, word_first, word_lang, word_gain: sorted names of words, and for word i, at word_first[i] to word_first[i + 1], the languages that
     have it and what that adds to the language's word_base. The same for gram_..., with gram_base by n-gram length and gram_once for n-grams
-    that were met once. familiar: mean and deviation of a word's familiarity (see `read`) in the sample."""
+    that were met once.
+
+    Besides, mean and deviation of a word's familiarity (see `read`) in the sample."""
 
     languages: list[str]
     file: str | None = None
+    familiar: float = 0.0
+    deviation: float = 0.0
 
     def arrays(self) -> dict[str, np.ndarray]:
         return opened(self.file) if self.file else {}
@@ -195,17 +199,19 @@ def _familiarity(file: str):
 def _ragged(counts: DataFrame, languages: list[str], kind: str) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """The arrays of words or n-grams from (lang, size, name, n), and the base of every language by size."""
     number = F.create_map(*[x for i, name in enumerate(languages) for x in (F.lit(name), F.lit(i))])
-    sums = counts.groupBy("lang", "size").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).collect()  # a row a language and size
-    base = np.full((GRAM + 1, len(languages)), np.log(SMOOTH / (SMOOTH + 0.0)))
-    for r in sums:
-        base[r.size, languages.index(r.lang)] = np.log(SMOOTH / (r.total + SMOOTH * r.kinds))
-    rows = counts.select("name", number[F.col("lang")].cast("short").alias("lang"), F.log1p(F.col("n") / SMOOTH).cast("float").alias("gain")).toArrow()
-    name = np.asarray(rows["name"]).view(np.uint64)
+    rows = counts.select("name", number[F.col("lang")].cast("short").alias("lang"), F.col("size").cast("byte").alias("size"), "n").toArrow()
+    name, lang, size = np.asarray(rows["name"]).view(np.uint64), np.asarray(rows["lang"]), np.asarray(rows["size"])
+    n, kind_of = np.asarray(rows["n"]), size.astype(np.int64) * len(languages) + lang
+    shape = (GRAM + 1, len(languages))
+    total = np.bincount(kind_of, weights=n, minlength=shape[0] * shape[1]).reshape(shape)
+    kinds = np.bincount(kind_of, minlength=shape[0] * shape[1]).reshape(shape)
+    base = np.log(SMOOTH / (total + SMOOTH * np.maximum(kinds, 1)))
+    gain_of = np.log1p(n / SMOOTH).astype(np.float32)
     order = np.argsort(name, kind="stable")
-    gain, (found, first) = np.asarray(rows["gain"])[order], np.unique(name[order], return_index=True)
+    found, first = np.unique(name[order], return_index=True)
     first = np.append(first, len(name))
-    once = (np.diff(first) == 1) & (gain[first[:-1]] < np.log1p(1.5 / SMOOTH)) if len(found) else np.zeros(0, bool)
-    arrays = {"name": found, "first": first.astype(np.int64), "lang": np.asarray(rows["lang"])[order], "gain": gain, "once": once}
+    once = (np.diff(first) == 1) & (n[order][first[:-1]] == 1) if len(found) else np.zeros(0, bool)
+    arrays = {"name": found, "first": first.astype(np.int32 if len(name) < 1 << 31 else np.int64), "lang": lang[order], "gain": gain_of[order], "once": once}
     return {f"{kind}_{k}": a for k, a in arrays.items()}, base
 
 
@@ -226,18 +232,18 @@ def fitted(
     some = labelled.join(small(share), "lang").where(F.pmod("at", F.lit(SHARES)) < F.col("share")).select("lang", "text")
     by_word = cut_lineage(some.mapInArrow(tidied(_count_words), "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")))
     schema = "lang string, size int, name long, n long"
-    by_gram = cut_lineage(by_word.mapInArrow(tidied(_count_grams), schema).groupBy("lang", "size", "name").agg(F.sum("n").alias("n")))
+    by_gram = by_word.mapInArrow(tidied(_count_grams), schema).groupBy("lang", "size", "name").agg(F.sum("n").alias("n"))
     words, base = _ragged(by_word.mapInArrow(tidied(_name_words), schema), languages, "word")
     grams, gram_base = _ragged(by_gram, languages, "gram")
     arrays = {**words, "word_base": base[0], **grams, "gram_base": gram_base}
     totals = by_word.groupBy("item").agg(F.sum("n").alias("n"))
-    rare = totals.where("n = 1").select("item").mapInArrow(tidied(_familiarity(publish(spark, arrays))), "words double, sum double, squares double")
+    file = publish(spark, arrays)
+    rare = totals.where("n = 1").select("item").mapInArrow(tidied(_familiarity(file)), "words double, sum double, squares double")
     rare = rare.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("words", "sum", "squares")]).first()
     known = totals.where("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     every = max(known + rare["words"], 1)
     mean = (known + rare["sum"]) / every
-    arrays["familiar"] = np.array([mean, max((known + rare["squares"]) / every - mean**2, 0.0) ** 0.5])
-    return Model(languages, publish(spark, arrays))
+    return Model(languages, file, mean, max((known + rare["squares"]) / every - mean**2, 0.0) ** 0.5)
 
 
 def posteriors(languages: list[str], arrays: dict[str, np.ndarray], column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -297,11 +303,10 @@ def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
 def _accept(model: Model, text_col: str, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = model.arrays()
-        mean, deviation = arrays["familiar"]
         for batch in batches:
             for part in slices(batch, text_col, _limit(model.languages)):
                 _, score, words, familiar = posteriors(model.languages, arrays, part.column(text_col))
-                needed = FAMILIAR * mean - WIDE * deviation / np.sqrt(np.maximum(words, 1))
+                needed = FAMILIAR * model.familiar - WIDE * model.deviation / np.sqrt(np.maximum(words, 1))
                 yield part.filter(pa.array((words > 0) & (score > least) & (familiar > 0) & (familiar >= needed), pa.bool_()))
 
     return run
