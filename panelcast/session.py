@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -45,3 +46,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/panelcast-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files that no DataFrame in use needs any more. Its cleaner does so when the driver collects its
+    garbage, and a driver with little to do may not for a whole job."""
+    gc.collect()
+    spark._jvm.System.gc()
