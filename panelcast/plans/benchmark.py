@@ -113,8 +113,8 @@ def refit(
     statistical: DataFrame | None = None,
     trees: int = TREES,
 ) -> DataFrame:
-    """One row per series: scores of all models, the best one, forecasts beside the actual values, the feature config and
-    the deltas."""
+    """One row per series of the profile: scores of all models, the best one, forecasts beside the actual values, the feature config and
+    the deltas. A series that lacks the score of a model has a row with the reason in `error`, and NULL for what it lacks."""
     test = backtest(panel, profile, switches, frequencies, statistical, trees)
     catalog = feature_catalog(flags(profile))
     if switches is not None:
@@ -126,7 +126,10 @@ def refit(
     ahead = ahead.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("model_name", "points"))).alias("forecasts"))
     deltas = diagnostic_deltas(panel, profile, catalog, frequencies)
     deltas = deltas.select("series_id", F.struct(*[c for c in deltas.columns if c != "series_id"]).alias("deltas"))
-    return scores.join(test.best, "series_id").join(ahead, "series_id").join(test.config, "series_id").join(deltas, "series_id", "left")
+    out = outcomes(panel, profile, test.scores)
+    for part in (scores, test.best, ahead, test.config, deltas):
+        out = out.join(part, "series_id", "left")
+    return out
 
 
 def run_benchmark(

@@ -143,9 +143,9 @@ def forecast_gbt_depth(spark, sf):
 
 
 def refit_rows(out):
-    """The rows of a refit (a written table), told apart by `part`: `best` and deltas of a series, `score` of a model, `forecast` of a
+    """The rows of a refit (a written table), told apart by `part`: `best`, error and deltas of a series, `score` of a model, `forecast` of a
     model and step, `config` of a feature."""
-    best = out.select("series_id", F.lit("best").alias("part"), F.col("best_model").alias("model_name"), "deltas.*")
+    best = out.select("series_id", F.lit("best").alias("part"), F.col("best_model").alias("model_name"), "error", "deltas.*")
     score = out.select("series_id", F.lit("score").alias("part"), F.inline("metrics"))
     model = out.select("series_id", F.lit("forecast").alias("part"), F.inline("forecasts"))
     ahead = model.select("series_id", "part", "model_name", F.inline("points"))

@@ -187,6 +187,14 @@ def test_without_features_there_are_no_tree_models(spark, trends, refitted):
     assert {r.model_name for r in test.scores.collect()} == {"ARIMA", "ETS", "Theta"}
 
 
+def test_refit_keeps_series_without_a_score(make_panel):
+    gen = np.random.default_rng(8)
+    panel = make_panel({"a": gen.normal(10, 1, 60), "short": [1.0, 2.0, 3.0]}).cache()
+    rows = by_id(K.refit(panel, profile_panel(panel, ["Daily"]).cache(), None, ["Daily"], trees=2))
+    assert rows["a"].error is None and rows["a"].best_model is not None and len(rows["a"].forecasts) == 5
+    assert rows["short"].error == "too few rows to hold out and train" and rows["short"].best_model is None and rows["short"].config["lag_1"]
+
+
 def test_benchmark_run(spark, make_panel):
     from panelcast.operators.scores import leaderboard
     from panelcast.sources.panel import series_index
