@@ -4,17 +4,17 @@ p1 is add-one over all words; each longer order takes off DISCOUNT a kept n-gram
 
     p(w | u v) = (c(u v w) - d) / c(u v) + b(u v) p(w | v),   b(u v) = 1 - sum of the first term over kept w
 
-Nothing of the model is held in one place, neither on the driver nor in a task. Words and n-grams are named by 64-bit hashes. Texts are dealt
-into blocks of some MB; a block asks for its distinct names, each with its context and its count in the block's training texts. A name's top
-bits are its range. Three shuffles follow, of packed arrays and not of rows of names:
-
-1. A range adds up the counts of its names, drops n-grams seen once, and answers every block in the order it has asked. What its kept
-   n-grams take from their contexts goes to the ranges of the contexts.
-2. A range adds that up for each context and answers the blocks that have asked for it.
-3. A block's texts meet the answers, which stand in the order of its own sorted names, and are scored.
-
-Ranges are as many as blocks, so a task holds about a block's worth of names whatever the input. A name is asked for once a block,
-so a frequent one makes no large group.
+The model is a trie, counted level by level and held in shards. Texts are dealt into blocks of some MB, which are numbered sequences of
+words from then on. At each level a block sends a shard its distinct n-grams as (number of the context, number of the word), with
+their counts in training texts. The shard adds up what all blocks sent, drops what was seen once and packs the rest as one compact
+buffer: contexts, the pointers to where their successors begin, and the successors made monotone by their context, all as Elias-Fano
+sequences, then counts or quantised probabilities. It searches every n-gram that a block has sent among the successors of its context, and
+answers with its number, the context of the next level. So a bigram is sent only if both words are kept, a trigram only if both of its
+bigrams are, which drops nothing that could be kept. Words are named by 64-bit hashes at the first level only.
+
+A context goes to one shard by its number. One that is followed by more words than a shard's share is dealt over several by the
+following word, in proportion; every block knows its count from the level before. A block asks each of those parts for what it takes
+from the context and adds that up.
 """
 
 from __future__ import annotations
@@ -27,257 +27,318 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.tables import slices
+from panelcast.llm import mapped
+from panelcast.llm.elias_fano import EliasFano, built
+from panelcast.llm.tables import slices, tidied
 from panelcast.llm.words import GOLD, mixed, words
-from panelcast.session import cut_lineage
+from panelcast.session import cut_lineage, release_shuffles
 
 LEAST = 2
 DISCOUNT = 0.75
 TALLIED = 8 << 20  # bytes of text of a block
+SHARD = 16 << 20  # bytes of text a shard
+STEPS = 4096  # steps of a quantised probability in a power of ten; 16 bits hold 16 powers
 BEGIN, END = (np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344))  # names of a text's begin and end
-COUNTS, ASKED, TAKEN, TOTALS = range(4)  # kinds of rows between the steps
-ROWS = "kind int, block long, piece long, texts long, range long, n long, kinds long, data binary"
+TEXTS, ASKED, TOTALS = 0, 1, 2  # kinds of rows; answers of level k are 10 + k
+ROWS = "kind int, block long, shard long, n long, kinds long, data binary"
+NAMES = [x.split()[0] for x in ROWS.split(", ")]
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    return np.array([len(a) for a in arrays], dtype=np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
-
-
-def _parts(data: bytes, kinds: list[str]) -> list[np.ndarray]:
-    out, at = [], 8 * len(kinds)
-    for size, kind in zip(np.frombuffer(data, np.int64, len(kinds)), kinds, strict=True):
-        out.append(np.frombuffer(data, kind, size, at))
-        at += out[-1].nbytes
+    """Arrays of integers from 0 on: sorted ones as differences, then the bytes of equal weight together, as few as it takes."""
+    head, body = [len(arrays)], []
+    for a in arrays:
+        a = a.astype(np.uint64)
+        rising = bool((a[1:] >= a[:-1]).all())
+        if rising:
+            a = np.diff(a, prepend=np.uint64(0))
+        width = -(-int(a.max()).bit_length() // 8) if len(a) else 0
+        head += [len(a), width, int(rising)]
+        body.append(a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+    raw = np.array(head, dtype=np.int64).tobytes() + b"".join(body)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _parts(data: bytes) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little")), np.uint8)
+    count = int(raw[:8].view(np.int64)[0])
+    head = raw[8 : 8 + 24 * count].view(np.int64).reshape(count, 3)
+    out, at = [], 8 + 24 * count
+    for size, width, rising in head.tolist():
+        a = np.zeros((size, 8), dtype=np.uint8)
+        a[:, :width] = raw[at : at + size * width].reshape(width, size).T
+        at += size * width
+        a = a.view(np.uint64).ravel()
+        out.append(np.cumsum(a, dtype=np.uint64) if rising else a)
     return out
 
 
-def _range(key: np.ndarray, ranges: int) -> np.ndarray:
-    """A name's range; sorted names have sorted ranges."""
-    return ((key >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-
-
-def _cuts(key: np.ndarray, ranges: int) -> np.ndarray:
-    return np.searchsorted(_range(key, ranges), np.arange(ranges + 1, dtype=np.uint64))
-
-
-def _pair(a: np.ndarray, b: np.ndarray, order: int) -> np.ndarray:
-    """Names of pairs of names; for one `a`, different `b` never have the same."""
-    return mixed(mixed(a + (GOLD >> np.uint64(order))) + b)
-
-
-def _row(kind: int, block: int = 0, piece: int = 0, texts: int = 0, range_: int = 0, n: int = 0, kinds: int = 0, data: bytes = b"") -> tuple:
-    return kind, block, piece, texts, range_, n, kinds, data
+def _row(kind: int, block: int = 0, shard: int = 0, n: int = 0, kinds: int = 0, data: bytes = b"") -> tuple:
+    return kind, block, shard, n, kinds, data
 
 
 def _columns(rows: list[tuple]) -> list[pa.Array]:
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 8
-    return [pa.array(c, t) for c, t in zip(columns, [pa.int32(), *[pa.int64()] * 6, pa.binary()], strict=True)]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+    return [pa.array(c, t) for c, t in zip(columns, [pa.int32(), *[pa.int64()] * 4, pa.binary()], strict=True)]
 
 
-NAMES = [x.split()[0] for x in ROWS.split(", ")]
+def _packets(kind: int, block: int, shard: np.ndarray, shards: int, *arrays: np.ndarray) -> list[tuple]:
+    """A row for each shard that anything goes to; `shard` is sorted."""
+    cuts = np.searchsorted(shard, np.arange(shards + 1))
+    return [_row(kind, block, int(r), data=_packed(*(x[cuts[r] : cuts[r + 1]] for x in arrays))) for r in np.flatnonzero(np.diff(cuts))]
 
 
-class Grams:
-    """The words, bigrams and trigrams of some texts, each text with its begin before and its end behind: for each order the
-    place `at` of the last word, the sorted distinct names `key`, the number `of` each place among them, and their contexts."""
+def _read(shards: int):
+    """Blocks of texts: their sequences of words, by the number of each among the block's sorted names, and the names as asked for."""
 
-    def __init__(self, column: pa.Array):
-        name, first = words(column)
+    def rows(block: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        name, first = words(pa.concat_arrays([x.column("text") for x in held]))
         texts = len(first) - 1
-        self.size = np.diff(first) + 1  # tokens
         word = np.empty(len(name) + 2 * texts, dtype=np.uint64)
-        self.start = first[:-1] + 2 * np.arange(texts)
-        self.begin = np.zeros(len(word), dtype=bool)
-        self.begin[self.start] = True
-        stop = first[1:] + 2 * np.arange(texts) + 1
-        inner = ~self.begin
-        inner[stop] = False
-        word[self.start], word[stop], word[inner] = BEGIN, END, name
-        two = np.flatnonzero(~self.begin[1:]) + 1
-        three = two[~self.begin[two - 1]]
-        pair = np.zeros(len(word), dtype=np.uint64)
-        pair[two] = _pair(word[two - 1], word[two], 2)
-        self.at = [np.arange(len(word)), two, three]
-        self.key, self.of, self.context = [], [], []
-        for names, before in ((word, None), (pair[two], word[two - 1]), (_pair(pair[three - 1], pair[three], 3), pair[three - 1])):
-            key, some, of = np.unique(names, return_index=True, return_inverse=True)
-            self.key.append(key)
-            self.of.append(of.ravel())
-            self.context.append(None if before is None else before[some])
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows numbered, in blocks of about TALLIED bytes that are named by their first row."""
-    row = block = TaskContext.get().partitionId() << 33
-    held = 0
-    for batch in batches:
-        for part in slices(batch, "text", max(1, TALLIED // 4)):
-            if held >= TALLIED:
-                block, held = row, 0
-            held += part.column("text").nbytes
-            at = np.arange(row, row + len(part))
-            row += len(part)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(at), *part.columns], ["block", "row", "id", "train", "text"])
-
-
-def _ask(ranges: int):
-    """What the texts of each block ask for, a row a range. A block that is read in pieces asks for each."""
-
-    def asked(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, piece = held[0].column("block")[0].as_py(), held[0].column("row")[0].as_py()
-        texts = sum(len(x) for x in held)
-        grams = Grams(pa.concat_arrays([x.column("text") for x in held]))
-        trained = np.repeat(np.concatenate([np.asarray(x.column("train").cast(pa.int8())) for x in held]), grams.size + 1).astype(float)
-        n = [np.bincount(of, weights=trained[at], minlength=len(key)).astype(np.uint32) for of, at, key in zip(grams.of, grams.at, grams.key, strict=True)]
-        cuts = [_cuts(key, ranges) for key in grams.key]
-        rows = []
-        for r in range(ranges):
-            (a, b), (c, d), (e, f) = ((x[r], x[r + 1]) for x in cuts)
-            if b > a or d > c or f > e:
-                data = _packed(grams.key[0][a:b], n[0][a:b], grams.key[1][c:d], grams.context[1][c:d], n[1][c:d], grams.key[2][e:f], grams.context[2][e:f], n[2][e:f])
-                rows.append(_row(ASKED, block, piece, texts, r, data=data))
-        yield pa.RecordBatch.from_arrays(_columns(rows), NAMES)
+        start, stop = first[:-1] + 2 * np.arange(texts), first[1:] + 2 * np.arange(texts) + 1
+        inner = np.ones(len(word), dtype=bool)
+        inner[start] = inner[stop] = False
+        word[start], word[stop], word[inner] = BEGIN, END, name
+        key, of = np.unique(word, return_inverse=True)
+        train = np.concatenate([np.asarray(x.column("train").cast(pa.int8())) for x in held])
+        n = np.bincount(of.ravel(), weights=np.repeat(train, np.diff(first) + 2), minlength=len(key))
+        ids = pa.concat_arrays([x.column("id") for x in held])
+        data = _packed(of.ravel(), np.diff(first), train, np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0)).view(np.uint64))
+        shard = ((key >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)  # sorted names have sorted shards
+        return pa.RecordBatch.from_arrays(_columns([_row(TEXTS, block, data=data), *_packets(ASKED, block, shard, shards, key, n)]), NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
+        block, held = TaskContext.get().partitionId() << 33, []
         for batch in batches:
-            block, row = np.asarray(batch.column("block")), np.asarray(batch.column("row"))
-            edges = np.flatnonzero((block[1:] != block[:-1]) | (row[1:] != row[:-1] + 1)) + 1
-            for a, b in zip([0, *edges], [*edges, len(row)], strict=True):
-                if b == a:
-                    continue
-                if held and last != (block[a], row[a] - 1):
-                    yield from asked(held)
-                    held = []
-                held.append(batch.slice(a, b - a))
-                last = (block[b - 1], row[b - 1])
+            for part in slices(batch, "text", max(1, TALLIED // 4)):
+                held.append(part)
+                if sum(x.column("text").nbytes for x in held) >= TALLIED:
+                    yield rows(block, held)
+                    block, held = block + 1, []
         if held:
-            yield from asked(held)
+            yield rows(block, held)
+
+    return tidied(run)
+
+
+def _words(shards: int):
+    """The first level, for the names of one shard: their counts and, if kept, numbers, the smaller the more frequent."""
+
+    def run(asked: pa.Table) -> pa.Table:
+        r = asked.column("shard")[0].as_py()
+        parts = [_parts(x.as_py()) for x in asked.column("data")]
+        key, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        of = of.ravel()
+        count = np.bincount(of, weights=np.concatenate([p[1] for p in parts]), minlength=len(key)).astype(np.int64)
+        kept = np.flatnonzero(count >= LEAST)
+        number = np.zeros(len(key), dtype=np.int64)
+        number[kept[np.argsort(-count[kept], kind="stable")]] = 1 + r + shards * np.arange(len(kept))
+        rows, at = [_row(TOTALS, n=int(count.sum()), kinds=int((count > 0).sum()))], 0
+        for block, (names, _) in zip(asked.column("block").to_pylist(), parts, strict=True):
+            some = of[at : at + len(names)]
+            at += len(names)
+            rows.append(_row(11, block, r, data=_packed(number[some], count[some])))
+        return pa.Table.from_arrays(_columns(rows), NAMES)
 
     return run
 
 
-def _count_bigrams(ranges: int):
-    """Step 1, for the words, bigrams and trigrams of one range."""
-    kinds = ["u8", "u4", "u8", "u8", "u4", "u8", "u8", "u4"]
+def _level(context: np.ndarray, word: np.ndarray, count: np.ndarray, size: np.ndarray, last: bool) -> bytes:
+    """The kept n-grams of a shard, sorted by context and word, as one buffer. `size` is the count of each one's context."""
+    new = np.flatnonzero(np.diff(context, prepend=-1))
+    span = int(word.max()) + 1 if len(word) else 1
+    arrays = {**built(context[new], "context"), **built(np.append(new, len(context)), "pointer")}
+    arrays |= built(np.repeat(np.arange(len(new)), np.diff(np.append(new, len(context)))) * span + word, "successor")
+    if last:
+        code = 1 + np.round(-np.log10((count - DISCOUNT) / size) * STEPS)
+        arrays["value"] = np.clip(code, 1, 65535).astype(np.uint16)
+    else:
+        arrays["value"] = count
+    arrays["sum"] = np.add.reduceat(count, new) if len(new) else np.zeros(0, np.int64)
+    arrays["span"] = np.array([span])
+    return mapped.packed(arrays)
+
+
+class Level:
+    def __init__(self, data: bytes):
+        self.arrays = mapped.unpacked(np.frombuffer(data, np.uint8))
+        self.context, self.pointer, self.successor = (EliasFano(self.arrays, x) for x in ("context", "pointer", "successor"))
+        self.span = int(self.arrays["span"][0])
+
+    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and value of each word among the successors of its context, -1 and 0 where it is none of them. For word 0, the number
+        and the summed counts of all successors."""
+        at = self.context.find(context)
+        place, value = np.full(len(at), -1, dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+        all_ = np.flatnonzero(word == 0)
+        place[all_] = 0
+        all_ = all_[at[all_] >= 0]
+        place[all_] = self.pointer.get(at[all_] + 1) - self.pointer.get(at[all_])
+        value[all_] = self.arrays["sum"][at[all_]]
+        one = np.flatnonzero((word > 0) & (word < self.span) & (at >= 0))
+        found = self.successor.find(at[one] * self.span + word[one])
+        place[one] = found
+        value[one[found >= 0]] = self.arrays["value"][found[found >= 0]]
+        return place, value
+
+
+def _grams(order: int, shards: int):
+    """The second or third level, for the contexts, or parts of contexts, of one shard."""
 
     def run(asked: pa.Table) -> pa.Table:
-        who = list(zip(*(asked.column(c).to_pylist() for c in ("block", "piece", "texts", "range")), strict=True))
-        parts = [_parts(x.as_py(), kinds) for x in asked.column("data")]
-        answers, rows, taken = [], [], []
-        for order, (k, c, n) in enumerate([(0, None, 1), (2, 3, 4), (5, 6, 7)]):
-            sizes = [len(p[k]) for p in parts]
-            key, some, of = np.unique(np.concatenate([p[k] for p in parts]), return_index=True, return_inverse=True)
-            of = of.ravel()
-            count = np.bincount(of, weights=np.concatenate([p[n] for p in parts]), minlength=len(key)).astype(np.int64)
-            kept = count >= (LEAST if order else 1)
-            answers.append(np.split(np.where(kept, count, 0)[of], np.cumsum(sizes)[:-1]))
-            if order:
-                context = np.concatenate([p[c] for p in parts])[some[kept]]
-                taken.append((context, count[kept] - DISCOUNT))
-            else:
-                rows.append(_row(TOTALS, n=int(count.sum()), kinds=int(kept.sum())))
-        for i, (block, piece, texts, r) in enumerate(who):
-            one, two, three = (a[i] for a in answers)
-            rows.append(_row(COUNTS, block, piece, texts, r, data=_packed(one, two, three)))
-            rows.append(_row(ASKED, block, piece, texts, r, data=_packed(np.concatenate([parts[i][0][one > 0], parts[i][2][two > 0]]))))
-        context, of = np.unique(np.concatenate([x for x, _ in taken]), return_inverse=True)
-        total = np.bincount(of.ravel(), weights=np.concatenate([x for _, x in taken]), minlength=len(context))
-        cuts = _cuts(context, ranges)
-        for r in np.flatnonzero(cuts[1:] > cuts[:-1]):
-            a, b = cuts[r], cuts[r + 1]
-            rows.append(_row(TAKEN, range_=int(r), data=_packed(context[a:b], total[a:b])))
+        r = asked.column("shard")[0].as_py()
+        parts = [[x.astype(np.int64) for x in _parts(p.as_py())] for p in asked.column("data")]
+        context, word, n, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        sort = np.lexsort((word, context))
+        context, word, n, size = context[sort], word[sort], n[sort], size[sort]
+        first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])))
+        count = np.add.reduceat(n, first)
+        kept = (count >= LEAST) & (word[first] > 0)
+        level = Level(_level(context[first[kept]], word[first[kept]], count[kept], size[first[kept]], order == 3))
+        rows = []
+        for block, (c, w, _, _) in zip(asked.column("block").to_pylist(), parts, strict=True):
+            place, value = level.find(c, w)
+            if order == 2:
+                place = np.where(w > 0, np.where(place < 0, 0, 1 + r + shards * place), place)
+            else:  # no level follows that would need the number
+                place = np.where(w > 0, 0, place)
+            rows.append(_row(10 + order, block, r, data=_packed(place, value)))
         return pa.Table.from_arrays(_columns(rows), NAMES)
 
     return run
 
 
-def _free(found: pa.Table) -> pa.Table:
-    """Step 2, for the contexts of one range."""
-    kind, data = found.column("kind").to_pylist(), found.column("data")
-    taken = [_parts(data[i].as_py(), ["u8", "f8"]) for i, k in enumerate(kind) if k == TAKEN]
-    key, of = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in taken)]), return_inverse=True)
-    total = np.append(np.bincount(of.ravel(), weights=np.concatenate([np.zeros(0), *(x for _, x in taken)]), minlength=len(key)), 0.0)
-    key = np.append(key, np.uint64(0))
-    rows = []
-    who = list(zip(*(found.column(c).to_pylist() for c in ("block", "piece", "texts", "range")), strict=True))
-    for i, k in enumerate(kind):
-        if k == ASKED:
-            (asked,) = _parts(data[i].as_py(), ["u8"])
-            at = np.searchsorted(key[:-1], asked)
-            rows.append(_row(TAKEN, *who[i], data=_packed(np.where(key[at] == asked, total[at], 0.0))))
-    return pa.Table.from_arrays(_columns(rows), NAMES)
-
-
-def _scores(grams: Grams, n: list[np.ndarray], taken: list[np.ndarray], tokens: int, kinds: int) -> dict[str, np.ndarray]:
-    """Per text, from the counts of its block's names, 0 for those that are not kept, and what is taken from the contexts."""
-    back = [np.clip(1 - t / np.maximum(c, 1), 1e-9, 1.0) for t, c in zip(taken, n, strict=False)]
-    (_, two, three), of = grams.at, grams.of
-    one = (n[0][of[0]] + 1.0) / (tokens + kinds + 1)
-    known = (n[0] > 0)[of[0]]
-    known[grams.begin] = False
-    base = np.where(grams.begin, 0.0, np.log10(one))
-    p = one.copy()
-    before, count = of[0][two - 1], n[1][of[1]]
-    p[two] = np.where(count > 0, (count - DISCOUNT) / np.maximum(n[0][before], 1), 0.0) + back[0][before] * one[two]
-    pairs = np.zeros(len(one), dtype=np.int64)
-    pairs[two] = of[1]
-    context, count = pairs[three - 1], n[2][of[2]]
-    high = np.where(count > 0, (count - DISCOUNT) / np.maximum(n[1][context], 1), 0.0) + back[1][context] * p[three]
-    p[three] = np.where(n[1][context] > 0, high, p[three])
-    score = np.where(grams.begin, 0.0, np.log10(p))
-    return {k: np.add.reduceat(x, grams.start) for k, x in (("known", known.astype(np.int64)), ("base", base), ("score", score))}
-
-
-def _score(total: tuple[int, int]):
-    """Step 3, for one block."""
-
-    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = texts.sort_by("row")
-        row = np.asarray(texts.column("row").combine_chunks())
-        by_piece: dict[tuple[int, int], dict[int, dict[int, bytes]]] = {}
-        for kind, piece, many, r, data in zip(*(answers.column(c).to_pylist() for c in ("kind", "piece", "texts", "range", "data")), strict=True):
-            by_piece.setdefault((piece, many), {}).setdefault(r, {})[kind] = data
-        out = []
-        for (piece, many), found in sorted(by_piece.items()):
-            a, b = np.searchsorted(row, [piece, piece + many])
-            part = texts.slice(a, b - a)
-            grams = Grams(part.column("text").combine_chunks())
-            n, taken = [], []
-            for r in sorted(found):
-                n.append(_parts(found[r][COUNTS], ["i8"] * 3))
-                (some,) = _parts(found[r][TAKEN], ["f8"])
-                one, two = (np.zeros(len(x)) for x in n[-1][:2])
-                one[n[-1][0] > 0], two[n[-1][1] > 0] = np.split(some, [int((n[-1][0] > 0).sum())])
-                taken.append((one, two))
-            n, taken = ([np.concatenate(x) for x in zip(*y, strict=True)] for y in (n, taken))
-            s = _scores(grams, n, taken, *total)
-            out.append(pa.Table.from_arrays([part.column("id"), pa.array(grams.size, pa.int64()), pa.array(s["known"], pa.int64()), pa.array(s["base"]), pa.array(s["score"])], ["id", "n_tokens", "n_known", "base", "score"]))
-        return pa.concat_tables(out)
+class Asked:
+    """What a block asks of one level: for each of its n-grams, (context, word), and for each part of each of its contexts, (context, 0).
+
+    `context` and `word` are those of each place, as numbers within the block; `number` and `size` are what the level before
+    answered for each context, `words` the numbers of the block's words."""
+
+    def __init__(self, context: np.ndarray, word: np.ndarray, open_: np.ndarray, train: np.ndarray, number: np.ndarray, size: np.ndarray, words_: np.ndarray, shards: int, share: int):
+        self.contexts, self.shards = len(number), shards
+        self.open = open_ & (number[context] > 0) & (words_[word] > 0)
+        key, of = np.unique(context[self.open] * len(words_) + word[self.open], return_inverse=True)
+        self.of = of.ravel()
+        c, w = key // len(words_), words_[key % len(words_)]
+        splits = np.clip(-(-size // share), 1, shards)
+        part = (mixed(w.astype(np.uint64)) % splits[c].astype(np.uint64)).astype(np.int64)
+        own = np.unique(context)
+        own = own[number[own] > 0]
+        self.own = np.repeat(own, splits[own])
+        own_part = np.arange(len(self.own)) - np.repeat(np.cumsum(splits[own]) - splits[own], splits[own])
+        at, part = np.concatenate([c, self.own]), np.concatenate([part, own_part]).astype(np.uint64)
+        self.context, self.size = number[at], size[at]
+        self.word = np.concatenate([w, np.zeros(len(self.own), np.int64)])
+        self.n = np.concatenate([np.bincount(self.of, weights=train[self.open], minlength=len(key)).astype(np.int64), np.zeros(len(self.own), np.int64)])
+        first = mixed(self.context.astype(np.uint64) + GOLD) % np.uint64(shards)
+        shard = ((first + part) % np.uint64(shards)).astype(np.int64)  # no two parts of a context are in one shard
+        self.order = np.lexsort((self.word, self.context, shard))
+        self.shard, self.grams = shard[self.order], len(key)
+
+    def rows(self, block: int) -> list[tuple]:
+        return _packets(ASKED, block, self.shard, self.shards, *(x[self.order] for x in (self.context, self.word, self.n, self.size)))
+
+    def answered(self, answers: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number and value of each place, 0 where the n-gram is not kept, and what is taken from each context."""
+        sorted_ = [np.concatenate([np.zeros(0, np.uint64), *x]).astype(np.int64) for x in (list(zip(*answers, strict=True)) or [(), ()])]
+        place, value = np.empty(len(self.order), np.int64), np.empty(len(self.order), np.int64)
+        place[self.order], value[self.order] = sorted_
+        out = [np.zeros(len(self.open), dtype=np.int64) for _ in range(2)]
+        for o, x in zip(out, (place, value), strict=True):
+            o[self.open] = x[: self.grams][self.of]
+        taken = np.bincount(self.own, weights=value[self.grams :] - DISCOUNT * place[self.grams :], minlength=self.contexts)
+        return *out, taken
+
+
+class Block:
+    """A block's texts with the answers of the levels so far, in the order it has asked."""
+
+    def __init__(self, found: pa.Table, shards: int, share: int):
+        kind, shard, data = (found.column(c).to_pylist() for c in ("kind", "shard", "data"))
+        self.of, size, train, self.valid, ids = _parts(data[kind.index(TEXTS)])
+        self.of, self.size = self.of.astype(np.int64), size.astype(np.int64) + 1
+        self.ids = ids.view(np.int64)
+        self.start = np.cumsum(self.size + 1) - self.size - 1
+        self.begin = np.zeros(len(self.of), dtype=bool)
+        self.begin[self.start] = True
+        answers: dict[int, list] = {}
+        for _, k, i in sorted((s, k, i) for i, (k, s) in enumerate(zip(kind, shard, strict=True)) if k > 10):
+            answers.setdefault(k, []).append(_parts(data[i]))
+        self.number, self.count = (np.concatenate(x).astype(np.int64) for x in zip(*answers[11], strict=True))
+        trained = np.repeat(train > 0, self.size + 1)
+        self.two = np.flatnonzero(~self.begin[1:]) + 1
+        self.bigrams = Asked(self.of[self.two - 1], self.of[self.two], np.ones(len(self.two), bool), trained[self.two], self.number, self.count, self.number, shards, share)
+        if 12 not in answers and len(self.bigrams.order):
+            return
+        pair, self.pairs, self.from_words = self.bigrams.answered(answers.get(12, []))
+        key, some, pair_of = np.unique(pair, return_index=True, return_inverse=True)  # kept bigrams by their number in the block
+        place = np.zeros(len(self.of), dtype=np.int64)
+        place[self.two] = pair_of.ravel()
+        self.three = self.two[~self.begin[self.two - 1]]
+        self.before, self.pair_count = place[self.three - 1], self.pairs[some]
+        last = key[place[self.three]] > 0
+        self.trigrams = Asked(self.before, self.of[self.three], last, trained[self.three], key, self.pair_count, self.number, shards, share)
+        if 13 in answers or not len(self.trigrams.order):
+            _, self.codes, self.from_pairs = self.trigrams.answered(answers.get(13, []))
+
+    def scores(self, tokens: int, kinds: int) -> list[np.ndarray]:
+        """Per text: known tokens, base score, score."""
+        one = (self.count[self.of] + 1.0) / (tokens + kinds + 1)
+        known = (self.count[self.of] > 0) & ~self.begin
+        p, v = one.copy(), self.of[self.two - 1]
+        back = np.clip(1 - self.from_words / np.maximum(self.count, 1), 1e-9, 1.0)
+        high = np.where(self.pairs > 0, (self.pairs - DISCOUNT) / np.maximum(self.count[v], 1), 0.0)
+        p[self.two] = high + back[v] * one[self.two]
+        back = np.clip(1 - self.from_pairs / np.maximum(self.pair_count, 1), 1e-9, 1.0)
+        high = np.where(self.codes > 0, 10.0 ** ((1 - self.codes) / STEPS), 0.0)
+        p[self.three] = np.where(self.pair_count[self.before] > 0, high + back[self.before] * p[self.three], p[self.three])
+        base, score = (np.where(self.begin, 0.0, np.log10(x)) for x in (one, p))
+        return [np.add.reduceat(x, self.start) for x in (known.astype(np.int64), base, score)]
+
+
+def _ask(order: int, shards: int, share: int):
+    def run(found: pa.Table) -> pa.Table:
+        block = Block(found, shards, share)
+        asked = block.bigrams if order == 2 else block.trigrams
+        return pa.Table.from_arrays(_columns(asked.rows(found.column("block")[0].as_py())), NAMES)
+
+    return run
+
+
+def _score(shards: int, share: int, tokens: int, kinds: int):
+    def run(found: pa.Table) -> pa.Table:
+        block = Block(found, shards, share)
+        known, base, score = block.scores(tokens, kinds)
+        ids = pa.array(block.ids, pa.int64(), mask=block.valid == 0)
+        return pa.Table.from_arrays([ids, pa.array(block.size), pa.array(known), pa.array(base), pa.array(score)], ["id", "n_tokens", "n_known", "base", "score"])
 
     return run
 
 
-def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", head: int | None = None, kept: int | None = None) -> DataFrame:
+def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known (tokens seen in training), train_tokens, base_score (add-one over single tokens) and score (the
     model's log10 probability of the text) of every row, after training on the rows where `train` holds.
 
     Null and empty texts are one token, their end. Repeated rows are trained on and scored each; an id may be null; other
-    columns are not read. Without training rows every token is unknown and both scores are 0. `head` and `kept` once bounded
-    the model; they are taken, so that callers need not change, and have no effect: all words and all n-grams seen at least
-    twice are in the model."""
+    columns are not read. Without training rows every token is unknown and both scores are 0. A trigram's own part of the probability is
+    quantised to 1 / STEPS of a power of ten; all else is exact."""
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
-    texts = cut_lineage(texts.mapInArrow(_blocks, "block long, row long, id long, train boolean, text string"))
-    size, ends = texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1), F.sum(F.col("train").cast("long"))).first()
-    ranges, ends = -(-(size or 1) // TALLIED), ends or 0
-    asked = texts.mapInArrow(_ask(ranges), ROWS)
-    counted = cut_lineage(asked.groupBy("range").applyInArrow(_count_bigrams(ranges), ROWS))
-    n, kinds = counted.where(F.col("kind") == TOTALS).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    size = texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0]
+    shards = -(-(size or 1) // SHARD)
+    read = cut_lineage(texts.mapInArrow(_read(shards), ROWS))
+    found = cut_lineage(read.where(F.col("kind") == ASKED).groupBy("shard").applyInArrow(_words(shards), ROWS))
+    n, kinds = found.where(F.col("kind") == TOTALS).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    ends = texts.where("train").count()
     tokens, kinds = n - ends, kinds - (ends > 0)  # without the begins
-    taken = counted.where(F.col("kind").isin(ASKED, TAKEN)).groupBy("range").applyInArrow(_free, ROWS)
-    answers = counted.where(F.col("kind") == COUNTS).unionByName(taken)
-    schema = "id long, n_tokens long, n_known long, base double, score double"
-    rows = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score((tokens, kinds)), schema)
+    share = max(1, -(-tokens // shards))
+    blocks = read.where(F.col("kind") == TEXTS).unionByName(found.where(F.col("kind") > 10))
+    for order in (2, 3):
+        release_shuffles(spark)  # of the level before
+        asked = blocks.groupBy("block").applyInArrow(_ask(order, shards, share), ROWS)
+        blocks = blocks.unionByName(cut_lineage(asked.groupBy("shard").applyInArrow(_grams(order, shards), ROWS)))
+    release_shuffles(spark)
+    rows = blocks.groupBy("block").applyInArrow(_score(shards, share, tokens, kinds), "id long, n_tokens long, n_known long, base double, score double")
     return rows.select(
         F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score"
     )

@@ -34,8 +34,11 @@ FUNCTIONS = {
     "replay": conversation_repair._replay(True),
     "learn": html_wrappers._learn,
     "extract": html_wrappers._extract,
-    "bigrams": lm._count_bigrams("x"),
-    "score": lm._score("x"),
+    "read": lm._read(2),
+    "numbered": lm._words(2),
+    "level": lm._grams(2, 2),
+    "ask": lm._ask(2, 2, 1),
+    "score": lm._score(2, 1, 1, 1),
 }
 
 
