@@ -50,6 +50,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Have Spark remove the shuffle files that no DataFrame in use needs any more. Its cleaner does so when the driver collects its
-    garbage, and a driver with little to do may not for a whole job."""
+    garbage, and a driver with little to do may not for a whole job. The last query stays referenced until another one has run."""
+    spark.range(1).count()
     gc.collect()
     spark._jvm.System.gc()
