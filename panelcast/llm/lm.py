@@ -82,10 +82,10 @@ def _columns(rows: list[tuple]) -> list[pa.Array]:
     return [pa.array(c, t) for c, t in zip(columns, [pa.int32(), *[pa.int64()] * 4, pa.binary()], strict=True)]
 
 
-def _packets(kind: int, block: int, shard: np.ndarray, shards: int, *arrays: np.ndarray) -> list[tuple]:
-    """A row for each shard that anything goes to; `shard` is sorted."""
-    cuts = np.searchsorted(shard, np.arange(shards + 1))
-    return [_row(kind, block, int(r), data=_packed(*(x[cuts[r] : cuts[r + 1]] for x in arrays))) for r in np.flatnonzero(np.diff(cuts))]
+def _sorted(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by shard, and where each shard's begin and the last one's end."""
+    narrow = shard.astype(np.uint16 if shards <= 1 << 16 else np.int64)  # narrow ones are sorted by their digits
+    return np.argsort(narrow, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
 
 
 def _read(shards: int):
@@ -105,7 +105,9 @@ def _read(shards: int):
         ids = pa.concat_arrays([x.column("id") for x in held])
         data = _packed(of.ravel(), np.diff(first), train, np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0)).view(np.uint64))
         shard = ((key >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)  # sorted names have sorted shards
-        return pa.RecordBatch.from_arrays(_columns([_row(TEXTS, block, data=data), *_packets(ASKED, block, shard, shards, key, n)]), NAMES)
+        cuts = np.searchsorted(shard, np.arange(shards + 1))
+        asked = [_row(ASKED, block, int(r), data=_packed(*(x[cuts[r] : cuts[r + 1]] for x in (key, n)))) for r in np.flatnonzero(np.diff(cuts))]
+        return pa.RecordBatch.from_arrays(_columns([_row(TEXTS, block, data=data), *asked]), NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = TaskContext.get().partitionId() << 33, []
@@ -165,20 +167,20 @@ class Level:
         self.context, self.pointer, self.successor = (EliasFano(self.arrays, x) for x in ("context", "pointer", "successor"))
         self.span = int(self.arrays["span"][0])
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place and value of each word among the successors of its context, -1 and 0 where it is none of them. For word 0, the number
-        and the summed counts of all successors."""
-        at = self.context.find(context)
+    def taken(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number and summed counts of the successors of contexts by their places; 0 for place -1."""
+        there = np.flatnonzero(at >= 0)
+        many, total = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+        many[there] = self.pointer.get(at[there] + 1) - self.pointer.get(at[there])
+        total[there] = self.arrays["sum"][at[there]]
+        return many, total
+
+    def find(self, at: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and value of each word among the successors of the context at a place, -1 and 0 where it is none of them."""
         place, value = np.full(len(at), -1, dtype=np.int64), np.zeros(len(at), dtype=np.int64)
-        all_ = np.flatnonzero(word == 0)
-        place[all_] = 0
-        all_ = all_[at[all_] >= 0]
-        place[all_] = self.pointer.get(at[all_] + 1) - self.pointer.get(at[all_])
-        value[all_] = self.arrays["sum"][at[all_]]
-        one = np.flatnonzero((word > 0) & (word < self.span) & (at >= 0))
-        found = self.successor.find(at[one] * self.span + word[one])
-        place[one] = found
-        value[one[found >= 0]] = self.arrays["value"][found[found >= 0]]
+        some = np.flatnonzero((word < self.span) & (at >= 0))
+        place[some] = self.successor.find(at[some] * self.span + word[some])
+        value[place >= 0] = self.arrays["value"][place[place >= 0]]
         return place, value
 
 
@@ -188,66 +190,74 @@ def _grams(order: int, shards: int):
     def run(asked: pa.Table) -> pa.Table:
         r = asked.column("shard")[0].as_py()
         parts = [[x.astype(np.int64) for x in _parts(p.as_py())] for p in asked.column("data")]
-        context, word, n, size = (np.concatenate(x) for x in zip(*parts, strict=True))
-        sort = np.lexsort((word, context))
-        context, word, n, size = context[sort], word[sort], n[sort], size[sort]
-        first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])))
-        count = np.add.reduceat(n, first)
-        kept = (count >= LEAST) & (word[first] > 0)
-        level = Level(_level(context[first[kept]], word[first[kept]], count[kept], size[first[kept]], order == 3))
-        rows = []
-        for block, (c, w, _, _) in zip(asked.column("block").to_pylist(), parts, strict=True):
-            place, value = level.find(c, w)
-            if order == 2:
-                place = np.where(w > 0, np.where(place < 0, 0, 1 + r + shards * place), place)
-            else:  # no level follows that would need the number
-                place = np.where(w > 0, 0, place)
-            rows.append(_row(10 + order, block, r, data=_packed(place, value)))
+        own = np.concatenate([p[3] for p in parts])
+        contexts, some = np.unique(own, return_index=True)
+        size = np.concatenate([p[4] for p in parts])[some]
+        word = np.concatenate([p[1] for p in parts])
+        span = int(word.max(initial=0)) + 1
+        key, of = np.unique(np.searchsorted(contexts, np.concatenate([p[0] for p in parts])) * span + word, return_inverse=True)
+        count = np.bincount(of.ravel(), weights=np.concatenate([p[2] for p in parts]), minlength=len(key)).astype(np.int64)
+        context, word = np.divmod(key, span)
+        kept = count >= LEAST
+        level = Level(_level(contexts[context[kept]], word[kept], count[kept], size[context[kept]], order == 3))
+        at = level.context.find(contexts)
+        place, value = level.find(at[context], word)
+        # no level follows the third that would need its numbers
+        place = np.where(place < 0, 0, 1 + r + shards * place) if order == 2 else np.zeros(len(key), dtype=np.int64)
+        many, total = level.taken(at)
+        rows, done = [], 0
+        for block, (c, _, _, o, _) in zip(asked.column("block").to_pylist(), parts, strict=True):
+            i, j = of.ravel()[done : done + len(c)], np.searchsorted(contexts, o)
+            done += len(c)
+            rows.append(_row(10 + order, block, r, data=_packed(place[i], value[i], many[j], total[j])))
         return pa.Table.from_arrays(_columns(rows), NAMES)
 
     return run
 
 
 class Asked:
-    """What a block asks of one level: for each of its n-grams, (context, word), and for each part of each of its contexts, (context, 0).
+    """What a block asks of one level: for each of its n-grams, context and word with the count in training texts, and for each part of each
+    of its contexts, the context with its count.
 
     `context` and `word` are those of each place, as numbers within the block; `number` and `size` are what the level before
-    answered for each context, `words` the numbers of the block's words."""
+    answered for each context, `words_` the numbers of the block's words. Both are in order of those numbers."""
 
     def __init__(self, context: np.ndarray, word: np.ndarray, open_: np.ndarray, train: np.ndarray, number: np.ndarray, size: np.ndarray, words_: np.ndarray, shards: int, share: int):
-        self.contexts, self.shards = len(number), shards
+        self.shards, self.contexts = shards, len(number)
         self.open = open_ & (number[context] > 0) & (words_[word] > 0)
         key, of = np.unique(context[self.open] * len(words_) + word[self.open], return_inverse=True)
         self.of = of.ravel()
-        c, w = key // len(words_), words_[key % len(words_)]
+        c, w = np.divmod(key, len(words_))
+        w = words_[w]
         splits = np.clip(-(-size // share), 1, shards)
-        part = (mixed(w.astype(np.uint64)) % splits[c].astype(np.uint64)).astype(np.int64)
-        own = np.unique(context)
-        own = own[number[own] > 0]
+        own = np.flatnonzero((np.bincount(context, minlength=len(number)) > 0) & (number > 0))
         self.own = np.repeat(own, splits[own])
         own_part = np.arange(len(self.own)) - np.repeat(np.cumsum(splits[own]) - splits[own], splits[own])
-        at, part = np.concatenate([c, self.own]), np.concatenate([part, own_part]).astype(np.uint64)
-        self.context, self.size = number[at], size[at]
-        self.word = np.concatenate([w, np.zeros(len(self.own), np.int64)])
-        self.n = np.concatenate([np.bincount(self.of, weights=train[self.open], minlength=len(key)).astype(np.int64), np.zeros(len(self.own), np.int64)])
-        first = mixed(self.context.astype(np.uint64) + GOLD) % np.uint64(shards)
-        shard = ((first + part) % np.uint64(shards)).astype(np.int64)  # no two parts of a context are in one shard
-        self.order = np.lexsort((self.word, self.context, shard))
-        self.shard, self.grams = shard[self.order], len(key)
+        part = (mixed(w.astype(np.uint64)) % splits[c].astype(np.uint64)).astype(np.int64)
+        first = (mixed(number.astype(np.uint64) + GOLD) % np.uint64(shards)).astype(np.int64)  # parts of a context are in shards side by side
+        self.order, self.cuts = _sorted((first[c] + part) % shards, shards)
+        self.own_order, self.own_cuts = _sorted((first[self.own] + own_part) % shards, shards)
+        n = np.bincount(self.of, weights=train[self.open], minlength=len(key)).astype(np.int64)
+        self.asked, self.own_asked = (number[c], w, n), (number[self.own], size[self.own])
 
     def rows(self, block: int) -> list[tuple]:
-        return _packets(ASKED, block, self.shard, self.shards, *(x[self.order] for x in (self.context, self.word, self.n, self.size)))
+        grams, own = [x[self.order] for x in self.asked], [x[self.own_order] for x in self.own_asked]
+        out = []
+        for r in np.flatnonzero(np.diff(self.own_cuts)):  # an n-gram's context is always asked for in the same shard
+            a, b, c, d = *self.cuts[r : r + 2], *self.own_cuts[r : r + 2]
+            out.append(_row(ASKED, block, int(r), data=_packed(*(x[a:b] for x in grams), *(x[c:d] for x in own))))
+        return out
 
     def answered(self, answers: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number and value of each place, 0 where the n-gram is not kept, and what is taken from each context."""
-        sorted_ = [np.concatenate([np.zeros(0, np.uint64), *x]).astype(np.int64) for x in (list(zip(*answers, strict=True)) or [(), ()])]
-        place, value = np.empty(len(self.order), np.int64), np.empty(len(self.order), np.int64)
-        place[self.order], value[self.order] = sorted_
-        out = [np.zeros(len(self.open), dtype=np.int64) for _ in range(2)]
-        for o, x in zip(out, (place, value), strict=True):
-            o[self.open] = x[: self.grams][self.of]
-        taken = np.bincount(self.own, weights=value[self.grams :] - DISCOUNT * place[self.grams :], minlength=self.contexts)
-        return *out, taken
+        found = [np.concatenate([np.zeros(0, np.uint64), *x]).astype(np.int64) for x in (list(zip(*answers, strict=True)) or [()] * 4)]
+        out = []
+        for x in found[:2]:
+            by_gram, by_place = np.empty(len(self.order), np.int64), np.zeros(len(self.open), np.int64)
+            by_gram[self.order] = x
+            by_place[self.open] = by_gram[self.of]
+            out.append(by_place)
+        return *out, np.bincount(self.own[self.own_order], weights=found[3] - DISCOUNT * found[2], minlength=self.contexts)
 
 
 class Block:
@@ -265,10 +275,14 @@ class Block:
         for _, k, i in sorted((s, k, i) for i, (k, s) in enumerate(zip(kind, shard, strict=True)) if k > 10):
             answers.setdefault(k, []).append(_parts(data[i]))
         self.number, self.count = (np.concatenate(x).astype(np.int64) for x in zip(*answers[11], strict=True))
+        by_number = np.argsort(self.number, kind="stable")
+        rank = np.empty(len(by_number), dtype=np.int64)
+        rank[by_number] = np.arange(len(by_number))
+        self.of, self.number, self.count = rank[self.of], self.number[by_number], self.count[by_number]
         trained = np.repeat(train > 0, self.size + 1)
         self.two = np.flatnonzero(~self.begin[1:]) + 1
         self.bigrams = Asked(self.of[self.two - 1], self.of[self.two], np.ones(len(self.two), bool), trained[self.two], self.number, self.count, self.number, shards, share)
-        if 12 not in answers and len(self.bigrams.order):
+        if 12 not in answers and len(self.bigrams.own):
             return
         pair, self.pairs, self.from_words = self.bigrams.answered(answers.get(12, []))
         key, some, pair_of = np.unique(pair, return_index=True, return_inverse=True)  # kept bigrams by their number in the block
@@ -278,7 +292,7 @@ class Block:
         self.before, self.pair_count = place[self.three - 1], self.pairs[some]
         last = key[place[self.three]] > 0
         self.trigrams = Asked(self.before, self.of[self.three], last, trained[self.three], key, self.pair_count, self.number, shards, share)
-        if 13 in answers or not len(self.trigrams.order):
+        if 13 in answers or not len(self.trigrams.own):
             _, self.codes, self.from_pairs = self.trigrams.answered(answers.get(13, []))
 
     def scores(self, tokens: int, kinds: int) -> list[np.ndarray]:
@@ -315,6 +329,12 @@ def _score(shards: int, share: int, tokens: int, kinds: int):
     return run
 
 
+def _answers(blocks: DataFrame, order: int, shards: int, share: int) -> DataFrame:
+    """What the shards of a level answer, written. No name of the caller keeps its shuffle files."""
+    asked = blocks.groupBy("block").applyInArrow(_ask(order, shards, share), ROWS)
+    return cut_lineage(asked.groupBy("shard").applyInArrow(_grams(order, shards), ROWS))
+
+
 def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known (tokens seen in training), train_tokens, base_score (add-one over single tokens) and score (the
     model's log10 probability of the text) of every row, after training on the rows where `train` holds.
@@ -335,8 +355,7 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     blocks = read.where(F.col("kind") == TEXTS).unionByName(found.where(F.col("kind") > 10))
     for order in (2, 3):
         release_shuffles(spark)  # of the level before
-        asked = blocks.groupBy("block").applyInArrow(_ask(order, shards, share), ROWS)
-        blocks = blocks.unionByName(cut_lineage(asked.groupBy("shard").applyInArrow(_grams(order, shards), ROWS)))
+        blocks = blocks.unionByName(_answers(blocks, order, shards, share))
     release_shuffles(spark)
     rows = blocks.groupBy("block").applyInArrow(_score(shards, share, tokens, kinds), "id long, n_tokens long, n_known long, base double, score double")
     return rows.select(
