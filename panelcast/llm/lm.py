@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm import mapped
 from panelcast.llm.elias_fano import EliasFano, built
-from panelcast.llm.tables import slices, tidied
+from panelcast.llm.tables import give_back, slices, tidied
 from panelcast.llm.words import GOLD, mixed, words
 from panelcast.session import cut_lineage, release_shuffles
 
@@ -127,6 +127,7 @@ def _words(shards: int):
     """The first level, for the names of one shard: their counts and, if kept, numbers, the smaller the more frequent."""
 
     def run(asked: pa.Table) -> pa.Table:
+        give_back()  # what the group before has freed
         r = asked.column("shard")[0].as_py()
         parts = [_parts(x.as_py()) for x in asked.column("data")]
         key, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
@@ -188,6 +189,7 @@ def _grams(order: int, shards: int):
     """The second or third level, for the contexts, or parts of contexts, of one shard."""
 
     def run(asked: pa.Table) -> pa.Table:
+        give_back()  # what the group before has freed
         r = asked.column("shard")[0].as_py()
         parts = [[x.astype(np.int64) for x in _parts(p.as_py())] for p in asked.column("data")]
         own = np.concatenate([p[3] for p in parts])
@@ -312,6 +314,7 @@ class Block:
 
 def _ask(order: int, shards: int, share: int):
     def run(found: pa.Table) -> pa.Table:
+        give_back()  # what the group before has freed
         block = Block(found, shards, share)
         asked = block.bigrams if order == 2 else block.trigrams
         return pa.Table.from_arrays(_columns(asked.rows(found.column("block")[0].as_py())), NAMES)
@@ -321,6 +324,7 @@ def _ask(order: int, shards: int, share: int):
 
 def _score(shards: int, share: int, tokens: int, kinds: int):
     def run(found: pa.Table) -> pa.Table:
+        give_back()  # what the group before has freed
         block = Block(found, shards, share)
         known, base, score = block.scores(tokens, kinds)
         ids = pa.array(block.ids, pa.int64(), mask=block.valid == 0)

@@ -27,16 +27,21 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
             yield batch.slice(a, b - a)
 
 
+def give_back() -> None:
+    """Give memory that this worker has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """`run`, after which the worker gives memory that it has freed back to the system. Workers are used again by later stages, whose
     needs would otherwise come on top of what earlier ones once held."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-        if trim is not None:
-            trim(0)
+        give_back()
 
     return wrapped
 
