@@ -7,9 +7,10 @@ common subsequence, level by level: what matches is merged, what does not become
 come to lie side by side become a repeated one. So a host's wrapper is the merge of its pages in turn; tasks merge what they
 read, and one row a task and host is left to merge after the shuffle, however many pages a host has.
 
-Main text lies in the article (or main) element if the page has one, and not in a menu, header, footer, sidebar, notice, advert,
-form or comment section, by element or by class. On a page without such an element, a slot of the wrapper whose text never changes
-while others do is part of the template. Reading a page walks it along the wrapper.
+The wrapper of a host says what is main text: a slot whose text never changes while others do is part of the template, and of the
+rest the core is the innermost container that holds most of the text that changes, over all pages of the host. Elements and classes are
+evidence beside it: a page's article (or main) element with text stands before the core, and menus, headers, footers, sidebars,
+notices, adverts, forms and comment sections, by element or by class, are in neither. Reading a page walks it along the wrapper.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.tables import slices
+from panelcast.llm.tables import SALTS, slices
 from panelcast.llm.url_filters import host_and_path
 from panelcast.session import cut_lineage
 
@@ -57,16 +60,20 @@ CLOSES = {  # an opening tag ends these open elements, up to the nearest of the
     **dict.fromkeys(("tr",), (frozenset(["tr", "td", "th"]), frozenset(["table", "thead", "tbody", "tfoot"]))),
     **dict.fromkeys(("td", "th"), (frozenset(["td", "th"]), frozenset(["tr", "table"]))),
 }
+#: Elements that hold other blocks and say nothing about them. One that holds a text and no element is a token of its own.
+CONTAINERS = frozenset("html body div section center table tbody tr td".split())
+SHARE = 0.6  # of the text above, in a container that is the core or holds it
 DEEP = 60  # levels of a page that are told apart; deeper elements count as part of theirs
 PERIOD = 4  # longest repeated group
 TEXT = "#"
 SEEN = 3  # pages on which a text must be the same to be part of a template
 HELD = 2_000  # hosts a task holds
+FAN = 64  # partial wrappers of a host that one task merges in a round
 SENT = 16 << 20  # characters of all wrappers that are sent to every task
 
 # A page is a tree [label, skip, children]; a child is a tree or a text. An expression is a list of items
 # [label, optional, repeated, skip, children, text], where text is, for slots, [pages, name of what all of them have there or
-# null if they differ].
+# null if they differ, characters]. `judged` adds a mark: of slots how likely they are main text, of elements whether they are the core.
 
 
 def _label(tag: str, attributes: str) -> tuple[str, int]:
@@ -202,8 +209,8 @@ def _merged_text(a: list | None, b: list | None, one_page: bool) -> list | None:
     if a is None or b is None:
         return a or b
     if one_page:
-        return [1, _name(f"{a[1]} {b[1]}")]
-    return [a[0] + b[0], a[1] if a[1] == b[1] else None]
+        return [1, _name(f"{a[1]} {b[1]}"), a[2] + b[2]]
+    return [a[0] + b[0], a[1] if a[1] == b[1] else None, a[2] + b[2]]
 
 
 def _merged_item(a: list, b: list, repeated: bool = False, one_page: bool = False) -> list:
@@ -264,20 +271,29 @@ def expression(node: list) -> list:
     items = []
     for child in node[2]:
         if isinstance(child, str):
-            items.append([TEXT, False, False, 0, [], [1, _name(block_of(child))]])
+            block = block_of(child)
+            items.append([TEXT, False, False, 0, [], [1, _name(block), len(block)]])
         elif child[1] == 2:
             items.append([child[0], False, False, 2, [], None])
         elif child[0] != TEXT:
-            items.append([child[0], False, False, child[1], expression(child), None])
+            items.append([_token(child), False, False, child[1], expression(child), None])
     return folded(items, True)
 
 
+def _token(node: list) -> str:
+    """The token of an element: its label, and for a container whether it holds a text and no element."""
+    children = node[2]
+    if _tag(node[0]) in CONTAINERS and children and all(isinstance(c, str) or c[0] == TEXT for c in children):
+        return f"{node[0]}{TEXT}"
+    return node[0]
+
+
 def block_of(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
 def _tag(label: str) -> str:
-    return label.split(".", 1)[0]
+    return label.split(".", 1)[0].rstrip(TEXT)
 
 
 def _slots(items: list, inside: bool, skipped: bool, repeated: bool = False) -> Iterator[tuple[list, bool, bool, bool]]:
@@ -290,26 +306,58 @@ def _slots(items: list, inside: bool, skipped: bool, repeated: bool = False) ->
         yield from _slots(item[4], main, skip, repeated or item[2])
 
 
+def _weight(item: list, known: dict[int, bool]) -> int:
+    """Characters of the slots below an item that may be main text without an article: those in `known` with True."""
+    if item[0] == TEXT:
+        return item[5][2] if known.get(id(item)) else 0
+    return sum(_weight(x, known) for x in item[4])
+
+
+def _core(items: list, known: dict[int, bool]) -> list | None:
+    """The innermost container that holds most of the host's text: from the top, the one with `SHARE` of what is left, as long as there is one."""
+    core = None
+    total = sum(_weight(x, known) for x in items)
+    while total:
+        inside = [x for item in items for x in (_members(item) if item[0].startswith("(") else [item])]
+        sizes = [(_weight(x, known), x) for x in inside if x[3] == 0 and _tag(x[0]) in CONTAINERS]
+        size, best = max(sizes, key=lambda x: x[0], default=(0, None))
+        if best is None or size < SHARE * total:
+            break
+        core, items, total = best, best[4], size
+    return core
+
+
+def _members(group: list) -> Iterator[list]:
+    """The items of a group, in groups of groups too."""
+    for item in group[4]:
+        if item[0].startswith("("):
+            yield from _members(item)
+        else:
+            yield item
+
+
 def judged(wrapper: list) -> list:
-    """The wrapper with a last field for each slot: whether its text is part of the template, for pages without a main element."""
+    """The wrapper with marks. A slot has 3 in an article, 2 in the core, 1 elsewhere, 0 in a skipped element or as a part of the template:
+    where others change, a text that is the same on all of `SEEN` or more pages. An element has 1 if it is the core, else 0."""
     slots = list(_slots(wrapper, False, False))
     changes = any(not inside and not skipped and s[5][1] is None for s, inside, skipped, _ in slots)
-    for slot, inside, _, repeated in slots:
-        slot.append(changes and not inside and not repeated and slot[5][1] is not None and slot[5][0] >= SEEN)
-    return wrapper
-
+    known = {
+        id(s): not skipped and not (changes and not repeated and s[5][1] is not None and s[5][0] >= SEEN)
+        for s, inside, skipped, repeated in slots
+        if not inside
+    }
+    core = _core(wrapper, known)
+
+    def mark(items: list, inside: bool, within: bool) -> None:
+        for item in items:
+            if item[0] == TEXT:
+                item.append(3 if inside else 0 if not known[id(item)] else 2 if within else 1)
+            else:
+                item.append(int(item is core))
+                mark(item[4], inside or _tag(item[0]) in MAIN, within or item is core)
 
-def _has_main(node: list, inside: bool = False) -> bool:
-    """Whether the page has a text in a main element that is not skipped."""
-    for child in node[2]:
-        if isinstance(child, str):
-            if inside and block_of(child):
-                return True
-        elif child[1] != 2:
-            main = inside or _tag(child[0]) in MAIN
-            if (child[1] != 1 or main) and _has_main(child, main):
-                return True
-    return False
+    mark(wrapper, False, core is None)
+    return wrapper
 
 
 def _found(items: list, label: str) -> list | None:
@@ -324,16 +372,14 @@ def _found(items: list, label: str) -> list | None:
 
 
 def main_text(page: str, wrapper: list) -> str:
-    """The main text of a page, a line a block, read along its host's wrapper (`judged`): what is not skipped, in the main element if this
-    page has one with text, else without the template. A text or an element that the wrapper does not know is no template."""
-    out: list[str] = []
-    root = tree(page)
-    has_main = _has_main(root)
+    """The main text of a page, a line a block, read along its host's wrapper (`judged`): the texts with the highest mark that the page has.
+    A text or an element that the wrapper does not know is read by the plain rules: in an article 3, in a skipped element 0, else 2."""
+    out: list[tuple[int, str]] = []
 
-    def read(node: list, items: list, inside: bool) -> None:
+    def read(node: list, items: list, inside: bool, within: bool) -> None:
         at = 0
         for child in node[2]:
-            label = TEXT if isinstance(child, str) else child[0]
+            label = TEXT if isinstance(child, str) else _token(child)
             if label == TEXT and not isinstance(child, str):
                 continue
             found = None
@@ -343,25 +389,28 @@ def main_text(page: str, wrapper: list) -> str:
                     at = k
                     break
             if label == TEXT:
-                if inside if has_main else found is None or not found[-1]:
-                    block = block_of(child)
-                    if block:
-                        out.append(block)
+                block = block_of(child)
+                if block:
+                    out.append((3 if inside else 2 if found is None else found[-1], block))
                 continue
             main = inside or _tag(label) in MAIN
-            if child[1] != 2 and (child[1] != 1 or main):
-                read(child, found[4] if found is not None else [], main)
+            core = within or (found is not None and found[-1] == 1)
+            if child[1] != 2 and (child[1] != 1 or main or core):
+                read(child, found[4] if found is not None else [], main, core)
 
-    read(root, wrapper, False)
-    return "\n".join(out)
+    read(tree(page), wrapper, False, False)
+    top = max((mark for mark, _ in out), default=0)
+    return "\n".join(block for mark, block in out if mark == top > 0)
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One wrapper for each host of the task's pages."""
     held: dict[str, list] = {}
+    task = TaskContext.get().partitionId()
 
     def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(w) for w in held.values()], pa.string())], ["host", "wrapper"])
+        columns = [pa.array(list(held), pa.string()), pa.array([task] * len(held), pa.int64()), pa.array([json.dumps(w) for w in held.values()], pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["host", "part", "wrapper"])
 
     for batch in batches:
         for part in slices(batch, "html"):
@@ -374,19 +423,20 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, wrapper) sorted by host: one row a host. One wrapper is held at a time."""
-    host, wrapper = None, None
+def _unite(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (host, part, wrapper) sorted by host and part: one row a host and part. One wrapper is held at a time."""
+    at, wrapper = None, None
 
     def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([host]), pa.array([json.dumps(judged(wrapper))])], ["host", "wrapper"])
+        columns = [pa.array([at[0]], pa.string()), pa.array([at[1]], pa.int64()), pa.array([json.dumps(judged(wrapper) if last else wrapper)])]
+        return pa.RecordBatch.from_arrays(columns, ["host", "part", "wrapper"])
 
     for batch in batches:
-        for h, w in zip(batch.column("host").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
-            if h != host:
+        for h, k, w in zip(*(batch.column(c).to_pylist() for c in ("host", "part", "wrapper")), strict=True):
+            if (h, k) != at:
                 if wrapper is not None:
                     yield row()
-                host, wrapper = h, json.loads(w)
+                at, wrapper = (h, k), json.loads(w)
             else:
                 wrapper = aligned(wrapper, json.loads(w))
     if wrapper is not None:
@@ -410,8 +460,16 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, wrapper) of every host; pages without a host are those of the empty one."""
     rows = pages.select(host_and_path(F.col(url_col))[0].alias("host"), F.col(html_col).alias("html"))
-    learned = rows.mapInArrow(_learn, "host string, wrapper string")
-    return cut_lineage(learned.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_unite, "host string, wrapper string"))
+    schema = "host string, part long, wrapper string"
+    found = cut_lineage(rows.mapInArrow(_learn, schema))
+    parts = (found.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        parts = -(-parts // FAN)
+        last = parts == 1
+        united = found.withColumn("part", F.floor(F.col("part") / FAN)).repartition("host", "part").sortWithinPartitions("host", "part", "wrapper")
+        found = cut_lineage(united.mapInArrow(partial(_unite, last=last), schema))
+        if last:
+            return found.select("host", "wrapper")
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -420,9 +478,12 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     ids and urls may be null; other columns are not read. All texts and all pages are whole."""
     found = wrappers(pages, url_col, html_col)
     size = found.agg(F.coalesce(F.sum(F.length("wrapper")), F.lit(0))).first()[0]
-    found = F.broadcast(found) if size <= SENT else found
     rows = pages.select(
         F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_and_path(F.col(url_col))[0].alias("host")
-    )
-    texts = rows.join(found, "host").select("id", "url", "html", "wrapper").mapInArrow(_extract, "id long, url string, text string")
+    ).withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)))
+    if size <= SENT:
+        joined = rows.join(F.broadcast(found), "host")
+    else:  # a host may have any share of the pages: its wrapper goes to each salt it has
+        joined = rows.join(rows.select("host", "salt").distinct().join(found, "host"), ["host", "salt"])
+    texts = joined.select("id", "url", "html", "wrapper").mapInArrow(_extract, "id long, url string, text string")
     return texts.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

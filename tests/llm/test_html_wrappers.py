@@ -1,6 +1,7 @@
 import html
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -77,6 +78,43 @@ def test_made_pages(spark):
     assert [k for k in want if got[k] != want[k]] == []
 
 
+def bare(page):
+    """A page that says nothing by its main elements, classes, ids and roles."""
+    page = re.sub(r"<(/?)(?:article|main)\b", r"<\1div", page or "")
+    return re.sub(r"""\s(?:class|id|role)=(?:"[^"]*"|'[^']*'|[^\s>]+)""", "", page)
+
+
+def test_made_pages_without_marks(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()
+    want = {r.page_id: plain(r.html) for r in rows}
+    pages = spark.createDataFrame([(r.page_id, r.url, bare(r.html)) for r in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrap.extracted(pages).collect()}
+
+    def alike(a, b):
+        a, b = Counter(a.split()), Counter(b.split())
+        return (a & b).total() / max(1, (a | b).total())
+
+    assert all(alike(want[k], got[k]) >= 0.95 for k in want)
+    assert all(alike(want[r.page_id], wrap.main_text(bare(r.html), [])) < 1 for r in rows)
+
+
+def test_core_is_the_innermost_container_with_most_of_the_text():
+    side = "<div><p>Teaser {0}</p></div>"
+    pages = [f"<div>{side.format(n)}<section><div><h1>Title {n}</h1><p>A long text {n}</p><p>and more of it {n}</p></div></section></div>" for n in range(5)]
+    assert host_text(pages)[0] == [f"Title {n}\nA long text {n}\nand more of it {n}" for n in range(5)]
+    other = "<table><tr><td>Another layout</td></tr></table>"
+    assert host_text([*pages, other])[0][5] == "Another layout"  # no text in the core: what is no template
+
+
+def test_partial_wrappers_are_merged_in_rounds(spark, monkeypatch):
+    rows = [(i, f"http://h{0 if i % 3 else i}.org/{i}", f"<div>Brand</div><div><p>News {i}</p><p>More {i}</p></div>") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(20)
+    whole = wrap.extracted(pages).collect()
+    monkeypatch.setattr(wrap, "FAN", 2)
+    assert sorted(wrap.extracted(pages).collect()) == sorted(whole)
+    assert {r.page_id: r.text for r in whole if r.page_id % 3} == {i: f"News {i}\nMore {i}" for i in range(60) if i % 3}
+
+
 @pytest.mark.parametrize("sent", [16 << 20, 0])
 def test_edge_rows(spark, sent, monkeypatch):
     monkeypatch.setattr(wrap, "SENT", sent)

@@ -2,6 +2,7 @@
 
 import subprocess
 import sys
+from functools import partial
 
 import public_tokenizers
 import pytest
@@ -33,6 +34,7 @@ FUNCTIONS = {
     "report": conversation_repair._report,
     "replay": conversation_repair._replay(True),
     "learn": html_wrappers._learn,
+    "unite": partial(html_wrappers._unite, last=True),
     "extract": html_wrappers._extract,
     "read": lm._read(2),
     "numbered": lm._words(2),
