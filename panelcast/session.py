@@ -6,9 +6,14 @@ import gc
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()  # tables of cut_lineage: their folders
+#: What a task hands to Python at once, so that memory does not follow the length of texts.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
 
 def local_session(cpus: int | str = 8, memory: str = "12g") -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own."""
@@ -45,7 +50,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     everything before."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/panelcast-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[table] = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that `cut_lineage` has returned. Only for its owner, once all that reads it has been written."""
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop(table))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to `BATCHES`, for jobs that hand whole texts to Python."""
+    for name, value in BATCHES.items():
+        spark.conf.set(name, value)
 
 
 def release_shuffles(spark: SparkSession) -> None:
