@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.llm.tables import SPACES, absent, slices, small, tidied, with_group, without
-from panelcast.session import cut_lineage
+from panelcast.session import cut_lineage, discard
 
 BLOCK = 16_384  # characters
 BUCKETS = 4_096  # at least; four a shuffle partition on larger clusters
@@ -103,6 +103,7 @@ def exact_groups(
         buckets,
     ).drop("block")
     level = cut_lineage(blocks.join(named, ["like_row", "like_pos"]).select("row", "id", "sha", "blocks", "pos", "name"))
+    discard(blocks)  # all texts; their names are written
     done = level.where("blocks = 1").select("row", "id", "sha", "blocks", "name")
     level = level.where("blocks > 1")
     left = level.agg(F.max("blocks")).first()[0] or 1

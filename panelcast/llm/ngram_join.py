@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from panelcast.llm.components import components
 from panelcast.llm.tables import slices, small, tidied, with_group, without
 from panelcast.llm.words import shingles, words
-from panelcast.session import cut_lineage
+from panelcast.session import cut_lineage, discard
 
 WIDTH = 5
 SIMILARITY = (3, 4)  # as a fraction
@@ -382,6 +382,7 @@ def similar_groups(
     floor = F.expr(f"(n * {similarity[0]} + {similarity[1] - 1}) div {similarity[1]}")
     gathered = gathered.join(whole.select(F.col("row").alias("owner"), "n"), "owner").where(F.size("items") >= floor)
     sets = cut_lineage(gathered.mapInArrow(tidied(_ordered(similarity)), "row long, n long, items array<long>, base long, length long"))
+    discard(whole)  # sets have the n-grams that matter
     labels = _connected(sets, similarity)
     if labels is None:
         member = member.withColumn("component_id", F.col("least"))
