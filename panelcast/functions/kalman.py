@@ -18,6 +18,7 @@ import numpy as np
 FIRM = 4.0  # parameters are kept within +-FIRM: partial correlations of up to 0.9993
 SETTLED = 1e-15  # change of the state's covariance from which it stays as it is
 LOOK = 16  # steps after which that is looked at
+BLOCK = 4096  # rows whose states are moved at a time, few enough to stay in a core's cache
 
 
 def coefficients(z: np.ndarray) -> np.ndarray:
@@ -36,43 +37,59 @@ def model(z: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
     return coefficients(z[:, :p]), -coefficients(z[:, p:])
 
 
+def _some(x: np.ndarray, rows) -> np.ndarray:
+    """Some of the rows (the last axis), still neighbours in memory, which numpy's own choice by number does not keep them."""
+    return x[..., rows] if isinstance(rows, slice) else np.take(x, rows, axis=-1)
+
+
 class States:
-    """Companion matrices and shock loadings of models of one order."""
+    """Companion matrices and shock loadings of models of one order. The models run along the last axis of all arrays here, so that an operation
+    on one number of a state is one pass over neighbouring numbers in memory."""
 
     def __init__(self, ar: np.ndarray, ma: np.ndarray):
-        self.size = max(ar.shape[1], ma.shape[1] + 1)
+        self.size, self.lags = max(ar.shape[1], ma.shape[1] + 1), ar.shape[1]
         rows = len(ar)
-        self.ar = np.concatenate([ar, np.zeros((rows, self.size - ar.shape[1]))], axis=1)
-        self.load = np.concatenate([np.ones((rows, 1)), ma, np.zeros((rows, self.size - 1 - ma.shape[1]))], axis=1)
-        self.noise = self.load[:, :, None] * self.load[:, None, :]
+        self.ar, self.load = np.zeros((self.size, rows)), np.zeros((self.size, rows))
+        self.ar[: ar.shape[1]], self.load[0], self.load[1 : 1 + ma.shape[1]] = ar.T, 1.0, ma.T
+        self.noise = self.load[:, None] * self.load[None]
 
     def of(self, rows) -> States:
         part = object.__new__(States)
-        part.size, part.ar, part.load, part.noise = self.size, self.ar[rows], self.load[rows], self.noise[rows]
+        part.size, part.lags = self.size, self.lags
+        part.ar, part.load, part.noise = _some(self.ar, rows), _some(self.load, rows), _some(self.noise, rows)
         return part
 
     def moved(self, x: np.ndarray) -> np.ndarray:
-        """The companion matrix times x (rows, size, columns)."""
-        out = self.ar[:, :, None] * x[:, :1, :]
-        out[:, :-1] += x[:, 1:]
+        """The companion matrix times x (size, columns, rows)."""
+        out, p = np.empty(x.shape), self.lags
+        np.multiply(self.ar[:p, None], x[:1], out=out[:p])
+        own = min(p, self.size - 1)
+        out[:own] += x[1 : own + 1]
+        if p < self.size:  # below the coefficients it only shifts
+            out[p:-1], out[-1] = x[p + 1 :], 0.0
         return out
 
     def begin(self) -> np.ndarray:
         """The covariance of the state of a stationary series, in units of the shocks' variance."""
-        r, rows = self.size, len(self.ar)
-        t = np.zeros((rows, r, r))
-        t[:, :, 0] = self.ar
-        t[:, np.arange(r - 1), np.arange(1, r)] = 1.0
-        whole = np.eye(r * r)[None] - np.einsum("bij,bkl->bikjl", t, t).reshape(rows, r * r, r * r)
-        return np.linalg.solve(whole, self.noise.reshape(rows, r * r, 1)).reshape(rows, r, r)
+        r, rows = self.size, self.ar.shape[1]
+        t = np.zeros((r, r, rows))
+        t[:, 0] = self.ar
+        t[np.arange(r - 1), np.arange(1, r)] = 1.0
+        whole = np.eye(r * r)[:, :, None] - (t[:, None, :, None] * t[None, :, None, :]).reshape(r * r, r * r, rows)
+        found = np.linalg.solve(np.ascontiguousarray(whole.transpose(2, 0, 1)), self.noise.reshape(r * r, rows).T[:, :, None])
+        return np.ascontiguousarray(found[:, :, 0].T).reshape(r, r, rows)
 
     def step(self, cover: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Variance of the innovation, gain, and the covariance after a row."""
-        variance = cover[:, 0, 0].copy()
+        variance = cover[0, 0].copy()
         moved = self.moved(cover)
-        gain = moved[:, :, 0] / variance[:, None]
-        after = self.moved(moved.transpose(0, 2, 1)).transpose(0, 2, 1) + self.noise - gain[:, :, None] * moved[:, None, :, 0]
-        return variance, gain, (after + after.transpose(0, 2, 1)) / 2
+        gain = moved[:, 0] / variance
+        after = self.moved(moved.transpose(1, 0, 2))
+        after += self.noise
+        after -= moved[:, 0][:, None] * gain
+        new = after + after.transpose(1, 0, 2)
+        new *= 0.5
+        return variance, gain, new
 
     def after(self, rows: np.ndarray) -> np.ndarray:
         """The covariance that each series has after so many rows."""
@@ -81,9 +98,10 @@ class States:
         done = 0
         while len(left):
             part = self.of(left)
-            _, _, new = part.step(cover[left])
-            change = np.abs(new - cover[left]).max(axis=(1, 2)) if done % LOOK == 0 else np.ones(len(left))
-            cover[left] = new
+            old = _some(cover, left)
+            _, _, new = part.step(old)
+            change = np.abs(new - old).max(axis=(0, 1)) if done % LOOK == 0 else np.ones(len(left))
+            cover[:, :, left] = new
             done += 1
             left = left[(rows[left] > done) & (change > SETTLED)]
         return cover
@@ -92,35 +110,48 @@ class States:
 def filtered(states: States, values: np.ndarray, lengths: np.ndarray, skipped: np.ndarray, maps: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The filter over the first lengths[i] values of each row, `skipped` rows after its series began: end state (rows, size, columns), sums of products of
     the innovations over their variance (columns, columns), and the sum of the variances' logarithms. Columns are the unit vectors of the start
-    (with `maps`), the values, and the constant."""
+    (with `maps`), the values, and the constant. Rows of like length go through it BLOCK at a time."""
     order = np.argsort(-lengths, kind="stable")
-    states, values, size = states.of(order), values[order], lengths[order]
-    rows, r = len(order), states.size
+    rows, r, columns = len(order), states.size, (states.size if maps else 0) + 2
+    state, products, logs = np.zeros((rows, r, columns)), np.zeros((rows, columns, columns)), np.zeros(rows)
+    for a in range(0, rows, BLOCK):
+        at = order[a : a + BLOCK]
+        x, s, logs[at] = _stretch(states.of(at), values[at], lengths[at], skipped[at], maps)
+        state[at], products[at] = x.transpose(2, 0, 1), s.transpose(2, 0, 1)
+    return state, products, logs
+
+
+def _stretch(states: States, values: np.ndarray, size: np.ndarray, skipped: np.ndarray, maps: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`filtered` for rows in order of length, the longest first; the results have the rows last."""
+    rows, r = len(size), states.size
     lead = r if maps else 0
-    state = np.zeros((rows, r, lead + 2))
-    state[:, np.arange(lead), np.arange(lead)] = 1.0
-    products, logs = np.zeros((rows, lead + 2, lead + 2)), np.zeros(rows)
-    cover = states.after(skipped[order])
-    active, part = rows, states
-    settled = False
-    for t in range(int(size.max(initial=0))):
+    values = np.ascontiguousarray(values[:, : int(size.max(initial=0))].T)
+    state, ends = np.zeros((r, lead + 2, rows)), np.zeros((r, lead + 2, rows))
+    state[np.arange(lead), np.arange(lead)] = 1.0
+    products, logs = np.zeros((lead + 2, lead + 2, rows)), np.zeros(rows)
+    cover = states.after(skipped)
+    active, part, settled = rows, states, False
+    for t in range(len(values)):
         k = int(np.searchsorted(-size, -t, side="left"))  # rows with more than t values
         if k != active:
-            active, part = k, states.of(slice(0, k))
+            ends[:, :, k:active] = state[:, :, k:]
+            active, part, cover, state = k, states.of(slice(0, k)), cover[:, :, :k], state[:, :, :k]
             if settled:
-                variance, gain = variance[:k], gain[:k]
+                variance, gain, log = variance[:k], gain[:, :k], log[:k]
         if not settled:
-            variance, gain, new = part.step(cover[:k])
-            settled = t % LOOK == 0 and bool(np.abs(new - cover[:k]).max() <= SETTLED)
-            cover[:k] = new
-        shock = -state[:k, 0, :]
-        shock[:, lead] += values[:k, t]
-        shock[:, lead + 1] += 1.0
-        products[:k] += shock[:, :, None] * (shock / variance[:, None])[:, None, :]
-        logs[:k] += np.log(variance)
-        state[:k] = part.moved(state[:k]) + gain[:, :, None] * shock[:, None, :]
-    back = np.argsort(order, kind="stable")
-    return state[back], products[back], logs[back]
+            variance, gain, new = part.step(cover)
+            log = np.log(variance)
+            settled = t % LOOK == 0 and bool(np.abs(new - cover).max() <= SETTLED)
+            cover = new
+        shock = -state[0]
+        shock[lead] += values[t, :k]
+        shock[lead + 1] += 1.0
+        products[:, :, :k] += shock[:, None] * (shock / variance)
+        logs[:k] += log
+        state = part.moved(state)
+        state += gain[:, None] * shock
+    ends[:, :, :active] = state
+    return ends, products, logs
 
 
 def composed(first: tuple, second: tuple) -> tuple[np.ndarray, np.ndarray, float]:

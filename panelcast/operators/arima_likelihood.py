@@ -27,7 +27,7 @@ GROUP = 64  # long series whose searches the driver holds at a time
 FAN = 256  # summaries that one task puts one after the other
 ASKED = 64  # points of a chunk that are filtered at a time
 COARSE = (-2.4, -1.4, -0.6, 0.0, 0.6, 1.4, 2.4)
-PER_TASK = 20_000  # rows whose series a task fits, about
+PER_TASK = 50_000  # rows whose series a task fits, about
 MARGIN = 1e-6  # by which a later order's AICc must be lower
 FITS = "series_id string, d int, p int, q int, aicc double, ar array<double>, ma array<double>, mean double, variance double, predicted array<double>"
 
@@ -81,10 +81,10 @@ def best_of(scores: np.ndarray) -> np.ndarray:
 
 def ahead(states: K.States, state: np.ndarray, mean: np.ndarray, horizon: np.ndarray) -> np.ndarray:
     """Forecasts of the differenced series from end states whose columns are those of the values and of the constant."""
-    x = (state[:, :, 0] - mean[:, None] * state[:, :, 1])[:, :, None]
+    x = (state[:, :, 0] - mean[:, None] * state[:, :, 1]).T[:, None]
     out = np.zeros((len(mean), int(horizon.max(initial=0))))
     for h in range(out.shape[1]):
-        out[:, h] = mean + x[:, 0, 0]
+        out[:, h] = mean + x[0, 0]
         x = states.moved(x)
     return out
 
@@ -117,11 +117,16 @@ def searched(target, rows: int, p: int, q: int) -> tuple[np.ndarray, np.ndarray]
     """The best parameters of each series and their value, from the valleys of the grid."""
     grid, every = trials(p, q), np.arange(rows)
     height = target(np.repeat(every, len(grid)), np.tile(grid, (rows, 1))).reshape(rows, len(grid))
+    start = valleys(height, p, q)
+    other = start != start[:, :1]  # a valley that is there again is searched once
+    other[:, 0] = True
+    turn, of = np.nonzero(other.T)
+    x, value = K.minimized(lambda k, points: target(of[k], points), grid[start[of, turn]])
     z, least = np.zeros((rows, p + q)), np.full(rows, np.inf)
-    for start in valleys(height, p, q).T:
-        x, value = K.minimized(target, grid[start])
-        lower = value < least
-        z, least = np.where(lower[:, None], x, z), np.where(lower, value, least)
+    for j in range(start.shape[1]):
+        at = np.flatnonzero(turn == j)
+        at = at[value[at] < least[of[at]]]
+        z[of[at]], least[of[at]] = x[at], value[at]
     return z, least
 
 

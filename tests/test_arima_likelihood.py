@@ -158,3 +158,36 @@ def test_short_flat_and_empty(spark, make_panel):
     np.testing.assert_allclose(fits["flat"].predicted, 3.0)
     for layout in (WHOLE, Layout()):
         assert A.arima_likelihood(clean.filter(F.lit(False)), horizons, layout=layout).count() == 0
+
+
+def test_the_filter_takes_few_rows_at_a_time(monkeypatch):
+    """Whatever the number of rows asked for, a block of them is small, and the blocks do not show in the results."""
+    rng, seen = np.random.default_rng(8), []
+    rows = 2 * K.BLOCK + 100
+    y, n, skipped = rng.normal(size=(rows, 9)), rng.integers(1, 10, rows), rng.integers(0, 3, rows)
+    states, part = K.States(*K.model(rng.normal(size=(rows, 3)), 2)), K._stretch
+    monkeypatch.setattr(K, "_stretch", lambda s, *rest: seen.append(s.ar.shape) or part(s, *rest))
+    for maps in (False, True):
+        found = K.filtered(states, y, n, skipped, maps)
+        assert seen == [(2, K.BLOCK), (2, K.BLOCK), (2, 100)]
+        seen.clear()
+        for i in rng.integers(0, rows, 20):
+            alone = K.filtered(states.of([i]), y[[i]], n[[i]], skipped[[i]], maps)
+            for a, b in zip(alone, found, strict=True):
+                np.testing.assert_allclose(a[0], b[i], rtol=1e-12, atol=1e-12)
+        seen.clear()
+
+
+def test_a_valley_is_searched_once():
+    """A mixed model may have two valleys; a series that has one sets out once, one that has two sets out twice."""
+    at, asked = np.array([[0.5, -0.5], [1.4, 1.4]]), []
+
+    def target(of, z):
+        asked.append(of)
+        one = ((z - at[of]) ** 2).sum(axis=1)
+        return np.where(of == 1, np.minimum(one, ((z + at[of]) ** 2).sum(axis=1) + 0.1), one)
+
+    z, least = A.searched(target, 2, 1, 1)
+    np.testing.assert_allclose(z, at, atol=1e-3)
+    np.testing.assert_allclose(least, 0.0, atol=1e-5)
+    assert asked[1].tolist() == [0, 1, 1]
