@@ -6,9 +6,11 @@ import numpy as np
 import pyarrow as pa
 
 DEPENDENT = 1e-11  # a column is dependent when less than this share of it is new
+VALUES = 100_000  # values a piece of a batch holds, about
+CELLS = 500_000  # values of the matrices that are made of a piece at a time, about
 
 
-def pieces(batches, column: str, limit: int = 500_000):
+def pieces(batches, column: str, limit: int = VALUES):
     """Record batches cut so that the rows of a piece, padded to its longest list, hold at most `limit` values (one row may
     hold more). Memory then follows neither the session's batch size nor the length of the lists in other rows."""
     for batch in batches:

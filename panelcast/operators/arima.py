@@ -80,7 +80,7 @@ def _long_grams(batches):
         values, lengths = B.padded(batch.column("values"))
         m, mean = np.asarray(batch.column("m")), np.asarray(batch.column("mean"))
         grams = [None] * len(m)
-        for rows in B.groups(m, limit=4_000_000, cost=values.shape[1] * (m + 2)):
+        for rows in B.groups(m, limit=B.CELLS, cost=values.shape[1] * (m + 2)):
             k = int(m[rows[0]])
             w = _at_least(values[rows, : int(lengths[rows].max())] - mean[rows, None], k + 1)
             seen = np.arange(k, w.shape[1])[None, :] < lengths[rows][:, None]
@@ -95,7 +95,7 @@ def _long_grams(batches):
 
 
 def _long_fits(batches):
-    for batch in batches:
+    for batch in B.pieces(batches, "gram"):
         m, grams = np.asarray(batch.column("m")), batch.column("gram")
         fits = [None] * len(m)
         for rows in B.groups(m):
@@ -115,7 +115,7 @@ def _short_grams(max_p: int, max_q: int):
             m, mean = np.asarray(batch.column("m")), np.asarray(batch.column("mean"))
             long = batch.column("long")
             grams, tails = [None] * len(m), [None] * len(m)
-            for rows in B.groups(m, limit=4_000_000, cost=values.shape[1] * (m + width)):
+            for rows in B.groups(m, limit=B.CELLS, cost=values.shape[1] * (m + width)):
                 k = int(m[rows[0]])
                 size = lengths[rows]
                 start = max(max_p, k + max_q if max_q else 0)
@@ -147,7 +147,7 @@ def _choose(max_p: int, max_q: int):
 
     def run(batches):
         width = 2 + max_p + max_q
-        for batch in batches:
+        for batch in B.pieces(batches, "gram"):
             n = batch.num_rows
             gram = np.stack([np.asarray(g.values) for g in batch.column("gram")]).reshape(n, width, width)
             tail = np.stack([np.asarray(t.values) for t in batch.column("tail")]).reshape(n, max_p + max_q)
@@ -223,10 +223,15 @@ def arima(
         # the long regression looks back less far, so it leaves out the first of the earlier rows
         spare = F.when(F.col("chunk") > 0, reach - F.col("m")).otherwise(F.lit(0))
         ready = keep(ready, layout)
-        grams = ready.select(
+        inputs = ready.select(
             "series_id", "chunk", "m", "mean", F.slice("values", spare + 1, F.size("values")).alias("values")
-        ).mapInArrow(_long_grams, "series_id string, chunk bigint, m int, gram array<double>")
-        fits = sum_arrays(grams, "gram", layout).mapInArrow(_long_fits, "series_id string, long array<double>")
+        )
+        fitted = "series_id string, long array<double>"
+        if layout.whole:  # one Python worker a task does both
+            fits = inputs.mapInArrow(lambda batches: _long_fits(_long_grams(batches)), fitted)
+        else:
+            grams = inputs.mapInArrow(_long_grams, "series_id string, chunk bigint, m int, gram array<double>")
+            fits = sum_arrays(grams, "gram", layout).mapInArrow(_long_fits, fitted)
         ready = attach(ready, fits.join(stats.select("series_id", "n"), "series_id"), "n", layout)
     else:
         ready = ready.withColumn("long", F.array().cast("array<double>"))

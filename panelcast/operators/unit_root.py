@@ -23,6 +23,7 @@ TAU_SMALL = (2.1659, 1.4412, 0.038269)
 TAU_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
 
 TOO_SHORT, CONSTANT = "series too short", "series is constant"
+ADF_ROWS = "series_id string, statistic double, pvalue double, lags int"
 
 
 # ---- KPSS -----------------------------------------------------------------------------------
@@ -169,7 +170,7 @@ def _adf_grams(batches):
         chunk = np.asarray(batch.column("chunk"))
         values = (values - mean[:, None]) / sd[:, None]
         grams, heads = [None] * len(k), [None] * len(k)
-        for rows in B.groups(k, limit=4_000_000, cost=values.shape[1] * (k + 3)):
+        for rows in B.groups(k, limit=B.CELLS, cost=values.shape[1] * (k + 3)):
             lag = int(k[rows[0]])
             y = values[rows, : int(lengths[rows].max())]
             seen = np.arange(lag + 1, y.shape[1])[None, :] < lengths[rows][:, None]
@@ -192,7 +193,7 @@ def _adf_grams(batches):
 def _adf_statistics(batches):
     """From the summed Gram matrices: the lag with the lowest AIC on common rows, then the t value of
     y[t-1] in the regression at that lag on all its rows."""
-    for batch in batches:
+    for batch in B.pieces(batches, "gram"):
         n, k = np.asarray(batch.column("n")), np.asarray(batch.column("k"))
         grams, heads = batch.column("gram"), batch.column("head")
         stat, used = np.full(len(n), np.nan), np.zeros(len(n), dtype=np.int32)
@@ -248,17 +249,15 @@ def adf(clean: DataFrame, lags: int | None = None, layout: Layout = DEFAULT) ->
     usable = stats.filter((max_lag(F.col("n")) >= 0) & ~F.col("constant")).drop("constant").withColumn("k", k)
     arrays = chunk_arrays(clean, "n", F.greatest(k + 1, F.lit(1)), layout)
     ready = attach(arrays, usable, "n", layout).select("series_id", "chunk", "n", "k", "mean", "sd", "values")
-    grams = ready.mapInArrow(
-        _adf_grams, "series_id string, chunk bigint, n bigint, k int, gram array<double>, head array<double>"
-    )
-    if layout.whole:
-        summed = grams.drop("chunk")
+    if layout.whole:  # one Python worker a task does both
+        tested = ready.mapInArrow(lambda batches: _adf_statistics(_adf_grams(batches)), ADF_ROWS)
     else:
+        grams = ready.mapInArrow(
+            _adf_grams, "series_id string, chunk bigint, n bigint, k int, gram array<double>, head array<double>"
+        )
         heads = grams.filter("chunk = 0").select("series_id", "head")
         summed = sum_arrays(grams.drop("head"), "gram", layout).join(heads, "series_id")
-    tested = summed.select("series_id", "n", "k", "gram", "head").mapInArrow(
-        _adf_statistics, "series_id string, statistic double, pvalue double, lags int"
-    )
+        tested = summed.select("series_id", "n", "k", "gram", "head").mapInArrow(_adf_statistics, ADF_ROWS)
     problem = F.when(F.col("constant"), CONSTANT).when(max_lag(F.col("n")) < 0, TOO_SHORT)
     return stats.join(tested, "series_id", "left").select(
         "series_id",

@@ -2,10 +2,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from conftest import by_id
 from pyspark.sql import functions as F
 
+from panelcast.functions import batch
 from panelcast.operators import profile_basic as B
 from panelcast.operators import season as S
 from panelcast.operators import unit_root as U
@@ -279,3 +281,19 @@ def test_deltas_without_features(panel, profile):
     d = by_id(diagnostic_deltas(panel, profile, off))
     assert d["uncorrelated"].r_squared == 0.0
     assert d["uncorrelated"].trend_strength_after == pytest.approx(d["uncorrelated"].trend_strength_before)
+
+
+def test_unit_root_test_holds_little_in_python(spark, make_panel, monkeypatch):
+    """Whole series are tested by one Python worker a task, and what it holds does not follow the number of series of a batch."""
+    rng, sizes = np.random.default_rng(12), []
+    clean = compact(number_rows(make_panel({"a": rng.normal(size=40)}), Layout(whole=True)), Layout(whole=True))
+    plan = U.adf(clean, layout=Layout(whole=True))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    n = 3000
+    grams = [np.cov(rng.normal(size=(13, 30))).ravel() + np.eye(13).ravel() for _ in range(n)]
+    names = ["series_id", "n", "k", "gram", "head"]
+    held = [pa.array([str(i) for i in range(n)]), pa.array([27] * n), pa.array([10] * n, pa.int32()), pa.array(grams), pa.array(list(rng.normal(size=(n, 11))))]
+    factor = batch.factor
+    monkeypatch.setattr(batch, "factor", lambda gram: sizes.append(gram.size) or factor(gram))
+    out = list(U._adf_statistics([pa.RecordBatch.from_arrays(held, names)]))
+    assert sum(map(len, out)) == n and max(sizes) <= batch.VALUES
