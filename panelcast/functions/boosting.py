@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 
 BINS = 255
+ALONE = 2000  # rows of series of a kind from which they grow by themselves
 SAME = 1e-10  # gains that differ by less than this share of a series' squares are equal: the first feature, then the lowest value
 
 
@@ -212,9 +213,34 @@ class Forest:
         leaf[rows[~left]] = to[at[~left]]
 
 
+def kinds(x: np.ndarray, series: np.ndarray, train: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows and features of the series that know the same features in training; kinds of fewer than ALONE rows go together."""
+    count, width = int(series.max(initial=-1)) + 1, x.shape[1]
+    learned = train[:, None] & ~np.isnan(x)
+    known = np.array([np.bincount(series[learned[:, f]], minlength=count) > 0 for f in range(width)], dtype=bool).reshape(width, count)
+    kind = (known * (1 << np.arange(width, dtype=np.int64))[:, None]).sum(axis=0)
+    each, of, rows = np.unique(kind[series], return_inverse=True, return_counts=True)
+    of = np.where(rows[of] < ALONE, len(each), of)
+    found = []
+    for k in np.unique(of):
+        at = np.flatnonzero(of == k)
+        found.append((at, np.flatnonzero(known[:, series[at]].any(axis=1))))
+    return found
+
+
 def boosted(x: np.ndarray, y: np.ndarray, series: np.ndarray, train: np.ndarray, presets: dict[str, Preset], trees: int) -> dict[str, np.ndarray]:
     """Predictions of every row after `trees` trees, by preset; NaN for series without a training row. `series` numbers the rows in order; x has
-    NaN for missing values; y is used of training rows only."""
+    NaN for missing values; y is used of training rows only. Series that use the same features grow together, without the other features."""
+    out = {name: np.full(len(y), np.nan) for name in presets}
+    for rows, features in kinds(x, series, train):
+        own = np.unique(series[rows], return_inverse=True)[1].ravel()
+        for name, found in _grown(x[np.ix_(rows, features)], y[rows], own, train[rows], presets, trees).items():
+            out[name][rows] = found
+    return out
+
+
+def _grown(x: np.ndarray, y: np.ndarray, series: np.ndarray, train: np.ndarray, presets: dict[str, Preset], trees: int) -> dict[str, np.ndarray]:
+    """`boosted` for series that all grow in the same passes."""
     binned = codes(x, series, train)
     out = {}
     for name, preset in presets.items():

@@ -181,3 +181,20 @@ def test_split_of_a_histogram_is_the_best_of_all(missing):
 
 def test_empty_table(table):
     assert T.tree_forecasts(table.limit(0)).count() == 0
+
+
+def test_series_of_a_kind_grow_without_the_features_of_others(monkeypatch):
+    """Features that a series does not use are not looked at for it, and neither this nor the groups show in the forecasts."""
+    rng, widths = np.random.default_rng(21), []
+    series, y = np.repeat(np.arange(60), 20), rng.normal(size=1200)
+    x, train = rng.normal(size=(1200, 6)), np.tile(np.arange(20) < 15, 60)
+    x[series < 40, 2:] = np.nan  # two features
+    x[series >= 58, 0] = np.nan  # a small kind
+    presets = {"a": B.Preset(rate=0.3, shrink=1.0, rows=1, depth=4)}
+    together = B.boosted(x, y, series, train, presets, 5)["a"]
+    monkeypatch.setattr(B, "ALONE", 100)
+    forest = B.Forest
+    monkeypatch.setattr(B, "Forest", lambda code, *rest: widths.append(code.shape) or forest(code, *rest))
+    found = B.boosted(x, y, series, train, presets, 5)["a"]
+    assert sorted(widths) == [(40, 5), (360, 6), (800, 2)]
+    np.testing.assert_allclose(found, together, rtol=1e-12)
